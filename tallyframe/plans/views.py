@@ -66,8 +66,8 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             "concat('job_', event_id) as job_id",
             "ts as execution_time",
             """case
-                 when event_type = 'view' then concat('SELECT a.id, COUNT(*) FROM ds_', u % 7, '.tbl_', u, ' a JOIN ds_',
-                      k % 7, '.tbl_', k, ' b ON a.id = b.user_id WHERE a.k = ', k)
+                 when event_type = 'view' then concat('SELECT COUNT(*) FROM ds_', u % 7, '.tbl_', u, ' JOIN ds_',
+                      k % 7, '.tbl_', k, ' ON ds_', u % 7, '.tbl_', u, '.id = tbl_', k, '.user_id WHERE tbl_', u, '.k = ', k)
                  when event_type = 'click' then concat('select *  from ds_', u % 7, '.tbl_', u,
                       if(k % 4 = 0, ' -- dashboard ', ' -- page '), event_id % 40)
                  when event_type = 'purchase' then concat('INSERT INTO ds_', u % 7, '.tbl_', u,
@@ -91,7 +91,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     when u % 29 = 0 then concat('svc-scheduler', u, '@example.com')
                     else concat('user', u, '@example.com') end as user_email""",
             """named_struct(
-                 'total_elapsed_time_ms', if(k % 10 = 0, null, cast(k as bigint) * 100),
+                 'total_elapsed_time_ms', if(k % 10 = 0, null, cast(k as bigint) * 3000),
                  'bytes_billed', if(event_id % 3 = 0, 0L, (cast(floor(value * 1e7) as bigint) div 10485760 + 1) * 10485760),
                  'statement_type', case event_type when 'view' then 'SELECT' when 'click' then 'SELECT'
                      when 'purchase' then 'INSERT' when 'signup' then 'merge' else 'UNKNOWN' end) as query_metadata""",
@@ -105,8 +105,8 @@ QUERY_LOG = """events_k AS (
 query_log AS (
   SELECT 'job_' || event_id AS job_id, ts AS execution_time,
     CASE
-      WHEN event_type = 'view' THEN 'SELECT a.id, COUNT(*) FROM ds_' || (u % 7) || '.tbl_' || u || ' a JOIN ds_' ||
-           (k % 7) || '.tbl_' || k || ' b ON a.id = b.user_id WHERE a.k = ' || k
+      WHEN event_type = 'view' THEN 'SELECT COUNT(*) FROM ds_' || (u % 7) || '.tbl_' || u || ' JOIN ds_' ||
+           (k % 7) || '.tbl_' || k || ' ON ds_' || (u % 7) || '.tbl_' || u || '.id = tbl_' || k || '.user_id WHERE tbl_' || u || '.k = ' || k
       WHEN event_type = 'click' THEN 'select *  from ds_' || (u % 7) || '.tbl_' || u ||
            CASE WHEN k % 4 = 0 THEN ' -- dashboard ' ELSE ' -- page ' END || (event_id % 40)
       WHEN event_type = 'purchase' THEN 'INSERT INTO ds_' || (u % 7) || '.tbl_' || u ||
@@ -129,7 +129,7 @@ query_log AS (
     CASE WHEN u % 31 = 0 THEN NULL
          WHEN u % 29 = 0 THEN 'svc-scheduler' || u || '@example.com'
          ELSE 'user' || u || '@example.com' END AS user_email,
-    CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(k AS BIGINT) * 100 END AS elapsed,
+    CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(k AS BIGINT) * 3000 END AS elapsed,
     CASE WHEN event_id % 3 = 0 THEN 0 ELSE (CAST(floor(value * CAST(1e7 AS DOUBLE)) AS BIGINT) // 10485760 + 1) * 10485760 END AS billed,
     CASE event_type WHEN 'view' THEN 'SELECT' WHEN 'click' THEN 'SELECT'
          WHEN 'purchase' THEN 'INSERT' WHEN 'signup' THEN 'merge' ELSE 'UNKNOWN' END AS statement_type
