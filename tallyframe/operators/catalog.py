@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import sqltext
 from tallyframe.functions.types import base_type, lookup
 from tallyframe.operators.ranks import one_row
+from tallyframe.operators.records import ordered_slice
 from tallyframe.operators.schema import union_all
 
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_internal", "sys", "system")
@@ -300,6 +301,28 @@ def routine_usage(queries: DataFrame, plans: DataFrame, stats: DataFrame) -> Dat
     )
 
 
+def routine_execution_windows(routines: DataFrame, queries: DataFrame, plans: DataFrame, stats: DataFrame, intervals: DataFrame, now: Column) -> DataFrame:
+    """Runs per routine today, in the last 7 and the last 30 days, by the start of the measured interval."""
+    at, runs = F.col("start_time"), F.col("count_executions")
+    recent = intervals.filter(at >= now - F.expr("INTERVAL 30 DAYS"))
+    per_plan = stats.join(recent, "interval_id").groupBy("plan_id").agg(
+        F.sum(F.when(at >= F.date_trunc("day", now), runs).otherwise(0)).alias("today"),
+        F.sum(F.when(at >= now - F.expr("INTERVAL 7 DAYS"), runs).otherwise(0)).alias("week"),
+        F.sum(runs).alias("month"),
+        F.sum("avg_duration").alias("d"),
+        F.count(F.lit(1)).alias("samples"),
+        F.max("end_time").alias("last"),
+    )
+    rows = routines.join(queries, "object_id").join(plans, "query_id").join(per_plan, "plan_id").groupBy("routine_name")
+    return rows.agg(
+        F.sum("today").alias("executions_today"),
+        F.sum("week").alias("executions_last_7_days"),
+        F.sum("month").alias("executions_last_30_days"),
+        (F.round(F.sum("d") / F.sum("samples")) / 1000).alias("avg_duration_ms"),
+        F.max("last").alias("last_execution_time"),
+    ).filter("executions_last_30_days > 0")
+
+
 def query_store_rollup(queries: DataFrame, texts: DataFrame, plans: DataFrame, stats: DataFrame, intervals: DataFrame, since: Column) -> DataFrame:
     """Runs and durations per query of the intervals that end after ``since``, slowest first."""
     kept = intervals.filter(F.col("end_time") >= since)
@@ -346,7 +369,7 @@ def dedup_keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFr
 def table_page(tables: DataFrame, children: DataFrame, page: int, page_size: int, dataset: str | None = None) -> DataFrame:
     """One page of tables by id, and only their columns."""
     chosen = tables if dataset is None else tables.filter(F.col("dataset_name") == dataset)
-    chosen = chosen.orderBy("table_id").offset((page - 1) * page_size).limit(page_size)
+    chosen = ordered_slice(chosen, [F.asc("table_id")], (page - 1) * page_size + 1, page * page_size)
     # A page is at most page_size rows, so it can be sent to every task.
     return children.join(F.broadcast(chosen.select("table_id", "dataset_name", "table_name")), "table_id")
 
@@ -420,7 +443,8 @@ def history_filter(
 
 
 def history_page(history: DataFrame, page: int, page_size: int) -> DataFrame:
-    return history.orderBy(F.desc("started_at"), "load_id").offset((page - 1) * page_size).limit(page_size)
+    order = [F.desc("started_at"), F.asc("load_id")]
+    return ordered_slice(history, order, (page - 1) * page_size + 1, page * page_size).drop("position")
 
 
 def history_summary(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:

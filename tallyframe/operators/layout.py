@@ -103,7 +103,7 @@ def compact_files(spark: SparkSession, path: str, out: str, strategy: str = "bin
     """Rewrite the Parquet files below ``path`` into files of about ``target_bytes`` in the new folder ``out``.
 
     binpack only packs file pieces into reads of the target size, without a shuffle.
-    sort and z-order cut the order into ranges; the row hash is the last range
+    sort and z-order cut the order into ranges; a row number is the last range
     column, so a value that fills many files is spread over many tasks.
     Returns the number of files aimed at.
     """
@@ -118,12 +118,11 @@ def compact_files(spark: SparkSession, path: str, out: str, strategy: str = "bin
         packed.conf.set("spark.sql.files.minPartitionNum", "1")
         packed.read.parquet(path).write.parquet(out)
         return files
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
     if strategy == "sort":
-        order = [F.col(c).asc_nulls_last() for c in columns]
-        rows = df.repartitionByRange(files, *order, tie).sortWithinPartitions(*order)
+        order, keyed = [F.col(c).asc_nulls_last() for c in columns], df
     else:
-        keyed = df.withColumn("_z", z_key(df, columns))
-        rows = keyed.repartitionByRange(files, "_z", tie).sortWithinPartitions("_z").drop("_z")
+        order, keyed = [F.col("_z")], df.withColumn("_z", z_key(df, columns))
+    tied = keyed.withColumn("_tie", F.monotonically_increasing_id())
+    rows = tied.repartitionByRange(files, *order, "_tie").sortWithinPartitions(*order).drop("_tie", "_z")
     rows.write.parquet(out)
     return files

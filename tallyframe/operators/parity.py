@@ -26,7 +26,7 @@ def exact_sum(value: Column, dtype: T.DataType) -> Column:
     return F.sum(value)
 
 
-def _both(source: DataFrame, target: DataFrame, measures) -> DataFrame:
+def both_sides(source: DataFrame, target: DataFrame, measures) -> DataFrame:
     """One row: every measure as ``source_<name>`` and ``target_<name>``."""
     sides = []
     for tag, df in ((0, source), (1, target)):
@@ -64,12 +64,12 @@ def row_count_result(source_count: Column, target_count: Column) -> list[Column]
 
 
 def rowcount_parity(source: DataFrame, target: DataFrame) -> DataFrame:
-    counts = _both(source, target, lambda df: {"count": F.count(F.lit(1))})
+    counts = both_sides(source, target, lambda df: {"count": F.count(F.lit(1))})
     return counts.select(*row_count_result(F.col("source_count"), F.col("target_count")))
 
 
 def null_parity(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
-    counts = _both(source, target, lambda df: {"null_count": F.count_if(F.col(column).isNull())})
+    counts = both_sides(source, target, lambda df: {"null_count": F.count_if(F.col(column).isNull())})
     return counts.select(
         F.lit(column).alias("column_name"),
         "source_null_count",
@@ -143,19 +143,22 @@ def duplicate_samples(df: DataFrame, keys: Sequence[str], limit: int = SAMPLE_RO
     )
 
 
+def aggregate_value(df: DataFrame, column: str, kind: str) -> Column:
+    """SUM or AVERAGE as a double, 0 when there is no value."""
+    dtype = next(f.dataType for f in df.schema.fields if f.name.lower() == column.lower())
+    total = exact_sum(F.col(column), dtype).cast("double")
+    value = total if kind == "SUM" else F.try_divide(total, F.count(F.col(column)))
+    return F.coalesce(value, F.lit(0.0))
+
+
 def aggregate_parity(source: DataFrame, target: DataFrame, column: str, kind: str) -> DataFrame:
     """SUM or AVERAGE of a column per side; no value counts as 0."""
     kind = kind.upper()
     if kind not in ("SUM", "AVERAGE"):
         raise ValueError(f"unknown aggregate {kind}")
 
-    def measures(df: DataFrame) -> dict[str, Column]:
-        total = exact_sum(F.col(column), df.schema[column].dataType).cast("double")
-        value = total if kind == "SUM" else F.try_divide(total, F.count(column))
-        return {"value": F.coalesce(value, F.lit(0.0))}
-
     difference = F.col("source_value") - F.col("target_value")
-    return _both(source, target, measures).select(
+    return both_sides(source, target, lambda df: {"value": aggregate_value(df, column, kind)}).select(
         F.lit(column).alias("column_name"),
         F.lit(kind).alias("aggregate_type"),
         "source_value",

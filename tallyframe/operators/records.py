@@ -253,37 +253,43 @@ def record_samples(source: DataFrame, target: DataFrame, keys: Sequence[str], li
     )
 
 
-def positional_slice(df: DataFrame, keys: Sequence[str], start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` (from 1, inclusive) in key order, numbered as ``position``.
+def ordered_slice(df: DataFrame, order: Sequence[Column], start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end`` (from 1, inclusive) of the sorted frame, numbered as ``position``.
 
     A short prefix is a top-k. Further in, the sorted rows are written with their
     partition and place in it, and the partition sizes give the offsets: no task
-    sees more than its own partition.
+    sees more than its own partition. A row number as last sort column lets a value
+    that fills many partitions be cut between them.
     """
     if start < 1 or end < start:
         raise ValueError("a slice requires 1 <= start <= end")
     if end <= TOP_K_LIMIT:
-        top = df.orderBy(*keys).limit(end)
+        top = df.orderBy(*order).limit(end)
         # At most TOP_K_LIMIT rows are left to number.
-        numbered = top.withColumn("position", F.row_number().over(W.orderBy(*keys)))
+        numbered = top.withColumn("position", F.row_number().over(W.orderBy(*order)))
         return numbered.filter(F.col("position") >= start)
-    placed = cut_lineage(df.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").drop("_tie")
+    placed = cut_lineage(tied.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned(F.col("_id"), 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition of the sort.
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))
     within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    position = F.col("_before") + within + 1
     return (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn("position", position)
+        .withColumn("position", F.col("_before") + within + 1)
         .filter(F.col("position").between(start, end))
         .drop("_id", "_part", "_before")
     )
 
 
+def positional_slice(df: DataFrame, keys: Sequence[str], start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end`` in key order."""
+    return ordered_slice(df, [F.col(k).asc() for k in keys], start, end)
+
+
 def record_match_range(source: DataFrame, target: DataFrame, keys: Sequence[str], start: int, end: int) -> DataFrame:
     """Compare source rows ``start`` to ``end`` in key order with the same keys anywhere in the target."""
     keys = _check_keys(source, target, keys)

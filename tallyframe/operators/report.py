@@ -2,70 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.types import scan_columns
 from tallyframe.operators import parity, records
-from tallyframe.operators.schema import union_all
+from tallyframe.operators.schema import schema_diff, union_all
 
 RESULT_COLUMNS = ("check_name", "status", "source_value", "target_value", "difference")
 
 
-def check_row(result: DataFrame, name: str, source: str, target: str) -> DataFrame:
-    """A check's own result in the common shape."""
-    source_value, target_value = F.col(source).cast("double"), F.col(target).cast("double")
-    return result.select(
+_ROW = "check_name string, status string, source_value double, target_value double, difference double"
+
+
+def _entry(name: str, source: Column, target: Column, passed: Column, absolute: bool = False) -> Column:
+    """One check in the common shape."""
+    source, target = source.cast("double"), target.cast("double")
+    difference = F.abs(source - target) if absolute else source - target
+    return F.struct(
         F.lit(name).alias("check_name"),
-        "status",
-        source_value.alias("source_value"),
-        target_value.alias("target_value"),
-        (source_value - target_value).alias("difference"),
+        F.when(passed, "passed").otherwise("failed").alias("status"),
+        source.alias("source_value"),
+        target.alias("target_value"),
+        difference.alias("difference"),
     )
 
 
 def failed_check(df: DataFrame, name: str) -> DataFrame:
     """The row of a check that could not run."""
-    spark = df.sparkSession
-    return spark.range(1).select(
-        F.lit(name).alias("check_name"),
-        F.lit("error").alias("status"),
-        *[F.lit(None).cast("double").alias(c) for c in RESULT_COLUMNS[2:]],
-    )
+    return df.sparkSession.createDataFrame([(name, "error", None, None, None)], _ROW)
+
+
+def _scalar_checks(source: DataFrame, target: DataFrame, wanted: Mapping[str, str | None]) -> DataFrame:
+    """Counts, nulls, sums and averages together: one scan per side."""
+    measures: dict[str, Callable[[DataFrame], Column]] = {}
+    for name, column in wanted.items():
+        if name == "row_count":
+            measures[name] = lambda df: F.count(F.lit(1))
+        elif name == "null_check":
+            measures[name] = lambda df, c=column: F.count_if(F.col(c).isNull())
+        else:
+            kind = "SUM" if name == "sum_check" else "AVERAGE"
+            measures[name] = lambda df, c=column, k=kind: parity.aggregate_value(df, c, k)
+    row = parity.both_sides(source, target, lambda df: {n: m(df) for n, m in measures.items()})
+    entries = []
+    for name in wanted:
+        s, t = F.col(f"source_{name}"), F.col(f"target_{name}")
+        inexact = name in ("sum_check", "average_check")
+        passed = F.abs(s - t) <= parity.TOLERANCE if inexact else s == t
+        entries.append(_entry(name, s, t, passed, absolute=name == "row_count"))
+    return row.select(F.inline(F.array(*entries)))
+
+
+def _key_checks(source: DataFrame, target: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Record match and duplicates over the same keys: one grouping of both sides."""
+    counts = records.record_match_pk(source, target, keys)
+    entries = []
+    for name in names:
+        if name == "record_match":
+            s, t = F.col("total_compared"), F.col("matched_count")
+            entries.append(_entry(name, s, t, F.col("status") == "passed"))
+        else:
+            s, t = F.col("source_duplicate_keys"), F.col("target_duplicate_keys")
+            entries.append(_entry(name, s, t, s == t))
+    return counts.select(F.inline(F.array(*entries)))
+
+
+def _schema_check(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Column names and type families; schemas are metadata, so no table is read."""
+    found = schema_diff(scan_columns(source), scan_columns(target)).filter("discrepancy <> 'nullability_mismatch'")
+    s, t = F.lit(len(source.columns)), F.lit(len(target.columns))
+    return found.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(_entry("schema_check", s, t, F.col("n") == 0))))
+
+
+def _range_check(source: DataFrame, target: DataFrame, key: str, start: int, end: int) -> DataFrame:
+    counts = records.record_match_range(source, target, [key], start, end)
+    s, t = F.col("total_compared"), F.col("matched_count")
+    return counts.select(F.inline(F.array(_entry("specific_row_check", s, t, F.col("status") == "passed"))))
 
 
 def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object]) -> list[DataFrame]:
     """One row per requested check; a check that names an absent column is an error, not a crash.
 
-    ``checks`` keys: row_count, null_check, duplicate_check, sum_check,
-    average_check (each with its column or keys) and record_match (keys).
+    ``checks`` keys: row_count and schema_check (True), null_check, sum_check and
+    average_check (a column), duplicate_check and record_match (keys), and
+    specific_row_check (key, start, end). Checks that can share a scan or a
+    grouping do.
     """
     held = {c.lower() for c in source.columns} & {c.lower() for c in target.columns}
+    scalars: dict[str, str | None] = {}
+    by_keys: dict[tuple[str, ...], list[str]] = {}
     rows = []
     for name, argument in checks.items():
-        needed = [] if argument is True else ([argument] if isinstance(argument, str) else list(argument))
         if not argument:
             continue
-        if any(c.lower() not in held for c in needed):
-            rows.append(failed_check(source, name))
-        elif name == "row_count":
-            result = parity.rowcount_parity(source, target)
-            row = check_row(result, name, "source_count", "target_count")
-            rows.append(row.withColumn("difference", F.abs("difference")))
-        elif name == "null_check":
-            rows.append(check_row(parity.null_parity(source, target, needed[0]), name, "source_null_count", "target_null_count"))
-        elif name == "duplicate_check":
-            result = parity.duplicate_parity(source, target, needed)
-            rows.append(check_row(result, name, "source_duplicate_count", "target_duplicate_count"))
-        elif name in ("sum_check", "average_check"):
-            kind = "SUM" if name == "sum_check" else "AVERAGE"
-            rows.append(check_row(parity.aggregate_parity(source, target, needed[0], kind), name, "source_value", "target_value"))
-        elif name == "record_match":
-            result = records.record_match_pk(source, target, needed)
-            rows.append(check_row(result, name, "total_compared", "matched_count"))
+        if name == "row_count":
+            scalars[name] = None
+        elif name == "schema_check":
+            rows.append(_schema_check(source, target))
+        elif name in ("null_check", "sum_check", "average_check") and str(argument).lower() in held:
+            scalars[name] = str(argument)
+        elif name in ("duplicate_check", "record_match"):
+            keys = (argument,) if isinstance(argument, str) else tuple(argument)
+            if all(k.lower() in held for k in keys):
+                by_keys.setdefault(keys, []).append(name)
+            else:
+                rows.append(failed_check(source, name))
+        elif name == "specific_row_check":
+            try:
+                rows.append(_range_check(source, target, *argument))
+            except (ValueError, TypeError):
+                rows.append(failed_check(source, name))
         else:
             rows.append(failed_check(source, name))
+    if scalars:
+        rows.append(_scalar_checks(source, target, scalars))
+    rows += [_key_checks(source, target, names, keys) for keys, names in by_keys.items()]
     return rows
 
 

@@ -565,6 +565,19 @@ def rollup(spark, sf):
     return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("execution_time", "interval_start_time")})
 
 
+@query("routine_execution_windows", v.with_views(_STORE, """,
+r AS (SELECT 'proc_' || object_id AS routine_name, n, d, f FROM q JOIN rs USING (query_id) WHERE object_id IS NOT NULL AND f >= TIMESTAMP '2001-06-01')
+SELECT routine_name, sum(CASE WHEN f >= TIMESTAMP '2001-07-01' THEN n ELSE 0 END)::BIGINT AS executions_today,
+  sum(CASE WHEN f >= TIMESTAMP '2001-06-24' THEN n ELSE 0 END)::BIGINT AS executions_last_7_days, sum(n)::BIGINT AS executions_last_30_days,
+  round(sum(d)::DOUBLE / count(*)) / 1000 AS avg_duration_ms, strftime(max(f) + to_days(1), '%Y-%m-%d') AS last_execution_time
+FROM r GROUP BY 1 HAVING sum(n) > 0"""))
+def windows(spark, sf):
+    queries, _, plans, stats, intervals = _store(spark, sf)
+    routines_ = queries.select("object_id").distinct().filter("object_id is not null").withColumn("routine_name", F.expr("concat('proc_', object_id)"))
+    rows = catalog.routine_execution_windows(routines_, queries, plans, stats, intervals, F.expr("timestamp_ntz'2001-07-01'"))
+    return rows.withColumn("last_execution_time", F.date_format("last_execution_time", "yyyy-MM-dd"))
+
+
 @query("latest_completed", v.with_views(v.LOAD_LOG, """
 SELECT migration_id, arg_max(load_id, (started_at, load_id)) AS load_id, arg_max(table_name, (started_at, load_id)) AS table_name,
   arg_max(rows_loaded, (started_at, load_id)) AS rows_loaded FROM load_log WHERE status = 'completed' GROUP BY 1"""))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyframe.functions import types
-from tallyframe.operators import layout, load, parity, schema
+from tallyframe.operators import layout, load, parity, ranks, schema
 from tallyframe.plans import views as v
 from tallyframe.plans.registry import query
 from tallyframe.session import work_path
@@ -61,7 +61,7 @@ def size(spark, sf):
     total = files.source_size(data)
     parts = data.groupBy(F.regexp_extract("path", r"/(chunk=\d+)/", 1).alias("c")).agg(F.sum("length").alias("b"))
     sums = parts.agg(F.count(F.lit(1)).alias("folders"), F.sum("b").alias("b"))
-    return sums.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").select("folders", (F.col("b") == F.col("total_bytes")).alias("sizes_agree"))
+    return ranks.one_row([sums, total]).select("folders", (F.col("b") == F.col("total_bytes")).alias("sizes_agree"))
 
 
 @query("export_table", """

@@ -223,11 +223,13 @@ def names(spark, sf):
 
 _CHECKS = {
     "row_count": True,
+    "schema_check": True,
     "null_check": "o_orderpriority",
     "duplicate_check": ["o_orderkey"],
     "sum_check": "o_custkey",
     "average_check": "no_such_column",
     "record_match": ["o_orderkey"],
+    "specific_row_check": ("o_custkey", 1, 10),
 }
 
 
@@ -239,6 +241,8 @@ r(check_name, s, t) AS (
   UNION ALL SELECT 'duplicate_check', 0, count(*) FROM (SELECT 1 FROM orders_target GROUP BY o_orderkey HAVING count(*) > 1)
   UNION ALL SELECT 'sum_check', (SELECT sum(o_custkey) FROM orders)::DOUBLE, (SELECT sum(o_custkey) FROM orders_target)::DOUBLE
   UNION ALL SELECT 'average_check', NULL, NULL
+  UNION ALL SELECT 'specific_row_check', NULL, NULL
+  UNION ALL SELECT 'schema_check', 6, 6
   UNION ALL SELECT 'record_match', count(sk), count(*) FILTER (sk = tk AND same) FROM j)
 SELECT 'error' AS overall_status, check_name,
   CASE WHEN s IS NULL THEN 'error' WHEN s = t THEN 'passed' ELSE 'failed' END AS status,
