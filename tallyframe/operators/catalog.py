@@ -12,6 +12,7 @@ from tallyframe.functions.types import base_type, lookup
 from tallyframe.operators.ranks import one_row
 from tallyframe.operators.records import ordered_slice
 from tallyframe.operators.schema import union_all
+from tallyframe.session import spread
 
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_internal", "sys", "system")
 GIB = 1024**3
@@ -91,14 +92,14 @@ def page_inventory(tables: DataFrame, partitions: DataFrame, units: DataFrame) -
 
 def object_inventory(objects: Sequence[DataFrame]) -> DataFrame:
     """Views, routines and triggers in one list with what their definitions refer to."""
-    text = F.col("definition")
-    return union_all(objects).select(
+    code = spread(union_all(objects)).withColumn("code", sqltext.code_only(F.col("definition")))
+    return code.select(
         "object_name",
         "object_type",
-        F.length(text).alias("definition_length"),
-        F.array_join(sqltext.table_references(text), ", ").alias("referenced_tables"),
-        F.array_join(sqltext.function_references(text), ", ").alias("referenced_functions"),
-        F.array_join(sqltext.procedure_calls(text), ", ").alias("called_procedures"),
+        F.length("definition").alias("definition_length"),
+        F.array_join(sqltext.table_references(F.col("code")), ", ").alias("referenced_tables"),
+        F.array_join(sqltext.function_references(F.col("code")), ", ").alias("referenced_functions"),
+        F.array_join(sqltext.procedure_calls(F.col("definition")), ", ").alias("called_procedures"),
     )
 
 
@@ -289,8 +290,8 @@ def routine_usage(queries: DataFrame, plans: DataFrame, stats: DataFrame) -> Dat
     return rows.select(
         "object_id",
         "execution_count",
-        F.round(F.col("cpu") / 1e6, 4).alias("total_cpu_time_sec"),
-        F.round(F.col("elapsed") / 1e6, 4).alias("total_elapsed_time_sec"),
+        (F.col("cpu") / 1e6).alias("total_cpu_time_sec"),
+        (F.col("elapsed") / 1e6).alias("total_elapsed_time_sec"),
         (F.round(F.col("duration_sum") / F.col("samples")) / 1e6).alias("avg_elapsed_time_sec"),
         F.col("logical").alias("total_logical_reads"),
         F.col("physical").alias("total_physical_reads"),

@@ -10,6 +10,7 @@ from tallyframe.functions.types import base_type, lookup, type_map
 from tallyframe.functions.values import half_even
 from tallyframe.operators.ranks import one_row
 from tallyframe.operators.schema import union_all
+from tallyframe.session import spread
 
 ITEMS_SHOWN = 10  # names listed per finding (fixed value)
 
@@ -83,13 +84,15 @@ def _with_items(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def dialect_hits(objects: DataFrame) -> DataFrame:
     """One row per object and pattern found in it."""
-    text = F.upper("definition")
+    text = F.col("text")
     hits = [
         F.when(text.contains(p.upper()), F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"), F.lit(f).alias("replacement")))
         for p, s, f in DIALECT_PATTERNS
     ]
     label = F.concat_ws(": ", F.when(F.col("object_type") == "ROUTINE", "routine").otherwise("view"), "object_name")
-    return objects.filter("definition <> ''").select(label.alias("item"), F.inline(F.array_compact(F.array(*hits))))
+    # Upper case once, in a column of its own, not once per pattern.
+    upper = spread(objects.filter("definition <> ''")).select(label.alias("item"), F.upper("definition").alias("text"))
+    return upper.select("item", F.inline(F.array_compact(F.array(*hits))))
 
 
 def dialect_scan(objects: DataFrame) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import sqltext
-from tallyframe.session import cut_lineage
+from tallyframe.session import cut_lineage, spread
 
 MAX_LEVEL = 11  # deepest level reported (fixed value)
 
 
 def extract_dependencies(objects: DataFrame, strict: bool = False) -> DataFrame:
     """Direct dependencies ``(object_name, dependency, dependency_kind)`` of ``object_name, definition`` rows."""
-    text = F.col("definition")
-    found = objects.select(
+    code = spread(objects).select("object_name", sqltext.code_only(F.col("definition")).alias("code"))
+    found = code.select(
         "object_name",
-        sqltext.table_references(text, strict).alias("t"),
-        sqltext.function_references(text).alias("f"),
+        sqltext.table_references(F.col("code"), strict).alias("t"),
+        sqltext.function_references(F.col("code")).alias("f"),
     )
     entries = F.concat(
         F.transform("t", lambda x: F.struct(x.alias("dependency"), F.lit("table").alias("dependency_kind"))),

@@ -543,8 +543,8 @@ rs AS (SELECT l_partkey query_id, CAST(l_quantity AS BIGINT) n, CAST(floor(l_ext
 
 
 @query("routine_usage", v.with_views(_STORE, """
-SELECT object_id, sum(n)::BIGINT AS execution_count, round(sum(c * n)::DOUBLE / 1e6::DOUBLE, 4) AS total_cpu_time_sec,
-  round(sum(d * n)::DOUBLE / 1e6::DOUBLE, 4) AS total_elapsed_time_sec, round(sum(d)::DOUBLE / count(*)) / 1e6::DOUBLE AS avg_elapsed_time_sec,
+SELECT object_id, sum(n)::BIGINT AS execution_count, sum(c * n)::DOUBLE / 1e6::DOUBLE AS total_cpu_time_sec,
+  sum(d * n)::DOUBLE / 1e6::DOUBLE AS total_elapsed_time_sec, round(sum(d)::DOUBLE / count(*)) / 1e6::DOUBLE AS avg_elapsed_time_sec,
   sum(lr * n)::BIGINT AS total_logical_reads, sum(pr * n)::BIGINT AS total_physical_reads,
   round(sum(n)::DOUBLE / ((epoch_us(max(l)) - epoch_us(min(f)))::DOUBLE / 1e6::DOUBLE / 86400), 2) AS calls_per_day,
   round((1.0::DOUBLE - sum(pr * n)::DOUBLE / sum(lr * n)::DOUBLE) * 100, 2) AS cache_hit_ratio,
