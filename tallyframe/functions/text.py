@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Pattern and replacement, applied in this order.
+# Pattern, replacement, and a text without which the pattern cannot match; applied in this order.
 MESSAGE_RULES = (
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[REDACTED_IP]"),
-    (r"\b[\w.-]+\.amazonaws\.com\b", "[REDACTED_HOST]"),
-    (r"\b[\w.-]+:\d{2,5}\b", "[REDACTED_ENDPOINT]"),
-    (r"(?i)password\s*=\s*[^\s,;'\"]+", "password=[REDACTED]"),
-    (r"(?i)username\s*=\s*[^\s,;'\"]+", "username=[REDACTED]"),
-    (r"(?i)\buser\s*=\s*[^\s,;'\"]+", "user=[REDACTED]"),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[REDACTED_IP]", "."),
+    (r"\b[\w.-]+\.amazonaws\.com\b", "[REDACTED_HOST]", ".amazonaws.com"),
+    (r"\b[\w.-]+:\d{2,5}\b", "[REDACTED_ENDPOINT]", ":"),
+    (r"(?i)password\s*=\s*[^\s,;'\"]+", "password=[REDACTED]", "="),
+    (r"(?i)username\s*=\s*[^\s,;'\"]+", "username=[REDACTED]", "="),
+    (r"(?i)\buser\s*=\s*[^\s,;'\"]+", "user=[REDACTED]", "="),
 )
 LOG_RULES = (
     r"""(?i)(aws_secret_access_key["\s:=]+)[^\s,}"']+""",
@@ -27,8 +27,8 @@ LOG_RULES = (
 
 def redact_text(text: Column) -> Column:
     """Without addresses, hosts, ports and credentials."""
-    for pattern, replacement in MESSAGE_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+    for pattern, replacement, needed in MESSAGE_RULES:
+        text = F.when(text.contains(needed), F.regexp_replace(text, pattern, replacement)).otherwise(text)
     return text
 
 

@@ -9,8 +9,12 @@ from pyspark.sql import types as T
 # Stands for a NULL inside a joined key: backslash, x, 0, 0 (fixed value).
 NULL_MARK = r"\x00"
 
-_PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
-_EXPONENT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+$"
+# Marks the canonical form of a number; database text cannot hold this character.
+_NUMBER = "\x00"
+_PLAIN = r"^(?=[+-]?\.?[0-9])\+?(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$"
+_EXPONENT = r"[eE][+-]?[0-9]+$"
+_NUMERAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+_INFINITE = r"^[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?$"
 
 
 def is_number(dtype: T.DataType) -> bool:
@@ -22,49 +26,48 @@ def is_moment(dtype: T.DataType) -> bool:
 
 
 def _digits(text: Column) -> Column:
-    """A decimal numeral without sign of zero, leading zeros or trailing fraction zeros."""
-    negative = text.startswith("-")
-    body = F.regexp_replace(text, r"^[+-]", "")
-    whole = F.regexp_replace(F.regexp_extract(body, r"^([0-9]*)", 1), r"^0+", "")
-    fraction = F.regexp_replace(F.regexp_extract(body, r"\.([0-9]*)$", 1), r"0+$", "")
-    size = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-    return F.when(negative & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+    """A plain numeral as sign, whole and fraction without idle zeros; zero has no sign."""
+    return F.regexp_replace(F.regexp_replace(text, _PLAIN, _NUMBER + "$1|$2|$3"), rf"^{_NUMBER}-\|\|$", _NUMBER + "||")
 
 
-def numeral(text: Column) -> Column:
-    """Canonical text of a numeral, NULL when the text is not one.
+def _may_be_number(text: Column) -> Column:
+    """A look at both ends, so that ordinary text costs no pattern.
 
-    Two texts get the same form exactly when they are the same number. An
-    exponent outside 38 digits falls back to the double it denotes.
+    A number starts with a sign, a point, a digit or the i or n of inf and nan, and
+    ends with a digit, a point, or the f, y or n of inf, infinity and nan.
     """
     trimmed = F.trim(text)
-    exact = trimmed.try_cast("decimal(38,18)")
-    wide = trimmed.try_cast("double")
-    return (
-        F.when(trimmed.rlike(_PLAIN), _digits(trimmed))
-        .when(
-            trimmed.rlike(_EXPONENT),
-            F.when(exact.isNotNull() & (exact.cast("double") == wide), _digits(exact.cast("string"))).otherwise(
-                F.concat(F.lit("~"), wide.cast("string"))
-            ),
-        )
-        .when(F.lower(trimmed).rlike(r"^[+-]?inf(inity)?$"), F.when(trimmed.startswith("-"), "-inf").otherwise("inf"))
+    first, last = F.ascii(trimmed), F.ascii(F.substring(trimmed, -1, 1))
+    return (first.between(43, 57) | first.isin(73, 78, 105, 110)) & (last.between(46, 57) | last.isin(70, 78, 89, 102, 110, 121))
+
+
+def _without_exponent(text: Column) -> Column:
+    """A numeral with exponent written out. Outside 38 digits it becomes the double it denotes."""
+    exact, wide = text.try_cast("decimal(38,18)"), text.try_cast("double")
+    return F.when(exact.cast("double") == wide, F.replace(F.format_number(exact, 18), F.lit(","), F.lit(""))).otherwise(F.concat(F.lit(_NUMBER + "~"), wide.cast("string")))
+
+
+def by_value(text: Column) -> Column:
+    """Numbers in a canonical form, other text as it is.
+
+    Two texts get the same form exactly when they are the same number or the same text.
+    """
+    trimmed = F.trim(text)
+    plain = F.when(trimmed.rlike(_EXPONENT), _without_exponent(trimmed)).otherwise(trimmed)
+    number = F.when(trimmed.rlike(_NUMERAL), _digits(plain)).when(
+        trimmed.rlike(_INFINITE), F.concat(F.lit(_NUMBER), F.when(trimmed.startswith("-"), "-inf").otherwise("inf"))
     )
+    return F.when(_may_be_number(text), number.otherwise(text)).otherwise(text)
 
 
 def comparable(value: Column, dtype: T.DataType) -> Column:
     """Text under which two values of any types are equal when the numbers or texts are."""
     if isinstance(dtype, T.BooleanType):
         return F.initcap(value.cast("string"))
-    if isinstance(dtype, T.IntegralType):
-        return value.cast("string")
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = value.cast("string")
-        return F.coalesce(numeral(text), text)
-    if isinstance(dtype, T.DecimalType):
-        return _digits(value.cast(T.DecimalType(dtype.precision, dtype.scale)).cast("string"))
+    if isinstance(dtype, T.NumericType):
+        return by_value(value.cast("string"))
     if isinstance(dtype, T.StringType):
-        return F.coalesce(numeral(value), value)
+        return by_value(value)
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(value)
     if isinstance(dtype, T.TimestampType):
@@ -87,7 +90,8 @@ def _nan(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.isnan(value)
     if isinstance(dtype, T.StringType):
-        return F.lower(F.trim(value)).rlike(r"^[+-]?nan$")
+        short = F.trim(value)
+        return _may_be_number(value) & (F.length(short) <= 4) & F.lower(short).isin("nan", "+nan", "-nan")
     return F.lit(False)
 
 

@@ -307,4 +307,5 @@ def record_match_range(source: DataFrame, target: DataFrame, keys: Sequence[str]
         raise ValueError(f"match key {keys[0]!r} is not unique in the selected source rows")
     if repeated:
         raise ValueError(f"match key {keys[0]!r} is not unique in the target table")
-    return counts
+    # The one row is known by now.
+    return source.sparkSession.createDataFrame([seen], counts.schema)

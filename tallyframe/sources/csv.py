@@ -12,17 +12,27 @@ from tallyframe.session import cut_lineage
 
 MAX_ERRORS = 1000  # rejected rows up to which a load passes (fixed value)
 
-# Formats tried in this order for dates and times.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "dd-MMM-yyyy")
 _CORRUPT = "_corrupt"
 # A line put together again keeps its blanks and empty fields.
 _AS_READ = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": ""}
 
 
 def _moment(text: Column, dtype: T.DataType) -> Column:
-    own = text.try_cast("timestamp_ntz")
-    tried = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS]
-    return F.coalesce(own, *tried).cast(dtype)
+    """A date or time in one of the usual forms. The place of the separators tells the form, so one is tried per value."""
+    t = F.trim(text)
+
+    def form(pattern: str) -> Column:
+        return F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz")
+
+    third = F.substring(t, 3, 1)
+    parsed = (
+        F.when(F.substring(t, 5, 1) == "-", t.try_cast("timestamp_ntz"))
+        .when(third == "/", form("MM/dd/yyyy[ HH:mm:ss]"))
+        .when(third == "-", form("dd-MMM-yyyy"))
+        .when((F.length(t) == 8) & (third != ":"), form("yyyyMMdd"))
+        .otherwise(t.try_cast("timestamp_ntz"))
+    )
+    return parsed.cast(dtype)
 
 
 def _convert(text: Column, dtype: T.DataType) -> Column:
