@@ -39,9 +39,9 @@ def _point_to(spark: SparkSession, name: str, path: str, schema: T.StructType) -
     spark.catalog.refreshTable(name)
 
 
-def replace_table(name: str, df: DataFrame, root: str) -> str:
-    """New contents for table ``name`` in a new folder below ``root``."""
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def replace_table(name: str, df: DataFrame, root: str, label: str = "") -> str:
+    """New contents for table ``name`` in a new folder below ``root``; ``label`` becomes part of the folder's name."""
+    path = f"{root.rstrip('/')}/{name}-{label}{uuid.uuid4().hex}"
     df.write.parquet(path)
     _point_to(df.sparkSession, name, path, df.schema)
     return path

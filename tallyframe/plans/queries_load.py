@@ -30,9 +30,7 @@ def _chunks(spark, sf, path, parts=4):
 @query("scan_table", "SELECT lower(r_name) AS r_name, n_nationkey, n_name, c_custkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
 def scan(spark, sf):
     region, nation, customer = (tables.scan_table(spark, "parquet", {"path": sf}, f"{t}.parquet") for t in ("region", "nation", "customer"))
-    joined = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(F.lower("r_name").alias("r_name"), "n_nationkey", "n_name", "c_custkey")
 
 

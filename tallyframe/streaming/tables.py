@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +20,31 @@ def _run(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> Non
 def stream_merge(stream: DataFrame, name: str, keys: Sequence[str], root: str, checkpoint: str, dedupe_staging: bool = False) -> None:
     """Upsert every micro-batch into table ``name``.
 
-    The table's comment of done batches is its ``TBLPROPERTIES``: a batch that is
-    run again after a crash is skipped.
+    The folder of the table's contents is named after the batch that made them, so
+    pointing the table there and noting the batch is one step: a batch that is run
+    again after a crash is either not there yet or skipped.
     """
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         exists = spark.catalog.tableExists(name)
-        if exists and _last_batch(spark, name, checkpoint) >= batch_id:
+        if exists and last_batch(spark, name, checkpoint) >= batch_id:
             return
         target = spark.table(name) if exists else batch.limit(0)
-        replace_table(name, merge_upsert(target, batch, keys, dedupe_staging), root)
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{_property(checkpoint)}' = '{batch_id}')")
+        replace_table(name, merge_upsert(target, batch, keys, dedupe_staging), root, _label(checkpoint, batch_id))
 
     _run(stream, apply, checkpoint)
 
 
-def _property(checkpoint: str) -> str:
-    return "merged." + "".join(c if c.isalnum() else "_" for c in checkpoint)
+def _label(checkpoint: str, batch_id: int | str) -> str:
+    return f"{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-batch{batch_id}-"
 
 
-def _last_batch(spark: SparkSession, name: str, checkpoint: str) -> int:
-    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == _property(checkpoint)).collect()
-    return int(rows[0]["value"]) if rows else -1
+def last_batch(spark: SparkSession, name: str, checkpoint: str) -> int:
+    """The batch of this stream the table's contents come from, -1 when they come from elsewhere."""
+    location = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter(F.col("col_name") == "Location").first()["data_type"]
+    found = re.search(_label(checkpoint, r"(\d+)"), location)
+    return int(found.group(1)) if found else -1
 
 
 def stream_concurrency(stream: DataFrame, out: str, checkpoint: str, time: str = "execution_time", grain: str = "1 minute", lateness: str = "1 hour") -> None:
