@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.operators.schema import refuse_incompatible, schema_changes
 from tallyframe.session import cut_lineage
 
 HISTORY_SCHEMA = (
@@ -169,15 +170,16 @@ def load_incremental(name: str, source: DataFrame, column: str, bookmarks: str,
     spark = source.sparkSession
     bookmark = bookmark_of(spark, bookmarks, name)
     fresh = incremental_filter(source, column, bookmark)
-    seen = Observation(f"load_{name}_{uuid.uuid4().hex}")
-    staged = cut_lineage(fresh.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(column).cast("string")).alias("latest")))
-    rows, latest = seen.get["rows"], seen.get["latest"]
-    if rows == 0:
+    if fresh.isEmpty():
         return {"status": "no_new_data", "rows_loaded": 0, "bookmark": bookmark}
-    if keys:
-        load_table(name, staged, root, load_type="incremental", primary_key=list(keys))
+    seen = Observation(f"load_{uuid.uuid4().hex}")
+    counted = fresh.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(column).cast("string")).alias("latest"))
+    if keys and spark.catalog.tableExists(name):
+        # The merge reads its staging twice, so that is written first.
+        merge_table(name, cut_lineage(counted), keys, root)
     else:
-        load_full(name, staged, root)
+        load_full(name, counted, root)
+    rows, latest = seen.get["rows"], seen.get["latest"]
     spark.createDataFrame([(name, latest)], "table_name string, bookmark string").write.mode("append").parquet(bookmarks)
     return {"status": "loaded", "rows_loaded": rows, "bookmark": latest}
 
@@ -248,10 +250,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def evolve_table(name: str, incoming: DataFrame, root: str) -> None:
-    """Append rows whose schema has grown, widening the table first."""
-    from tallyframe.operators.schema import schema_evolve
+def table_location(spark: SparkSession, name: str) -> str:
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter(F.col("col_name") == "Location").first()["data_type"]
 
-    replace_table(name, schema_evolve(incoming.sparkSession.table(name), incoming), root)
 
+def evolve_table(name: str, incoming: DataFrame) -> None:
+    """Append rows whose schema has grown. Only the catalog entry changes: old files are read under the wider schema.
 
+    New columns are added in place. A widened type needs a new entry over the same folder.
+    """
+    spark = incoming.sparkSession
+    old = spark.table(name).schema
+    changes = refuse_incompatible(schema_changes(old, incoming.schema))
+    kinds = {kind for _, kind, _, _ in changes}
+    new = [incoming.schema[column] for column, kind, _, _ in changes if kind == "new"]
+    if "promotion" in kinds:
+        fields = [T.StructField(f.name, incoming.schema[f.name].dataType) for f in old.fields]
+        path = table_location(spark, name)
+        spark.sql(f"DROP TABLE {name}")
+        spark.catalog.createTable(name, path=path, source="parquet", schema=T.StructType(fields + [T.StructField(f.name, f.dataType) for f in new]))
+    elif new:
+        added = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({added})")
+    append_table(name, incoming)

@@ -222,7 +222,8 @@ def record_samples(source: DataFrame, target: DataFrame, keys: Sequence[str], li
     """Up to ``limit`` discrepancies with key, type and, for a changed record, its first differing column."""
     keys = _check_keys(source, target, keys)
     rank = F.when(F.col("record_status") == "extra_in_target", 1).otherwise(0)
-    chosen = (
+    # Written once, because it is used three times.
+    chosen = cut_lineage(
         record_index(source, target, keys)
         .filter("record_status <> 'matched'")
         .orderBy(rank, *keys)

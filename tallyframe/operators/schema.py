@@ -111,11 +111,16 @@ def schema_changes(existing: T.StructType, incoming: T.StructType) -> list[tuple
     return changes
 
 
-def schema_evolve(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing and incoming rows under the evolved schema; new columns are NULL in old rows."""
-    bad = [c for c in schema_changes(existing.schema, incoming.schema) if c[1] in ("incompatible", "removed")]
+def refuse_incompatible(changes: list[tuple[str, str, str | None, str | None]]) -> list[tuple[str, str, str | None, str | None]]:
+    bad = [c for c in changes if c[1] in ("incompatible", "removed")]
     if bad:
         raise ValueError("incompatible schema change: " + "; ".join(f"{n} {k} {o}->{w}" for n, k, o, w in bad))
+    return changes
+
+
+def schema_evolve(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Existing and incoming rows under the evolved schema; new columns are NULL in old rows."""
+    refuse_incompatible(schema_changes(existing.schema, incoming.schema))
     widened = existing.select(
         *[F.col(f.name).cast(incoming.schema[f.name].dataType).alias(f.name) for f in existing.schema.fields]
     )

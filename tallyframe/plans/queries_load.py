@@ -131,10 +131,11 @@ def tolerant(spark, sf):
 @query("load_rejects", v.with_views(_CSV_SQL, """
 SELECT 'wrong number of fields' AS reason, '' AS column_name, o_orderkey || ',cut' AS raw_line FROM rows_ WHERE short
 UNION ALL SELECT 'invalid value', 'cust', o_orderkey || ',x1,' || CASE o_orderkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN '' ELSE st END || ',' ||
-  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%m/%d/%Y') END FROM rows_ WHERE bad AND NOT short"""))
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%m/%d/%Y') END FROM rows_ WHERE bad AND NOT short
+ORDER BY raw_line DESC LIMIT 100"""))
 def rejects(spark, sf):
     _, bad = _parsed(spark, sf)
-    return csv.load_rejects(bad, 1_000_000).select("reason", "column_name", "raw_line")
+    return csv.load_rejects(bad, 100, newest=["raw_line"]).select("reason", "column_name", "raw_line")
 
 
 @query("load_full", """
@@ -314,7 +315,7 @@ def evolved(spark, sf):
     old = orders.filter("o_orderkey % 2 = 0").selectExpr("cast(o_orderkey as int) as o_orderkey", "cast(o_totalprice as float) as price")
     load.load_full(name, old, root)
     new = orders.filter("o_orderkey % 2 = 1").selectExpr("o_orderkey", "o_totalprice as price", "'web' as channel")
-    load.evolve_table(name, new, root)
+    load.evolve_table(name, new)
     return spark.table(name)
 
 

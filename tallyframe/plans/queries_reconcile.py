@@ -255,15 +255,22 @@ def one_report(spark, sf):
 SELECT 'orders' AS table_name, 'failed' AS table_status, 3 AS checks_run, 3 AS checks_failed
 UNION ALL SELECT 'customer', 'completed', 3, 0 WHERE (SELECT count(*) FROM customer) > 0
 UNION ALL SELECT 'part', 'error', 2, CASE WHEN (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) > 0 THEN 1 ELSE 0 END
-UNION ALL SELECT 'supplier', 'completed', 0, 0"""))
+UNION ALL SELECT 'supplier', 'completed', 0, 0 UNION ALL SELECT 'unreadable', 'error', 1, 0"""))
 def many_tables(spark, sf):
-    orders, damaged = _pair(spark, sf)
-    customer, part, supplier = (v.table(spark, sf, t) for t in ("customer", "part", "supplier"))
+    def plain(name, checks):
+        return lambda: (v.table(spark, sf, name), v.table(spark, sf, name), checks)
+
+    def halved():
+        part = v.table(spark, sf, "part")
+        return part, part.filter("p_partkey % 2 = 1"), {"row_count": True, "null_check": "absent"}
+
     return report.validation_run(
+        spark,
         {
-            "orders": (orders, damaged, {"row_count": True, "null_check": "o_orderpriority", "record_match": ["o_orderkey"]}),
-            "customer": (customer, customer, {"row_count": True, "sum_check": "c_acctbal", "record_match": ["c_custkey"]}),
-            "part": (part, part.filter("p_partkey % 2 = 1"), {"row_count": True, "null_check": "absent"}),
-            "supplier": (supplier, supplier, {}),
-        }
+            "orders": lambda: (*_pair(spark, sf), {"row_count": True, "null_check": "o_orderpriority", "record_match": ["o_orderkey"]}),
+            "customer": plain("customer", {"row_count": True, "sum_check": "c_acctbal", "record_match": ["c_custkey"]}),
+            "part": halved,
+            "supplier": plain("supplier", {}),
+            "unreadable": plain("unreadable", {"row_count": True}),
+        },
     )

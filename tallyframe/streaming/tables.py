@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators.load import merge_upsert, replace_table
+from tallyframe.operators.load import merge_upsert, replace_table, table_location
 
 
 def _run(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> None:
@@ -42,8 +42,7 @@ def _label(checkpoint: str, batch_id: int | str) -> str:
 
 def last_batch(spark: SparkSession, name: str, checkpoint: str) -> int:
     """The batch of this stream the table's contents come from, -1 when they come from elsewhere."""
-    location = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter(F.col("col_name") == "Location").first()["data_type"]
-    found = re.search(_label(checkpoint, r"(\d+)"), location)
+    found = re.search(_label(checkpoint, r"(\d+)"), table_location(spark, name))
     return int(found.group(1)) if found else -1
 
 
