@@ -9,70 +9,76 @@ from pyspark.sql import types as T
 # Stands for a NULL inside a joined key: backslash, x, 0, 0 (fixed value).
 NULL_MARK = r"\x00"
 
-# Marks the canonical form of a number; database text cannot hold this character.
-_NUMBER = "\x00"
+# Patterns of numbers in text. They are written into SQL as raw literals.
 _PLAIN = r"^(?=[+-]?\.?[0-9])\+?(-?)0*([0-9]*)(?:\.([0-9]*?)0*)?$"
+_MINUS_ZERO = r"^\x00-\|\|$"
 _EXPONENT = r"[eE][+-]?[0-9]+$"
 _NUMERAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _INFINITE = r"^[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?$"
 
 
-def is_number(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)
+def quoted(*path: str) -> str:
+    """A column, or a field of one, as SQL."""
+    return ".".join("`" + name.replace("`", "``") + "`" for name in path)
 
 
 def is_moment(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
 
 
-def _digits(text: Column) -> Column:
-    """A plain numeral as sign, whole and fraction without idle zeros; zero has no sign."""
-    return F.regexp_replace(F.regexp_replace(text, _PLAIN, _NUMBER + "$1|$2|$3"), rf"^{_NUMBER}-\|\|$", _NUMBER + "||")
+# The comparison rules are SQL text: a table of many columns is then one expression
+# to parse, and not thousands of calls to build.
 
 
-def _may_be_number(text: Column) -> Column:
+def _may_be_number(x: str) -> str:
     """A look at both ends, so that ordinary text costs no pattern.
 
     A number starts with a sign, a point, a digit or the i or n of inf and nan, and
     ends with a digit, a point, or the f, y or n of inf, infinity and nan.
     """
-    trimmed = F.trim(text)
-    first, last = F.ascii(trimmed), F.ascii(F.substring(trimmed, -1, 1))
-    return (first.between(43, 57) | first.isin(73, 78, 105, 110)) & (last.between(46, 57) | last.isin(70, 78, 89, 102, 110, 121))
+    first, last = f"ascii(trim({x}))", f"ascii(substring(trim({x}), -1, 1))"
+    starts = f"({first} BETWEEN 43 AND 57 OR {first} IN (73, 78, 105, 110))"
+    return f"({starts} AND ({last} BETWEEN 46 AND 57 OR {last} IN (70, 78, 89, 102, 110, 121)))"
 
 
-def _without_exponent(text: Column) -> Column:
+def _without_exponent(x: str) -> str:
     """A numeral with exponent written out. Outside 38 digits it becomes the double it denotes."""
-    exact, wide = text.try_cast("decimal(38,18)"), text.try_cast("double")
-    return F.when(exact.cast("double") == wide, F.replace(F.format_number(exact, 18), F.lit(","), F.lit(""))).otherwise(F.concat(F.lit(_NUMBER + "~"), wide.cast("string")))
+    exact, wide = f"try_cast({x} AS DECIMAL(38,18))", f"try_cast({x} AS DOUBLE)"
+    return (
+        f"CASE WHEN CAST({exact} AS DOUBLE) = {wide} THEN replace(format_number({exact}, 18), ',', '') "
+        f"ELSE concat('\\0~', CAST({wide} AS STRING)) END"
+    )
 
 
-def by_value(text: Column) -> Column:
-    """Numbers in a canonical form, other text as it is.
+def by_value(x: str) -> str:
+    """Numbers as sign, whole and fraction without idle zeros, other text as it is.
 
-    Two texts get the same form exactly when they are the same number or the same text.
+    Two texts get the same form exactly when they are the same number or the same
+    text. The form starts with a NUL, which database text cannot hold.
     """
-    trimmed = F.trim(text)
-    plain = F.when(trimmed.rlike(_EXPONENT), _without_exponent(trimmed)).otherwise(trimmed)
-    number = F.when(trimmed.rlike(_NUMERAL), _digits(plain)).when(
-        trimmed.rlike(_INFINITE), F.concat(F.lit(_NUMBER), F.when(trimmed.startswith("-"), "-inf").otherwise("inf"))
+    t = f"trim({x})"
+    plain = f"CASE WHEN rlike({t}, r'{_EXPONENT}') THEN {_without_exponent(t)} ELSE {t} END"
+    number = f"regexp_replace(regexp_replace({plain}, r'{_PLAIN}', '\\0$1|$2|$3'), r'{_MINUS_ZERO}', '\\0||')"
+    infinite = f"concat('\\0', if(startswith({t}, '-'), '-inf', 'inf'))"
+    return (
+        f"CASE WHEN {_may_be_number(x)} THEN CASE WHEN rlike({t}, r'{_NUMERAL}') THEN {number} "
+        f"WHEN rlike({t}, r'{_INFINITE}') THEN {infinite} ELSE {x} END ELSE {x} END"
     )
-    return F.when(_may_be_number(text), number.otherwise(text)).otherwise(text)
 
 
-def comparable(value: Column, dtype: T.DataType) -> Column:
+def comparable(x: str, dtype: T.DataType) -> str:
     """Text under which two values of any types are equal when the numbers or texts are."""
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(value.cast("string"))
+        return f"initcap(CAST({x} AS STRING))"
     if isinstance(dtype, T.NumericType):
-        return by_value(value.cast("string"))
+        return by_value(f"CAST({x} AS STRING)")
     if isinstance(dtype, T.StringType):
-        return by_value(value)
+        return by_value(x)
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(value)
+        return f"to_json({x})"
     if isinstance(dtype, T.TimestampType):
-        return value.cast("timestamp_ntz").cast("string")
-    return value.cast("string")
+        return f"CAST(CAST({x} AS TIMESTAMP_NTZ) AS STRING)"
+    return f"CAST({x} AS STRING)"
 
 
 def same_kind(a: T.DataType, b: T.DataType) -> bool:
@@ -86,55 +92,48 @@ def same_kind(a: T.DataType, b: T.DataType) -> bool:
     return isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)
 
 
-def _nan(value: Column, dtype: T.DataType) -> Column:
+def is_nan(x: str, dtype: T.DataType) -> str | None:
+    """Whether a value is, or spells, NaN; None for types that have none."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.isnan(value)
+        return f"isnan({x})"
     if isinstance(dtype, T.StringType):
-        short = F.trim(value)
-        return _may_be_number(value) & (F.length(short) <= 4) & F.lower(short).isin("nan", "+nan", "-nan")
-    return F.lit(False)
+        return f"({_may_be_number(x)} AND length(trim({x})) <= 4 AND lower(trim({x})) IN ('nan', '+nan', '-nan'))"
+    return None
 
 
-def values_equal(source: Column, target: Column, source_type: T.DataType, target_type: T.DataType) -> Column:
+def values_equal(source: str, target: str, source_type: T.DataType, target_type: T.DataType) -> str:
     """Type-aware equality: NULL equals NULL, numbers by value, even inside text; NaN equals nothing."""
+    a, b = source, target
     if same_kind(source_type, target_type):
         if is_moment(source_type):
-            source, target = source.cast("timestamp_ntz"), target.cast("timestamp_ntz")
-        equal = source == target
-        both_nan = _nan(source, source_type)
+            a, b = f"CAST({a} AS TIMESTAMP_NTZ)", f"CAST({b} AS TIMESTAMP_NTZ)"
     else:
-        equal = comparable(source, source_type) == comparable(target, target_type)
-        both_nan = _nan(source, source_type) & _nan(target, target_type)
+        a, b = comparable(a, source_type), comparable(b, target_type)
+    equal = f"({a}) = ({b})"
+    nan = is_nan(source, source_type)
+    if nan:
+        equal = f"({equal}) AND NOT {nan}"
     return (
-        F.when(source.isNull() & target.isNull(), True)
-        .when(source.isNull() | target.isNull(), False)
-        .otherwise(equal & ~both_nan)
+        f"CASE WHEN {source} IS NULL AND {target} IS NULL THEN true WHEN {source} IS NULL OR {target} IS NULL THEN false ELSE {equal} END"
     )
 
 
-def fingerprint_form(value: Column, own: T.DataType, other: T.DataType | None) -> Column:
-    """A column to hash such that equal hashes mean equal values of the pair of types.
-
-    A column the other side does not have compares as NULL there.
-    """
+def fingerprint_form(x: str, own: T.DataType, other: T.DataType | None) -> str:
+    """What to hash of a column, such that equal hashes mean equal values of the pair of types."""
     if other is not None and same_kind(own, other):
         if is_moment(own):
-            return value.cast("timestamp_ntz")
+            return f"CAST({x} AS TIMESTAMP_NTZ)"
         if isinstance(own, T.IntegralType):
-            return value.cast("bigint")
+            return f"CAST({x} AS BIGINT)"
         if isinstance(own, (T.DoubleType, T.FloatType)):
-            return value + F.lit(0.0)  # -0.0 and 0.0 are one number
-        return value
-    return comparable(value, own)
-
-
-def any_nan(pairs: list[tuple[Column, T.DataType]]) -> Column:
-    """Whether a row holds a NaN among the compared columns, which makes it equal to nothing."""
-    checks = [F.coalesce(_nan(c, t), F.lit(False)) for c, t in pairs if isinstance(t, (T.DoubleType, T.FloatType, T.StringType))]
-    result = F.lit(False)
-    for check in checks:
-        result = result | check
-    return result
+            return f"({x} + 0.0D)"  # -0.0 and 0.0 are one number
+        return x
+    return comparable(x, own)
+
+
+def shown_sql(x: str, dtype: T.DataType) -> str:
+    """A value as report text, in SQL."""
+    return f"to_json({x})" if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)) else f"CAST({x} AS STRING)"
 
 
 def shown(value: Column, dtype: T.DataType) -> Column:

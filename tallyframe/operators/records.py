@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tallyframe.functions.values import NULL_MARK, any_nan, comparable, fingerprint_form, key_text, shown, values_equal
+from tallyframe.functions.values import NULL_MARK, fingerprint_form, is_nan, key_text, quoted, shown, shown_sql, values_equal
 from tallyframe.operators.parity import SAMPLE_ROWS
 from tallyframe.session import cut_lineage
 
@@ -42,16 +42,20 @@ def _check_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> li
 
 
 def _fingerprint(own: dict[str, T.DataType], other: dict[str, T.DataType], columns: Sequence[str], side: int) -> Column:
-    parts: list[Column] = []
+    parts, nans = [], []
     for name in columns:
-        if name in own:
-            form = fingerprint_form(F.col(name), own[name], other.get(name))
-        else:
-            form = F.lit(None).cast("string")
-        parts += [form.isNull(), form]
-    nan = any_nan([(F.col(n), own[n]) for n in columns if n in own])
+        if name not in own:
+            # A column this side does not have compares as NULL.
+            parts.append("true, CAST(NULL AS STRING)")
+            continue
+        column = quoted(name)
+        parts.append(f"{column} IS NULL, {fingerprint_form(column, own[name], other.get(name))}")
+        nan = is_nan(column, own[name])
+        if nan:
+            nans.append(f"coalesce({nan}, false)")
     # A NaN equals nothing, so such rows get a fingerprint of their side.
-    return F.xxhash64(F.when(nan, F.lit(side)).otherwise(F.lit(-1)), *parts)
+    marked = f"if({' OR '.join(nans)}, {side}, -1)" if nans else "-1"
+    return F.expr(f"xxhash64({', '.join([marked, *parts])})")
 
 
 def record_index(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -198,22 +202,19 @@ def value_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Dat
     pairs, columns, own, other = _paired(source, target, keys)
     found = []
     for position, name in enumerate(columns, start=1):
-        left = F.col(f"s.{name}")
-        if name in other:
-            right, right_type = F.col(f"t.{name}"), other[name]
-        else:
-            right, right_type = F.lit(None).cast("string"), T.StringType()
-        entry = F.struct(
-            F.lit(position).alias("position"),
-            F.lit(name).alias("column_name"),
-            shown(left, own[name]).alias("source_value"),
-            shown(right, right_type).alias("target_value"),
+        left, right = quoted("s", name), quoted("t", name)
+        right_type = other.get(name)
+        if right_type is None:
+            right, right_type = "CAST(NULL AS STRING)", T.StringType()
+        label = name.replace("\\", "\\\\").replace("'", "\\'")
+        found.append(
+            f"CASE WHEN NOT {values_equal(left, right, own[name], right_type)} THEN named_struct('position', {position}, "
+            f"'column_name', '{label}', 'source_value', {shown_sql(left, own[name])}, 'target_value', {shown_sql(right, right_type)}) END"
         )
-        found.append(F.when(~values_equal(left, right, own[name], right_type), entry))
     both = F.col("s").isNotNull() & F.col("t").isNotNull()
     return (
         pairs.filter(both)
-        .select(*keys, F.inline(F.array_compact(F.array(*found))))
+        .select(*keys, F.expr(f"inline(array_compact(array({', '.join(found)})))"))
         .select(*keys, "position", "column_name", "source_value", "target_value")
     )
 

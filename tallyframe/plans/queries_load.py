@@ -278,7 +278,7 @@ STRUCTURE = {
 
 @query("apply_structure", """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(12,2)), 1) AS DOUBLE) AS o_totalprice,
-  strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, NULL AS note, 5 AS warning_count FROM orders""")
+  strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, CAST(NULL AS VARCHAR) AS note, 5 AS warning_count FROM orders""")
 def structured(spark, sf):
     shaped, warnings = schema.apply_structure(v.table(spark, sf, "orders"), STRUCTURE)
     return shaped.select(

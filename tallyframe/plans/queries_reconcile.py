@@ -81,7 +81,7 @@ j AS (SELECT s.o_orderkey sk, t.o_orderkey tk,
 @query("record_match_pk", v.with_views(v.ORDERS_TARGET, _MATCH + """
 SELECT count(sk) AS total_compared, count(*) FILTER (sk = tk AND same) AS matched_count,
   count(*) FILTER (tk IS NULL) AS missing_count, count(*) FILTER (sk IS NULL) AS extra_count,
-  count(*) FILTER (sk = tk AND NOT same) AS mismatch_count, 0 AS source_duplicate_keys,
+  count(*) FILTER (sk = tk AND NOT same) AS mismatch_count, 0::BIGINT AS source_duplicate_keys,
   (SELECT count(*) FROM (SELECT 1 FROM orders_target GROUP BY o_orderkey HAVING count(*) > 1)) AS target_duplicate_keys,
   CASE WHEN count(*) = count(*) FILTER (sk = tk AND same) THEN 'passed' ELSE 'failed' END AS status
 FROM j"""))
@@ -92,9 +92,9 @@ def match_pk(spark, sf):
 @query("record_match_composite", """
 WITH t AS (SELECT * FROM conversations WHERE (conv_id * 31 + turn) % 17 <> 0)
 SELECT count(*) AS total_compared, count(*) FILTER (t.conv_id IS NOT NULL AND (s.conv_id + s.turn) % 11 <> 0) AS matched_count,
-  count(*) FILTER (t.conv_id IS NULL) AS missing_count, 0 AS extra_count,
+  count(*) FILTER (t.conv_id IS NULL) AS missing_count, 0::BIGINT AS extra_count,
   count(*) FILTER (t.conv_id IS NOT NULL AND (s.conv_id + s.turn) % 11 = 0) AS mismatch_count,
-  0 AS source_duplicate_keys, 0 AS target_duplicate_keys, 'failed' AS status
+  0::BIGINT AS source_duplicate_keys, 0::BIGINT AS target_duplicate_keys, 'failed' AS status
 FROM conversations s LEFT JOIN t ON s.conv_id = t.conv_id AND s.turn = t.turn""")
 def match_composite(spark, sf):
     source = v.table(spark, sf, "conversations")
@@ -110,7 +110,7 @@ t AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, cou
 j AS (SELECT s.n sn, t.n tn FROM s FULL JOIN t ON s.o_orderkey = t.o_orderkey AND s.o_custkey = t.o_custkey
       AND s.o_orderstatus = t.o_orderstatus AND s.o_orderpriority IS NOT DISTINCT FROM t.o_orderpriority)
 SELECT count(sn) AS total_compared, count(*) FILTER (sn IS NOT NULL AND tn IS NOT NULL) AS matched_count,
-  count(*) FILTER (tn IS NULL) AS missing_count, count(*) FILTER (sn IS NULL) AS extra_count, 0 AS mismatch_count,
+  count(*) FILTER (tn IS NULL) AS missing_count, count(*) FILTER (sn IS NULL) AS extra_count, 0::BIGINT AS mismatch_count,
   count(*) FILTER (sn > 1) AS source_duplicate_keys, count(*) FILTER (tn > 1) AS target_duplicate_keys, 'failed' AS status
 FROM j"""))
 def match_hash(spark, sf):
@@ -155,9 +155,9 @@ def samples(spark, sf):
 WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn BETWEEN 101 AND 1100)
 SELECT count(*) AS total_compared,
   count(*) FILTER (o_orderkey % 97 <> 0 AND o_orderkey % 101 <> 0) AS matched_count,
-  count(*) FILTER (o_orderkey % 97 = 0) AS missing_count, 0 AS extra_count,
+  count(*) FILTER (o_orderkey % 97 = 0) AS missing_count, 0::BIGINT AS extra_count,
   count(*) FILTER (o_orderkey % 97 <> 0 AND o_orderkey % 101 = 0) AS mismatch_count,
-  0 AS source_duplicate_keys, 0 AS target_duplicate_keys, 'failed' AS status FROM s""")
+  0::BIGINT AS source_duplicate_keys, 0::BIGINT AS target_duplicate_keys, 'failed' AS status FROM s""")
 def match_range(spark, sf):
     source = v.table(spark, sf, "orders")
     target = source.filter("o_orderkey % 97 <> 0").withColumn(
@@ -252,7 +252,7 @@ def one_report(spark, sf):
 
 
 @query("validation_run", v.with_views(v.ORDERS_TARGET, """
-SELECT 'orders' AS table_name, 'failed' AS table_status, 3 AS checks_run, 3 AS checks_failed
+SELECT 'orders' AS table_name, 'failed' AS table_status, 3::BIGINT AS checks_run, 3::BIGINT AS checks_failed
 UNION ALL SELECT 'customer', 'completed', 3, 0 WHERE (SELECT count(*) FROM customer) > 0
 UNION ALL SELECT 'part', 'error', 2, CASE WHEN (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) > 0 THEN 1 ELSE 0 END
 UNION ALL SELECT 'supplier', 'completed', 0, 0 UNION ALL SELECT 'unreadable', 'error', 1, 0"""))
