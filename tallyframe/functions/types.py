@@ -76,12 +76,17 @@ def type_map(target: str, overrides: Mapping[str, str] | None = None) -> dict[st
     return found
 
 
+def literal(text: str) -> str:
+    """A text as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, mapping: Mapping[str, str], default: str | None = None) -> Column:
     """A small fixed mapping as one expression."""
-    pairs: list[Column] = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    if not mapping:
+        return F.lit(default).cast("string")
+    pairs = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in mapping.items())
+    found = F.try_element_at(F.expr(f"map({pairs})"), key)
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.values import quoted
 from tallyframe.sources.files import file_listing, list_data_files, source_size
 
 MIB = 1024 * 1024
 MIN_TARGET, MAX_TARGET = 64 * MIB, 512 * MIB  # allowed file sizes (fixed values)
 STRATEGIES = ("binpack", "sort", "z-order")
+MAX_RANGES = 10_000  # shuffle partitions of one rewrite
 
 # Partition transform per column type and granularity.
 TRANSFORMS = {
@@ -71,32 +73,30 @@ def check_compaction(strategy: str, columns: Sequence[str], schema: Sequence[str
         raise ValueError(f"columns not in table: {', '.join(absent)}")
 
 
-def _as_number(column: Column, dtype: T.DataType) -> Column:
-    """A number in the order of the values; texts by their first four bytes."""
+def _as_number(column: str, dtype: T.DataType) -> str:
+    """A number in the order of the values, in SQL; texts by their first four bytes."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(column.cast("timestamp")).cast("double")
+        return f"CAST(unix_micros(CAST({column} AS TIMESTAMP)) AS DOUBLE)"
     if isinstance(dtype, T.BooleanType):
-        return column.cast("int").cast("double")
+        return f"CAST(CAST({column} AS INT) AS DOUBLE)"
     if isinstance(dtype, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 4)), 8, "0"), 16, 10).cast("double")
-    return column.cast("double")
+        return f"CAST(conv(rpad(hex(substring(encode({column}, 'UTF-8'), 1, 4)), 8, '0'), 16, 10) AS DOUBLE)"
+    return f"CAST({column} AS DOUBLE)"
 
 
 def z_key(df: DataFrame, columns: Sequence[str], bits: int = 16) -> Column:
     """One long with the bits of all columns in turn, each scaled to ``bits`` bits between its extremes."""
     bits = min(bits, 62 // len(columns))
-    numbers = {c: _as_number(F.col(c), df.schema[c].dataType) for c in columns}
-    extremes = df.agg(*[f(numbers[c]).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    key = F.lit(0).cast("bigint")
-    for i, c in enumerate(columns):
-        low, high = extremes[f"lo_{i}"], extremes[f"hi_{i}"]
-        width = (high - low) if low is not None and high > low else 1.0
-        scaled = F.floor((numbers[c] - F.lit(low or 0.0)) / F.lit(width) * ((1 << bits) - 1))
-        level = F.coalesce(scaled, F.lit((1 << bits) - 1)).cast("bigint")
-        for b in range(bits):
-            bit = F.shiftright(level, b).bitwiseAND(F.lit(1).cast("bigint"))
-            key = key.bitwiseOR(F.shiftleft(bit, b * len(columns) + i))
-    return key
+    top = (1 << bits) - 1
+    numbers = [_as_number(quoted(c), df.schema[c].dataType) for c in columns]
+    extremes = df.selectExpr(*[f"{f}({n}) AS {f}_{i}" for i, n in enumerate(numbers) for f in ("min", "max")]).first()
+    terms = []
+    for i, number in enumerate(numbers):
+        low, high = extremes[f"min_{i}"] or 0.0, extremes[f"max_{i}"] or 0.0
+        width = (high - low) or 1.0
+        level = f"CAST(coalesce(floor(({number} - {low!r}D) / {width!r}D * {top}), {top}) AS BIGINT)"
+        terms += [f"shiftleft(shiftright({level}, {b}) & 1L, {b * len(columns) + i})" for b in range(bits)]
+    return F.expr(" | ".join(terms))
 
 
 def compact_files(spark: SparkSession, path: str, out: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB) -> int:
@@ -111,6 +111,7 @@ def compact_files(spark: SparkSession, path: str, out: str, strategy: str = "bin
     check_compaction(strategy, columns, df.columns, target_bytes)
     size = source_size(list_data_files(file_listing(spark, path), "PARQUET")).first()["total_bytes"]
     files = max(1, math.ceil(size / target_bytes))
+    rows_per_file = max(1, math.ceil(df.count() / files))
     if strategy == "binpack":
         packed = spark.newSession()
         packed.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
@@ -123,6 +124,8 @@ def compact_files(spark: SparkSession, path: str, out: str, strategy: str = "bin
     else:
         order, keyed = [F.col("_z")], df.withColumn("_z", z_key(df, columns))
     tied = keyed.withColumn("_tie", F.monotonically_increasing_id())
-    rows = tied.repartitionByRange(files, *order, "_tie").sortWithinPartitions(*order).drop("_tie", "_z")
-    rows.write.parquet(out)
+    ranges = tied.repartitionByRange(min(files, MAX_RANGES), *order, "_tie")
+    rows = ranges.sortWithinPartitions(*order).drop("_tie", "_z")
+    # More files than ranges: each task then writes several.
+    rows.write.option("maxRecordsPerFile", rows_per_file if files > MAX_RANGES else 0).parquet(out)
     return files

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tallyframe.functions.types import literal
 from tallyframe.functions.values import NULL_MARK, fingerprint_form, is_nan, key_text, quoted, shown, shown_sql, values_equal
 from tallyframe.operators.parity import SAMPLE_ROWS
 from tallyframe.session import cut_lineage
@@ -206,10 +207,9 @@ def value_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Dat
         right_type = other.get(name)
         if right_type is None:
             right, right_type = "CAST(NULL AS STRING)", T.StringType()
-        label = name.replace("\\", "\\\\").replace("'", "\\'")
         found.append(
             f"CASE WHEN NOT {values_equal(left, right, own[name], right_type)} THEN named_struct('position', {position}, "
-            f"'column_name', '{label}', 'source_value', {shown_sql(left, own[name])}, 'target_value', {shown_sql(right, right_type)}) END"
+            f"'column_name', {literal(name)}, 'source_value', {shown_sql(left, own[name])}, 'target_value', {shown_sql(right, right_type)}) END"
         )
     both = F.col("s").isNotNull() & F.col("t").isNotNull()
     return (
