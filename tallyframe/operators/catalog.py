@@ -406,22 +406,33 @@ def recent_activity(kinds: Mapping[str, DataFrame], limit: int = 5) -> DataFrame
 
 
 def status_summary(kinds: Mapping[str, DataFrame]) -> DataFrame:
-    """Jobs by status per kind, with a total line."""
-    rows = union_all([df.select(F.lit(k).alias("job_type"), F.coalesce("status", F.lit("pending")).alias("status")) for k, df in kinds.items()])
+    """Jobs by status, rows and bytes per kind, with a line for all. ``rows`` and ``bytes`` may be absent."""
+    sums = ("rows", "bytes")
+    rows = union_all(
+        [
+            df.select(
+                F.lit(kind).alias("job_type"),
+                F.coalesce("status", F.lit("pending")).alias("status"),
+                *[(F.coalesce(F.col(c), F.lit(0)) if c in df.columns else F.lit(0)).cast("bigint").alias(c) for c in sums],
+            )
+            for kind, df in kinds.items()
+        ]
+    )
+
     def number(*states: str) -> Column:
         return F.count_if(F.col("status").isin(*states))
 
-    measures = [
-        F.count(F.lit(1)).alias("total"),
-        number("running").alias("running"),
-        number("completed").alias("completed"),
-        number("failed").alias("failed"),
-        number("pending", "queued", "ready").alias("pending"),
-    ]
-    per_kind = rows.groupBy("job_type").agg(*measures)
-    names = ("total", "running", "completed", "failed", "pending")
-    lines = F.array(F.col("job_type"), F.lit("all"))
-    return per_kind.select(F.explode(lines).alias("job_type"), *names).groupBy("job_type").agg(*[F.sum(n).alias(n) for n in names])
+    measures = {
+        "total": F.count(F.lit(1)),
+        "running": number("running"),
+        "completed": number("completed"),
+        "failed": number("failed"),
+        "pending": number("pending", "queued", "ready"),
+        **{f"total_{c}": F.sum(c) for c in sums},
+    }
+    per_kind = rows.groupBy("job_type").agg(*[m.alias(n) for n, m in measures.items()])
+    lines = F.explode(F.array(F.col("job_type"), F.lit("all"))).alias("job_type")
+    return per_kind.select(lines, *measures).groupBy("job_type").agg(*[F.sum(n).alias(n) for n in measures])
 
 
 def history_filter(

@@ -100,7 +100,9 @@ def dialect_scan(objects: DataFrame) -> DataFrame:
     return _with_items(dialect_hits(objects), ["pattern", "severity", "replacement"])
 
 
-def gap_items(objects: DataFrame, security: DataFrame, shards: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+def gap_items(
+    objects: DataFrame, security: DataFrame, shards: DataFrame, tables: DataFrame, columns: DataFrame, models: DataFrame
+) -> DataFrame:
     """One row per object that needs work on the target: ``category, severity, item``."""
     kind = base_type(F.col("data_type"))
     language = F.upper(F.coalesce("external_language", F.lit("")))
@@ -110,6 +112,7 @@ def gap_items(objects: DataFrame, security: DataFrame, shards: DataFrame, tables
 
     return union_all(
         [
+            part(models, "Machine learning models", "high", "model_name"),
             part(objects.filter(language == "JAVASCRIPT"), "JavaScript functions", "high", "object_name"),
             part(
                 objects.filter(language.isin("PYTHON", "SPARK") & (F.upper("routine_type") == "PROCEDURE")),
@@ -128,9 +131,9 @@ def gap_items(objects: DataFrame, security: DataFrame, shards: DataFrame, tables
     )
 
 
-def feature_gaps(objects: DataFrame, security: DataFrame, shards: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Count and first names per category of work."""
-    return _with_items(gap_items(objects, security, shards, tables, columns), ["category", "severity"])
+def feature_gaps(gaps: DataFrame) -> DataFrame:
+    """Count and first names per category of the rows of :func:`gap_items`."""
+    return _with_items(gaps, ["category", "severity"])
 
 
 def _points(found: DataFrame, points: dict[str, float], name: str) -> DataFrame:

@@ -463,6 +463,36 @@ def query_page(log: DataFrame, sort_by: str = "bytes_scanned", page: int = 1, pa
     return log.orderBy(F.col(column).desc_nulls_last(), "job_id").offset((page - 1) * page_size).limit(page_size)
 
 
+def page_view(page: DataFrame, log: DataFrame) -> DataFrame:
+    """The rows of a page as shown: gaps filled, text cut at 500, slots and runtime estimated.
+
+    Where no runtime was recorded, the average slots of the whole log stand in; that is one number.
+    """
+    average = log_totals(enrich(log)).select(F.greatest("avg_slots", F.lit(1.0))).first()[0]
+    meta = F.col("query_metadata")
+    slot = F.coalesce("slot_milliseconds", F.lit(0)).cast("double")
+    elapsed, scanned = F.coalesce(meta["total_elapsed_time_ms"], F.lit(0)), F.coalesce("bytes_scanned", F.lit(0))
+    used = F.try_divide(slot, elapsed)
+    known = (slot > 0) & (elapsed > 0)
+    utilization = F.when(known, F.greatest(F.lit(1.0), used)).when(slot > 0, slot / ASSUMED_RUNTIME_MS).otherwise(0.0)
+    runtime = F.when(known, slot / F.greatest(used, F.lit(1.0))).when(slot > 0, slot / F.lit(average)).otherwise(0.0)
+    hit = F.col("cache_hit")
+    return page.select(
+        "job_id",
+        "execution_time",
+        F.substring(F.coalesce("query_text", F.lit("")), 1, 500).alias("query_text"),
+        scanned.alias("bytes_scanned"),
+        F.coalesce(meta["bytes_billed"], scanned).alias("bytes_billed"),
+        slot.cast("bigint").alias("slot_milliseconds"),
+        half_even(utilization, 1).alias("slot_utilization"),
+        half_even(runtime / 1000, 2).alias("est_runtime_seconds"),
+        F.when(hit, "Hit").when(~hit, "Miss").otherwise("N/A").alias("cache_hit_status"),
+        F.coalesce(meta["statement_type"], F.lit("UNKNOWN")).alias("statement_type"),
+        F.coalesce("referenced_tables", F.array().cast("array<string>")).alias("referenced_tables"),
+        F.coalesce(F.when(F.col("user_email") != "", F.col("user_email")), F.lit("Unknown")).alias("user_email"),
+    )
+
+
 def page_totals(log: DataFrame, page_size: int = 50) -> DataFrame:
     total = F.least(F.count(F.lit(1)), F.lit(PAGED_TOTAL))
     return log.agg(total.alias("total_filtered"), F.ceil(total / page_size).alias("total_pages"))

@@ -426,11 +426,13 @@ def dialect(spark, sf):
 
 def _gap_inputs(spark, sf):
     tables = v.catalog_tables(spark, sf)
-    return v.sql_objects(spark, sf), _security(spark, sf), catalog.detect_shards(tables), tables, v.catalog_columns(spark, sf)
+    models = v.table(spark, sf, "embeddings").filter("label = 0").selectExpr("concat('model_', vec_id) as model_name")
+    return v.sql_objects(spark, sf), _security(spark, sf), catalog.detect_shards(tables), tables, v.catalog_columns(spark, sf), models
 
 
 _GAPS = f"""gaps(category, severity, item) AS (
   SELECT 'JavaScript functions', 'high', object_name FROM sql_objects WHERE external_language = 'JAVASCRIPT'
+  UNION ALL SELECT 'Machine learning models', 'high', 'model_' || vec_id FROM embeddings WHERE label = 0
   UNION ALL SELECT 'Spark procedures', 'medium', object_name FROM sql_objects WHERE external_language = 'PYTHON' AND routine_type = 'PROCEDURE'
   UNION ALL SELECT 'Materialized views', 'low', object_name FROM sql_objects WHERE object_type = 'MATERIALIZED_VIEW'
   UNION ALL SELECT 'Row-level security', 'medium', policy_name FROM security WHERE security_type = 'RLS'
@@ -446,7 +448,7 @@ _GAP_VIEWS = (v.SQL_OBJECTS, v.CATALOG_TABLES, v.CATALOG_COLUMNS, _SECURITY, _SH
 SELECT category, severity, count(*) AS affected_count, array_to_string(list_sort(list_distinct(list(item)))[1:10], ', ') AS affected_items
 FROM gaps GROUP BY ALL"""))
 def gaps(spark, sf):
-    return compat.feature_gaps(*_gap_inputs(spark, sf))
+    return compat.feature_gaps(compat.gap_items(*_gap_inputs(spark, sf)))
 
 
 @query("compat_score", v.with_views(*_GAP_VIEWS, _DIALECT, f""",
@@ -609,15 +611,15 @@ def _jobs(spark, sf):
             "event_id as id", "concat('scan ', user_id) as name",
             "case event_id % 4 when 0 then 'completed' when 1 then 'running' when 2 then null else 'failed' end as status", "ts as started_at",
         ),
-        "migration": loads.selectExpr("load_id as id", "concat('move ', table_name) as name", "status", "started_at", "cast(load_id % 101 as int) as progress"),
+        "migration": loads.selectExpr("load_id as id", "concat('move ', table_name) as name", "status", "started_at", "cast(load_id % 101 as int) as progress", "rows_loaded as rows", "bytes_loaded as bytes"),
     }
 
 
 _JOBS = """jobs AS (
   SELECT 'assessment' AS job_type, event_id AS id, 'scan ' || user_id AS name,
     CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'failed' END AS status, ts AS started_at,
-    CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 0 END AS progress FROM events WHERE event_type IN ('signup', 'error')
-  UNION ALL SELECT 'migration', load_id, 'move ' || table_name, status, started_at, load_id % 101 FROM load_log)"""
+    CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 0 END AS progress, 0 AS rows_, 0 AS bytes_ FROM events WHERE event_type IN ('signup', 'error')
+  UNION ALL SELECT 'migration', load_id, 'move ' || table_name, status, started_at, load_id % 101, rows_loaded, bytes_loaded FROM load_log)"""
 
 
 @query("unified_jobs", v.with_views(v.LOAD_LOG, _JOBS, """
@@ -636,7 +638,8 @@ def activity(spark, sf):
 
 @query("status_summary", v.with_views(v.LOAD_LOG, _JOBS, """
 SELECT coalesce(job_type, 'all') AS job_type, count(*) AS total, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS completed,
-  count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending FROM jobs GROUP BY ROLLUP (job_type)"""))
+  count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending,
+  sum(rows_)::BIGINT AS total_rows, sum(bytes_)::BIGINT AS total_bytes FROM jobs GROUP BY ROLLUP (job_type)"""))
 def statuses(spark, sf):
     return catalog.status_summary(_jobs(spark, sf))
 

@@ -271,6 +271,20 @@ def page(spark, sf):
     return workload.query_page(v.query_log(spark, sf), "bytes_scanned", page=2).select("job_id", "bytes_scanned", "slot_milliseconds")
 
 
+@query("query_page_view", log_sql(TOTALS, """,
+p AS (SELECT * FROM rich ORDER BY slot_milliseconds DESC NULLS LAST, job_id LIMIT 50),
+x AS (SELECT *, slot_ms::DOUBLE s, (SELECT greatest(avg_slots, 1.0::DOUBLE) FROM t) a FROM p)
+SELECT job_id, left(coalesce(query_text, ''), 500) AS query_text, bytes_scanned, billed AS bytes_billed, slot_ms AS slot_milliseconds,
+  round(CAST(CASE WHEN elapsed_ms > 0 THEN greatest(1.0::DOUBLE, s / elapsed_ms) ELSE s / 30000 END AS DECIMAL(30,12)), 1)::DOUBLE AS slot_utilization,
+  round(CAST(CASE WHEN elapsed_ms > 0 THEN s / greatest(s / elapsed_ms, 1.0::DOUBLE) ELSE s / a END / 1000 AS DECIMAL(30,12)), 2)::DOUBLE AS est_runtime_seconds,
+  CASE WHEN cache_hit THEN 'Hit' ELSE 'Miss' END AS cache_hit_status, statement_type, array_to_string(referenced_tables, ', ') AS referenced_tables,
+  coalesce(user_email, 'Unknown') AS user_email FROM x"""))
+def page_shown(spark, sf):
+    log = v.query_log(spark, sf)
+    shown = workload.page_view(workload.query_page(log, "slot_milliseconds"), log).drop("execution_time")
+    return shown.withColumn("referenced_tables", F.array_join("referenced_tables", ", "))
+
+
 @query("heaviest_queries", v.with_views(v.QUERY_LOG, """
 SELECT job_id, bytes_scanned, slot_milliseconds FROM query_log ORDER BY slot_milliseconds DESC NULLS LAST, job_id LIMIT 10"""))
 def heaviest(spark, sf):
