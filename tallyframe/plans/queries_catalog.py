@@ -275,6 +275,18 @@ def access_profile(spark, sf):
     return access.table_access_profile(v.catalog_tables(spark, sf), v.query_log(spark, sf))
 
 
+@query("tier_summary", v.with_views(v.CATALOG_TABLES, v.QUERY_LOG, _USE, f""",
+p AS (SELECT size_mb, writes > reads AS wh, CASE WHEN executions >= 10 THEN 'hot' WHEN executions >= 1 THEN 'warm' ELSE 'cold' END AS tier
+  FROM (SELECT t.size_mb, {_MEASURES} FROM {_HITS}))
+SELECT count(*) AS total_tables, count(*) FILTER (tier = 'hot') AS hot_count, count(*) FILTER (tier = 'warm') AS warm_count,
+  count(*) FILTER (tier = 'cold') AS cold_count, round(CAST(count(*) FILTER (tier = 'hot')::DOUBLE / count(*) * 100 AS DECIMAL(30,15)), 1)::DOUBLE AS hot_pct,
+  round(CAST(count(*) FILTER (tier = 'cold')::DOUBLE / count(*) * 100 AS DECIMAL(30,15)), 1)::DOUBLE AS cold_pct,
+  round(coalesce(sum(size_mb) FILTER (tier = 'hot'), 0)::DOUBLE / 1024, 2) AS hot_size_gb,
+  round(coalesce(sum(size_mb) FILTER (tier = 'cold'), 0)::DOUBLE / 1024, 2) AS cold_size_gb, count(*) FILTER (wh) AS write_heavy_count FROM p"""))
+def tiers(spark, sf):
+    return access.tier_summary(access.table_access_profile(v.catalog_tables(spark, sf), v.query_log(spark, sf)))
+
+
 @query("sharing_metrics", v.with_views(v.QUERY_LOG, """,
 u AS (SELECT user_email, string_split(r, '.')[-1] t FROM (SELECT user_email, unnest(referenced_tables) r FROM query_log)),
 p AS (SELECT t, count(DISTINCT user_email) us, count(*) n FROM u GROUP BY 1)
@@ -411,6 +423,15 @@ def fit(spark, sf):
     return compat.type_compatibility(v.catalog_columns(spark, sf))
 
 
+@query("compatibility_totals", v.with_views(v.CATALOG_COLUMNS, f""",
+c AS (SELECT {_COMPAT} AS k FROM catalog_columns)
+SELECT count(*) AS total_columns, count(*) FILTER (k = 'full') AS full_count, count(*) FILTER (k = 'partial') AS partial_count,
+  count(*) FILTER (k = 'lossy') AS lossy_count, count(*) FILTER (k = 'unknown') AS unknown_count,
+  round(CAST(count(*) FILTER (k = 'full')::DOUBLE / count(*) * 100 AS DECIMAL(30,15)), 1)::DOUBLE AS compatibility_pct FROM c"""))
+def fit_totals(spark, sf):
+    return compat.compatibility_totals(v.catalog_columns(spark, sf))
+
+
 _PATTERNS = ", ".join(f"('{p}', '{s}', '{f}')" for p, s, f in compat.DIALECT_PATTERNS)
 _DIALECT = f"""dialect AS (
   SELECT pattern, severity, replacement, CASE WHEN object_type = 'ROUTINE' THEN 'routine: ' ELSE 'view: ' END || object_name AS item

@@ -257,6 +257,17 @@ UNION ALL SELECT 'customer', 'completed', 3, 0 WHERE (SELECT count(*) FROM custo
 UNION ALL SELECT 'part', 'error', 2, CASE WHEN (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) > 0 THEN 1 ELSE 0 END
 UNION ALL SELECT 'supplier', 'completed', 0, 0 UNION ALL SELECT 'unreadable', 'error', 1, 0"""))
 def many_tables(spark, sf):
+    return _run(spark, sf)
+
+
+@query("validation_run_status", v.with_views(v.ORDERS_TARGET, """
+SELECT 5::BIGINT AS tables_total, 2::BIGINT AS tables_passed, 1::BIGINT AS tables_failed, 2::BIGINT AS tables_error, 'error' AS run_status
+FROM (SELECT count(*) c FROM orders_target) WHERE c > 0"""))
+def whole_run(spark, sf):
+    return report.run_status(_run(spark, sf))
+
+
+def _run(spark, sf):
     def plain(name, checks):
         return lambda: (v.table(spark, sf, name), v.table(spark, sf, name), checks)
 

@@ -47,8 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/work/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; nothing is created yet.
+
+    All paths of one application lie in one folder, which can go when it has ended.
+    """
+    return f"{shared_folder(spark)}/work/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -63,7 +66,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row work on small inputs.
 
     An input with fewer splits than cores is small (at most one split per core), so
-    dealing its rows out is cheap. Larger inputs stay as they are.
+    dealing its rows out is cheap. Larger inputs stay as they are. Meant for scans:
+    counting the splits of a shuffled frame would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
