@@ -46,6 +46,8 @@ def load_available_files(
     The checkpoint remembers which files are done and moves only when a batch
     succeeded. A full reload is a call with a new checkpoint.
     """
+    # Row counts are kept for this many batches, so that they add up.
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(path)
     query = (
         stream.withColumn("source_file", F.col("_metadata.file_path"))
