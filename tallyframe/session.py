@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -30,20 +30,25 @@ def build_session(app: str = "tallyframe", master: str | None = None, partitions
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder, because there the
-    driver's disk is also the executors' disk.
+    Where that is unset, a plain local master gets a temporary folder per
+    application, because there the driver's disk is also the executors' disk.
+    Any other master must name the folder; no setting is changed here.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tallyframe.work.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.path.join(tempfile.gettempdir(), f"tallyframe-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tallyframe-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
