@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import neardup
+from tallyframe.llm import linededup, neardup
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
+_LINES = """
+with lines as (
+  select d.rowid_ as r, d.doc_id, coalesce(d.source, chr(1)) as site, p.place, p.raw, trim(p.raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line
+  from (select *, row_number() over () as rowid_ from documents) d,
+  lateral (select unnest(string_split(d.text, chr(10))) as raw, generate_subscripts(string_split(d.text, chr(10)), 1) as place) p),
+spread as (select line, min(doc_id) as holder from lines where line <> '' group by line having count(distinct site) >= 10),
+marked as (
+  select l.*, s.holder is not null
+    and not (l.doc_id is not distinct from s.holder and l.place = min(l.place) over (partition by l.r, l.line)) as gone
+  from lines l left join spread s on l.line = s.line),
+clean as (
+  select r, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+    coalesce(string_agg(raw, chr(10) order by place) filter (where not gone), '') as kept
+  from marked group by r)
+select d.doc_id, coalesce(c.n_lines, 0) as n_lines, coalesce(c.n_removed, 0) as n_removed, length(c.kept) as kept_chars, sha256(c.kept) as kept_sha256
+from (select *, row_number() over () as rowid_ from documents) d left join clean c on c.r = d.rowid_
+"""
+
+
+@query("op5_line_dedup", _LINES)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), digest.alias("kept_sha256"))
+
+
 @query("op8_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
