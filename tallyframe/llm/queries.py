@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import linededup, neardup
+from tallyframe.llm import linededup, neardup, rules
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -37,6 +37,12 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), digest.alias("kept_sha256"))
 
 
+@query("op6_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op8_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
