@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import linededup, neardup, rules
+from tallyframe.llm import linededup, neardup, packing, rules
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def _definition(name: str) -> str:
+    """The content of a tokenizer file, read on the driver and sent along."""
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
 _LINES = """
 with lines as (
   select d.rowid_ as r, d.doc_id, coalesce(d.source, chr(1)) as site, p.place, p.raw, trim(p.raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line
@@ -43,6 +51,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"))
+
+
 @query("op8_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))

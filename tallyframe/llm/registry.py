@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
+import tallyframe
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +30,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = os.path.dirname(os.path.abspath(tallyframe.__file__))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tallyframe-code-')}/tallyframe_code", "zip", os.path.dirname(top), os.path.basename(top))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by a path only Spark needs to understand."""
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
