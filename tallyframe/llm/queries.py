@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, linededup, neardup, packing, rules
+from tallyframe.llm import langid, linededup, neardup, packing, rules, toxicity
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -26,6 +26,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op2_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _HELD_OUT.alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(F.coalesce(~_HELD_OUT, F.lit(True)))
+    return toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
 _LINES = """
 with lines as (
   select d.rowid_ as r, d.doc_id, coalesce(d.source, chr(1)) as site, p.place, p.raw, trim(p.raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line

@@ -18,10 +18,8 @@ SLICE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_VALUE = np.arange(1, 257, dtype=np.uint64)
-_VALUE[_SPACE] = 0
-_FOLDED = _VALUE.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
+_FOLDED = np.arange(1, 257, dtype=np.uint64)
+_FOLDED[ord("A") : ord("Z") + 1] = _FOLDED[ord("a") : ord("z") + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,14 +57,21 @@ def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def breaks(characters: str) -> np.ndarray:
+    """A table of bytes that separate words: white space and the given ASCII characters."""
+    found = _SPACE.copy()
+    found[list(characters.encode("ascii"))] = True
+    return found
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where the words of each row begin in them.
 
-    With ``fold`` the letters A to Z count as a to z.
+    The letters A to Z count as a to z.
     """
     if len(data) == 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
@@ -76,7 +81,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
     gaps = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data), dtype=np.int64) - np.repeat(starts, gaps)
-    products = (_FOLDED if fold else _VALUE)[data[starts[0] :]] * multipliers(int(gaps.max()), 17)[place]
+    products = np.where(space, np.uint64(0), _FOLDED)[data[starts[0] :]] * multipliers(int(gaps.max()), 17)[place]
     return mix(np.add.reduceat(products, starts - starts[0])), np.searchsorted(starts, offsets).astype(np.int64)
 
 
