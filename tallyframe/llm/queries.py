@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import langid, linededup, neardup, packing, rules, toxicity
+from tallyframe.llm import bytepair, langid, linededup, neardup, packing, rules, toxicity
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
+@query("op4_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    codec = bytepair.Codec.load(ranks, public_tokenizers.PATTERN)
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bytepair.encode(spark, codec, F.col("text")).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", bytepair.decode(spark, codec, F.col("ids")).alias("decoded"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bytepair.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def _definition(name: str) -> str:
     """The content of a tokenizer file, read on the driver and sent along."""
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
