@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bytepair, chat, langid, linededup, neardup, packing, rules, toxicity, warc
+from tallyframe.llm import bytepair, chat, langid, linededup, neardup, neighbours, packing, rules, toxicity, warc
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyframe.session import cut_lineage, work_path
 
@@ -128,3 +128,8 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["turn", "by_role", "by_text", "row"]
     keyed = rows.select("*", F.coalesce("role", F.lit("")).alias("by_role"), F.md5(F.coalesce("text", F.lit(""))).alias("by_text"), F.monotonically_increasing_id().alias("row"))
     return chat.read_back(chat.render(chat.fold(chat.events_of(keyed, order), order)))
+
+
+@query("op10_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
