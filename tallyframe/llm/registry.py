@@ -30,11 +30,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Rows that go to a Python worker at once. Texts are longer than the rows that the usual 10,000 are meant for.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, so that they can import it."""
+def prepare(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, and keep their batches small."""
+    if spark.conf.get(_BATCH) == "10000":  # unless somebody has chosen otherwise
+        spark.conf.set(_BATCH, "2000")
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.abspath(tallyframe.__file__))
@@ -45,5 +49,5 @@ def ship_code(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by a path only Spark needs to understand."""
-    ship_code(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
