@@ -18,9 +18,9 @@ MAX_SAMPLE, MAX_LISTS = 20_000, 256
 #: Distinct vectors in a list on average, until there are ``MAX_LISTS``.
 LIST_ROWS = 512
 #: Share of the lists that a query probes.
-PROBED = 0.75
-#: Rotated dimensions looked at before each test, and its strictness: larger abandons fewer.
-COLUMNS, STRICTNESS = 8, 2.6
+PROBED = 0.8
+#: Rotated dimensions looked at before each test, and its strictness in standard deviations: larger abandons fewer.
+COLUMNS, STRICTNESS = 8, 3.0
 #: Rows on either side of a block.
 BLOCK_ROWS = 2048
 _ROUNDS = 10
@@ -97,25 +97,26 @@ def scan(query: np.ndarray, rows: np.ndarray, columns: int, strictness: float, k
 
     Vectors are rotated at random. By |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, a row reaches
     the inner product t just if its squared distance is at most |q|^2 + |x|^2 - 2 t.
-    After every block of columns the partial squared distance, scaled up to all
-    columns, is held against that bound, loosened by a factor that shrinks as more
-    columns are known; a row that exceeds it is abandoned. ``known`` is a value of t
-    reached before; the best k rows of this list raise it.
+    After a random rotation the first d of D columns hold a Beta(d/2, (D-d)/2) share
+    of the squared distance, with mean d / D and known variance. After every block of
+    columns the partial squared distance, scaled up to all columns, is held against
+    the bound plus ``strictness`` standard deviations; a row beyond is abandoned, for it
+    would be within the bound with a small chance only. ``known`` is a value of t
+    reached before; at every test the k-th best of the most hopeful rows raises it.
     """
     size = rows.shape[1]
     lengths = (rows**2).sum(axis=1) + query @ query
     left, partial = np.arange(len(rows)), np.zeros(len(rows))
     threshold = known
-    if len(rows) > k:
-        trial = rows[:: max(1, len(rows) // (4 * k))]
-        scores = trial @ query
-        if len(scores) >= k:
-            threshold = max(threshold, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
     for begin in range(0, size, columns):
         end = min(begin + columns, size)
         partial = partial + ((rows[left, begin:end] - query[begin:end]) ** 2).sum(axis=1)
         if end < size:
-            bound = np.maximum(lengths[left] - 2 * threshold, 0.0) * (1 + strictness / math.sqrt(end)) ** 2
+            if len(left) > 2 * k:
+                hopeful = left[np.argpartition(partial * (size / end) - lengths[left], 2 * k)[: 2 * k]]
+                threshold = max(threshold, float(np.partition(rows[hopeful] @ query, k)[k]))
+            spread = math.sqrt(2 * (size - end) / (end * (size + 2)))
+            bound = np.maximum(lengths[left] - 2 * threshold, 0.0) * (1 + strictness * spread)
             stay = partial * (size / end) <= bound
             left, partial = left[stay], partial[stay]
     return left
