@@ -5,14 +5,17 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bytepair, chat, langid, linededup, neardup, neighbours, packing, rules, toxicity, warc
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyframe.session import cut_lineage, work_path
 
-_HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+def _held_out() -> Column:
+    """Rows that no model may learn from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
 _WARC = """
@@ -48,15 +51,15 @@ def _definition(name: str) -> str:
 
 @query("op1_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _HELD_OUT.alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out().alias("held_out"))
     model = langid.train(docs.where(F.coalesce(~F.col("held_out"), F.lit(True))))
     return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op2_toxicity")
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _HELD_OUT.alias("held_out"))
-    labels = table(spark, sf_dir, "labels").where(F.coalesce(~_HELD_OUT, F.lit(True)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out().alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(F.coalesce(~_held_out(), F.lit(True)))
     return toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
