@@ -12,8 +12,6 @@ from tallyframe.operators.ranks import one_row
 from tallyframe.operators.schema import union_all
 from tallyframe.session import spread
 
-ITEMS_SHOWN = 10  # names listed per finding (fixed value)
-
 # Text to look for, severity, replacement.
 DIALECT_PATTERNS = (
     ("SAFE_DIVIDE", "high", "CASE WHEN or NULLIF"),
@@ -73,13 +71,18 @@ def compatibility_totals(columns: DataFrame) -> DataFrame:
     )
 
 
-def _with_items(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Count per finding and its first names. Ranking keeps ten names per task before the shuffle."""
+def _with_items(found: DataFrame, keys: list[str], shown: int | None = None) -> DataFrame:
+    """One row per finding and item with the finding's count; with ``shown`` one row per finding and its first names.
+
+    Ranking keeps ``shown`` names per task before the shuffle.
+    """
     counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("affected_count"))
-    by_name = W.partitionBy(*keys).orderBy("item")
-    first = found.select(*keys, "item").distinct().withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= ITEMS_SHOWN)
-    items = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("item")), ", ").alias("affected_items"))
-    return counts.join(items, keys)
+    items = found.select(*keys, "item").distinct()
+    if shown is not None:
+        by_name = W.partitionBy(*keys).orderBy("item")
+        items = items.withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= shown)
+        items = items.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("item")), ", ").alias("affected_items"))
+    return items.join(counts, keys)
 
 
 def dialect_hits(objects: DataFrame) -> DataFrame:
@@ -95,9 +98,9 @@ def dialect_hits(objects: DataFrame) -> DataFrame:
     return upper.select("item", F.inline(F.array_compact(F.array(*hits))))
 
 
-def dialect_scan(objects: DataFrame) -> DataFrame:
-    """Objects per SQL pattern the target does not know, with the first names."""
-    return _with_items(dialect_hits(objects), ["pattern", "severity", "replacement"])
+def dialect_scan(objects: DataFrame, shown: int | None = None) -> DataFrame:
+    """SQL patterns the target does not know and the objects with each, all of them or the first ``shown``."""
+    return _with_items(dialect_hits(objects), ["pattern", "severity", "replacement"], shown)
 
 
 def gap_items(
@@ -131,9 +134,9 @@ def gap_items(
     )
 
 
-def feature_gaps(gaps: DataFrame) -> DataFrame:
-    """Count and first names per category of the rows of :func:`gap_items`."""
-    return _with_items(gaps, ["category", "severity"])
+def feature_gaps(gaps: DataFrame, shown: int | None = None) -> DataFrame:
+    """Count and names per category of the rows of :func:`gap_items`, all names or the first ``shown``."""
+    return _with_items(gaps, ["category", "severity"], shown)
 
 
 def _points(found: DataFrame, points: dict[str, float], name: str) -> DataFrame:

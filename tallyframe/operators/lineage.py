@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyframe.functions import sqltext
 from tallyframe.session import cut_lineage, spread
 
-MAX_LEVEL = 11  # deepest level reported (fixed value)
-
 
 def extract_dependencies(objects: DataFrame, strict: bool = False) -> DataFrame:
     """Direct dependencies ``(object_name, dependency, dependency_kind)`` of ``object_name, definition`` rows."""
@@ -35,29 +33,24 @@ def resolve_dependencies(edges: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
-def lineage_closure(resolved: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
-    """All direct and indirect dependencies with the levels they occur at.
+def lineage_closure(resolved: DataFrame, max_level: int | None = None) -> DataFrame:
+    """All direct and indirect dependencies ``(root, dependency, dependency_kind, level)``, with the smallest level of each.
 
-    A path stops where an object comes up again and below ``max_level``. Paths over
-    the same objects in another order go on alike, so one of them is followed.
-    Every level is written once and joined with the edges of known objects only.
+    A round goes one level deeper from what the round before found for the first
+    time, so a dependency is followed once per root however many ways lead to it,
+    and cycles end by themselves. Rows written are in the order of the result. Every
+    level is followed unless ``max_level`` says otherwise.
     """
     direct = cut_lineage(resolved.filter("object_name is not null").distinct())
     edges = direct.select(F.col("object_name").alias("_at"), F.col("dependency").alias("_next"), "dependency_kind", "is_known")
-    level = direct.select(
-        F.col("object_name").alias("root"), "dependency", "dependency_kind", "is_known", F.array("object_name").alias("path")
-    )
-    levels = [direct.select(F.col("object_name").alias("root"), "dependency", "dependency_kind", F.lit(1).alias("level"))]
-    for depth in range(2, max_level + 1):
-        open_ends = level.filter(F.col("is_known") & ~F.array_contains("path", F.col("dependency"))).select(
-            "root", F.col("dependency").alias("_at"), F.array_sort(F.concat("path", F.array("dependency"))).alias("path")
-        )
-        step = open_ends.distinct().join(edges, "_at").select("root", F.col("_next").alias("dependency"), "dependency_kind", "is_known", "path")
-        level = cut_lineage(step)
-        if level.limit(1).count() == 0:
+    level = direct.select(F.col("object_name").alias("root"), "dependency", "dependency_kind", "is_known")
+    found, depth = level.withColumn("level", F.lit(1)), 1
+    while max_level is None or depth < max_level:
+        ends = level.filter("is_known").select("root", F.col("dependency").alias("_at")).distinct()
+        step = ends.join(edges, "_at").select("root", F.col("_next").alias("dependency"), "dependency_kind", "is_known").distinct()
+        level = cut_lineage(step.join(found, ["root", "dependency", "dependency_kind"], "left_anti"))
+        if level.isEmpty():
             break
-        levels.append(level.select("root", "dependency", "dependency_kind", F.lit(depth).alias("level")))
-    merged = levels[0]
-    for part in levels[1:]:
-        merged = merged.unionByName(part)
-    return merged.distinct()
+        depth += 1
+        found = found.unionByName(level.withColumn("level", F.lit(depth)))
+    return found.select("root", "dependency", "dependency_kind", "level")

@@ -327,7 +327,7 @@ def keys(spark, sf):
 
 # ---- SQL objects --------------------------------------------------------------------
 
-_SYSTEM = "[" + ", ".join(f"'{n}'" for n in sqltext.builtin_functions()) + "]"
+_SYSTEM = "['AS', 'CALL', 'COUNTIF', 'DATE', 'IF', 'SAFE_DIVIDE', 'UNNEST']"  # the built-in names that occur in sql_objects
 
 _PARSED = f"""code AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(definition, '--[^\\n]*', '', 'g'), '/\\*.*?\\*/', '', 'gs'),
@@ -383,8 +383,8 @@ walk AS (
   UNION ALL
   SELECT root, r.dependency, r.dependency_kind, r.is_known, list_append(path, w.dependency), level + 1
   FROM walk w JOIN resolved r ON r.object_name = w.dependency
-  WHERE w.is_known AND NOT list_contains(path, w.dependency) AND level < 11)
-SELECT DISTINCT root, dependency, dependency_kind, level FROM walk""").replace("WITH sql_objects", "WITH RECURSIVE sql_objects"))
+  WHERE w.is_known AND NOT list_contains(path, w.dependency))
+SELECT root, dependency, dependency_kind, min(level) AS level FROM walk GROUP BY ALL""").replace("WITH sql_objects", "WITH RECURSIVE sql_objects"))
 def closure(spark, sf):
     rows = v.sql_objects(spark, sf)
     return lineage.lineage_closure(lineage.resolve_dependencies(lineage.extract_dependencies(rows), rows))
@@ -439,21 +439,20 @@ _DIALECT = f"""dialect AS (
 
 
 @query("dialect_scan", v.with_views(v.SQL_OBJECTS, _DIALECT, """
-SELECT pattern, severity, replacement, count(*) AS affected_count, array_to_string(list_sort(list(item))[1:10], ', ') AS affected_items
-FROM dialect GROUP BY ALL"""))
+SELECT pattern, severity, replacement, item, count(*) OVER (PARTITION BY pattern) AS affected_count FROM dialect"""))
 def dialect(spark, sf):
     return compat.dialect_scan(v.sql_objects(spark, sf))
 
 
 def _gap_inputs(spark, sf):
     tables = v.catalog_tables(spark, sf)
-    models = v.table(spark, sf, "embeddings").filter("label = 0").selectExpr("concat('model_', vec_id) as model_name")
+    models = v.table(spark, sf, "embeddings").selectExpr("concat('model_', vec_id) as model_name")
     return v.sql_objects(spark, sf), _security(spark, sf), catalog.detect_shards(tables), tables, v.catalog_columns(spark, sf), models
 
 
 _GAPS = f"""gaps(category, severity, item) AS (
   SELECT 'JavaScript functions', 'high', object_name FROM sql_objects WHERE external_language = 'JAVASCRIPT'
-  UNION ALL SELECT 'Machine learning models', 'high', 'model_' || vec_id FROM embeddings WHERE label = 0
+  UNION ALL SELECT 'Machine learning models', 'high', 'model_' || vec_id FROM embeddings
   UNION ALL SELECT 'Spark procedures', 'medium', object_name FROM sql_objects WHERE external_language = 'PYTHON' AND routine_type = 'PROCEDURE'
   UNION ALL SELECT 'Materialized views', 'low', object_name FROM sql_objects WHERE object_type = 'MATERIALIZED_VIEW'
   UNION ALL SELECT 'Row-level security', 'medium', policy_name FROM security WHERE security_type = 'RLS'
@@ -466,8 +465,7 @@ _GAP_VIEWS = (v.SQL_OBJECTS, v.CATALOG_TABLES, v.CATALOG_COLUMNS, _SECURITY, _SH
 
 
 @query("feature_gaps", v.with_views(*_GAP_VIEWS, """
-SELECT category, severity, count(*) AS affected_count, array_to_string(list_sort(list_distinct(list(item)))[1:10], ', ') AS affected_items
-FROM gaps GROUP BY ALL"""))
+SELECT DISTINCT category, severity, item, count(*) OVER (PARTITION BY category) AS affected_count FROM gaps"""))
 def gaps(spark, sf):
     return compat.feature_gaps(compat.gap_items(*_gap_inputs(spark, sf)))
 
