@@ -143,8 +143,10 @@ def shown(value: Column, dtype: T.DataType) -> Column:
     return value.cast("string")
 
 
-def shortened(text: Column, limit: int = 80) -> Column:
-    """Cut to ``limit`` characters, the last being an ellipsis."""
+def shortened(text: Column, limit: int | None = None) -> Column:
+    """Cut to ``limit`` characters, the last being an ellipsis; whole without a limit."""
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
 
 

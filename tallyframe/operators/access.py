@@ -137,7 +137,7 @@ def update_frequency(log: DataFrame) -> DataFrame:
 def join_columns(log: DataFrame) -> DataFrame:
     """Columns named in join conditions, per table: uses and the first one seen."""
     text = F.lower(F.coalesce("query_text", F.lit("")))
-    conditions = F.slice(F.split(text, " on "), 2, 1_000_000)
+    conditions = F.filter(F.split(text, " on "), lambda _, place: place > 0)
     sides = F.flatten(F.transform(conditions, lambda c: F.split(c, "=")))
     words = F.transform(sides, lambda s: F.split(F.regexp_replace(s, r"^\s+", ""), r"\s+")[0])
     found = (

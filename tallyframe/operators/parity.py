@@ -89,7 +89,7 @@ def identifier_columns(df: DataFrame, exclude: str) -> list[str]:
 
 
 def sample_identifier(df: DataFrame, exclude: str) -> Column:
-    """The identifying values of a row as ``map<column, text cut at 80>``."""
+    """The identifying values of a row as ``map<column, text>``."""
     types = {f.name: f.dataType for f in df.schema.fields}
     parts: list[Column] = []
     for name in identifier_columns(df, exclude):

@@ -28,13 +28,20 @@ def parse_metadata(raw: Column) -> Column:
     return F.from_json(raw, "total_elapsed_time_ms bigint, bytes_billed bigint, statement_type string")
 
 
-def scan_query_log(jobs: DataFrame, now: Column) -> DataFrame:
-    """Finished queries of the last 30 days, text kept for the last 7 days and cut at 2000 characters."""
-    recent = F.col("execution_time") >= now - F.expr("INTERVAL 7 DAYS")
+def scan_query_log(jobs: DataFrame, now: Column, days: int = 30, text_days: int | None = None, text_length: int | None = None) -> DataFrame:
+    """Finished queries of the last ``days`` with their whole text.
+
+    To keep less, ``text_days`` drops the text of older queries and ``text_length`` cuts
+    it; figures over the text are then of what is left.
+    """
+    def since(n: int) -> Column:
+        return F.col("execution_time") >= now - F.make_interval(days=F.lit(n))
+
+    text = F.col("query_text") if text_length is None else F.substring("query_text", 1, text_length)
     return (
         jobs.filter((F.col("job_type") == "QUERY") & (F.col("state") == "DONE"))
-        .filter(F.col("execution_time") >= now - F.expr("INTERVAL 30 DAYS"))
-        .withColumn("query_text", F.when(recent, F.substring("query_text", 1, 2000)))
+        .filter(since(days))
+        .withColumn("query_text", text if text_days is None else F.when(since(text_days), text))
         .drop("job_type", "state")
     )
 
@@ -454,7 +461,6 @@ SORT_COLUMNS = {
     "execution_time": "execution_time",
     "est_runtime": "execution_time",
 }
-PAGED_TOTAL = 100  # the reported total stops here (fixed value)
 
 
 def query_page(log: DataFrame, sort_by: str = "bytes_scanned", page: int = 1, page_size: int = 50) -> DataFrame:
@@ -463,13 +469,13 @@ def query_page(log: DataFrame, sort_by: str = "bytes_scanned", page: int = 1, pa
     return log.orderBy(F.col(column).desc_nulls_last(), "job_id").offset((page - 1) * page_size).limit(page_size)
 
 
-def page_view(page: DataFrame, log: DataFrame) -> DataFrame:
-    """The rows of a page as shown: gaps filled, text cut at 500, slots and runtime estimated.
+def page_view(page: DataFrame, log: DataFrame, text_length: int | None = None) -> DataFrame:
+    """The rows of a page as shown: gaps filled, slots and runtime estimated, text whole or cut at ``text_length``.
 
     Where no runtime was recorded, the average slots of the whole log stand in; that is one number.
     """
     average = log_totals(enrich(log)).select(F.greatest("avg_slots", F.lit(1.0))).first()[0]
-    meta = F.col("query_metadata")
+    meta, text = F.col("query_metadata"), F.coalesce("query_text", F.lit(""))
     slot = F.coalesce("slot_milliseconds", F.lit(0)).cast("double")
     elapsed, scanned = F.coalesce(meta["total_elapsed_time_ms"], F.lit(0)), F.coalesce("bytes_scanned", F.lit(0))
     used = F.try_divide(slot, elapsed)
@@ -480,7 +486,7 @@ def page_view(page: DataFrame, log: DataFrame) -> DataFrame:
     return page.select(
         "job_id",
         "execution_time",
-        F.substring(F.coalesce("query_text", F.lit("")), 1, 500).alias("query_text"),
+        (text if text_length is None else F.substring(text, 1, text_length)).alias("query_text"),
         scanned.alias("bytes_scanned"),
         F.coalesce(meta["bytes_billed"], scanned).alias("bytes_billed"),
         slot.cast("bigint").alias("slot_milliseconds"),
@@ -494,7 +500,8 @@ def page_view(page: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def page_totals(log: DataFrame, page_size: int = 50) -> DataFrame:
-    total = F.least(F.count(F.lit(1)), F.lit(PAGED_TOTAL))
+    """How many rows, and pages of them, there are."""
+    total = F.count(F.lit(1))
     return log.agg(total.alias("total_filtered"), F.ceil(total / page_size).alias("total_pages"))
 
 

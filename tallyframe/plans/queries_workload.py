@@ -191,7 +191,7 @@ def read_write(spark, sf):
     return workload.classify_read_write(v.query_log(spark, sf))
 
 
-_BI = """c AS (SELECT *, left(regexp_replace(lower(coalesce(query_text, '')), '\\s+', '', 'g'), 100) fp,
+_BI = """c AS (SELECT *, regexp_replace(lower(coalesce(query_text, '')), '\\s+', '', 'g') fp,
   regexp_matches(lower(coalesce(query_text, '')), 'dashboard|report|scheduled|looker|tableau|metabase|datastudio|superset|grafana|powerbi')
   OR regexp_matches(lower(coalesce(user_email, '')), 'service|bot|scheduler|airflow|looker') AS bi FROM rich),
 f AS (SELECT *, bi OR count(*) OVER (PARTITION BY fp) >= 10 AS is_bi FROM c)"""
@@ -232,7 +232,7 @@ def billing(spark, sf):
 
 @query("scan_query_log", v.with_views(v.QUERY_LOG, """
 SELECT job_id, strftime(execution_time, '%Y-%m-%d %H:%M:%S') AS execution_time,
-  CASE WHEN execution_time >= TIMESTAMP '2024-01-24 00:00:00' THEN left(query_text, 2000) END AS query_text, bytes_scanned
+  query_text, bytes_scanned
 FROM query_log WHERE execution_time >= TIMESTAMP '2024-01-01 00:00:00'
   AND CAST(substr(job_id, 5) AS BIGINT) % 19 <> 0 AND CAST(substr(job_id, 5) AS BIGINT) % 23 <> 0"""))
 def scan_log(spark, sf):
@@ -271,10 +271,16 @@ def page(spark, sf):
     return workload.query_page(v.query_log(spark, sf), "bytes_scanned", page=2).select("job_id", "bytes_scanned", "slot_milliseconds")
 
 
+@query("page_totals", v.with_views(v.QUERY_LOG, """
+SELECT count(*) AS total_filtered, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages FROM query_log"""))
+def page_count(spark, sf):
+    return workload.page_totals(v.query_log(spark, sf))
+
+
 @query("query_page_view", log_sql(TOTALS, """,
 p AS (SELECT * FROM rich ORDER BY slot_milliseconds DESC NULLS LAST, job_id LIMIT 50),
 x AS (SELECT *, slot_ms::DOUBLE s, (SELECT greatest(avg_slots, 1.0::DOUBLE) FROM t) a FROM p)
-SELECT job_id, left(coalesce(query_text, ''), 500) AS query_text, bytes_scanned, billed AS bytes_billed, slot_ms AS slot_milliseconds,
+SELECT job_id, coalesce(query_text, '') AS query_text, bytes_scanned, billed AS bytes_billed, slot_ms AS slot_milliseconds,
   round(CAST(CASE WHEN elapsed_ms > 0 THEN greatest(1.0::DOUBLE, s / elapsed_ms) ELSE s / 30000 END AS DECIMAL(30,12)), 1)::DOUBLE AS slot_utilization,
   round(CAST(CASE WHEN elapsed_ms > 0 THEN s / greatest(s / elapsed_ms, 1.0::DOUBLE) ELSE s / a END / 1000 AS DECIMAL(30,12)), 2)::DOUBLE AS est_runtime_seconds,
   CASE WHEN cache_hit THEN 'Hit' ELSE 'Miss' END AS cache_hit_status, statement_type, array_to_string(referenced_tables, ', ') AS referenced_tables,
