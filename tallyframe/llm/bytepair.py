@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Chunks a worker remembers; beyond that it starts anew. Bounds memory only, not results.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _MASK = (1 << 64) - 1
 _STRIDE = 0x9E3779B97F4A7C15
@@ -102,58 +103,69 @@ class Encoder:
         self.codec = codec
         self.split = regex.compile(codec.pattern)
         self.memory: dict[str, bytes] = {}
-        # ranks of single bytes and of pairs of bytes, by which every merge begins
         self.ranks = dict(zip(codec.tokens, codec.ids, strict=True))
+        # ranks of all pairs of bytes, by which every merge begins; -1 where there is none
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token outside the vocabulary: the pair of lowest rank, the leftmost of equals, merges first."""
+        """Ids of a pre-token outside the vocabulary: the pair of lowest rank, the leftmost of equals, merges first.
+
+        Parts are linked by where they end and where the one before begins. The heap
+        holds rank, begin and end of pairs in one number; entries of parts that have
+        changed since are passed over.
+        """
         n = len(piece)
-        ranks, after, before = self.ranks, list(range(1, n + 1)), list(range(-1, n - 1))
-        end = after[:]  # where the part that begins here ends; 0 once it has been merged away
-        heap = []
-        for k in range(n - 1):
-            rank = ranks.get(piece[k : k + 2])
-            if rank is not None:
-                heap.append((rank, k, k + 2))
-        heapq.heapify(heap)
+        shift = n.bit_length()
+        high, mask = 2 * shift, (1 << shift) - 1
+        rank_of, pairs = self.ranks.get, self.pairs
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r << high) | (k << shift) | (k + 2) for k, (a, b) in enumerate(zip(piece, piece[1:], strict=False)) if (r := pairs[a << 8 | b]) >= 0]
+        heapify(heap)
         while heap:
-            _, k, stop = heapq.heappop(heap)
+            entry = heappop(heap)
+            k, stop = entry >> shift & mask, entry & mask
             middle = end[k]
             if not middle or middle >= n or end[middle] != stop:
-                continue  # one of the two parts has changed since
+                continue
             end[k], end[middle] = stop, 0
-            after[k] = stop
             if stop < n:
                 before[stop] = k
-                rank = ranks.get(piece[k : end[stop]])
+                rank = rank_of(piece[k : end[stop]])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, k, end[stop]))
+                    heappush(heap, (rank << high) | (k << shift) | end[stop])
             first = before[k]
             if first >= 0:
-                rank = ranks.get(piece[first:stop])
+                rank = rank_of(piece[first:stop])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, first, stop))
+                    heappush(heap, (rank << high) | (first << shift) | stop)
         found, k = [], 0
         while k < n:
-            found.append(ranks[piece[k : end[k]]])
+            found.append(rank_of(piece[k : end[k]]))
             k = end[k]
         return found
 
+    def token(self, token: str) -> bytes:
+        """Ids of a pre-token: by the perfect hash if it is in the vocabulary, else merged."""
+        raw = token.encode("utf-8")
+        rank = self.codec.rank(raw)
+        return array("i", self.merge(raw) if rank is None else (rank,)).tobytes()
+
     def pieces(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers, without remembering."""
-        found: list[int] = []
+        """Ids of a text as little-endian 32-bit numbers; its pre-tokens are remembered."""
+        memory, found = self.memory, []
         for token in self.split.findall(text):
-            raw = token.encode("utf-8")
-            rank = self.codec.rank(raw)
-            if rank is not None:
-                found.append(rank)
-            else:
-                found += self.merge(raw)
-        return np.array(found, dtype="<i4").tobytes()
+            ids = memory.get(token)
+            if ids is None:
+                ids = memory[token] = self.token(token)
+            found.append(ids)
+        return b"".join(found)
 
     def chunk(self, chunk: str) -> bytes:
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
+        """Ids of a chunk that is not remembered. Marks after a letter or digit are a pre-token of their own."""
+        core = chunk.rstrip(_MARKS)
+        if core != chunk and core[-1:].isalnum():
+            marks = chunk[len(core) :]
+            return (self.memory.get(core) or self.chunk(core)) + (self.memory.get(marks) or self.chunk(marks))
         ids = self.memory[chunk] = self.pieces(chunk)
         return ids
 
@@ -164,6 +176,8 @@ class Encoder:
         pre-token and every line feed is one, so a text may be taken apart there.
         Other texts are taken whole.
         """
+        if len(self.memory) >= REMEMBERED:
+            self.memory.clear()
         if _RUN.search(text):
             return self.pieces(text)
         get, chunk = self.memory.get, self.chunk
@@ -178,6 +192,7 @@ class Encoder:
         return b"".join(found)
 
 
+_MARKS = ".,;:!?"
 _RUN = re.compile(r"\s\s|[\x1c-\x1f\x85]")
 _ENCODERS: dict[int, Encoder] = {}
 
