@@ -2,19 +2,22 @@
 
 A table is an external Parquet table. New contents go to a new folder and the
 catalog entry is pointed there afterwards, so readers see the old or the new
-contents and a failed load changes nothing.
+contents and a failed load changes nothing. Where the schema changes as well, the
+entry is made anew; a reader that looks just then finds no table.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.values import quoted
 from tallyframe.operators.schema import refuse_incompatible, schema_changes
 from tallyframe.session import cut_lineage
 
@@ -22,7 +25,6 @@ HISTORY_SCHEMA = (
     "load_id string, table_name string, load_type string, status string, started_at timestamp, completed_at timestamp, "
     "duration_seconds double, rows_loaded bigint, error_message string"
 )
-FILES_PER_READ = 10_000  # new files handed to one read
 
 
 def incremental_filter(df: DataFrame, column: str, bookmark) -> DataFrame:
@@ -62,45 +64,76 @@ def load_full(name: str, df: DataFrame, root: str, truncate: bool = False) -> No
         append_table(name, df)
 
 
-def merge_upsert(target: DataFrame, staging: DataFrame, keys: Sequence[str], dedupe_staging: bool = False) -> DataFrame:
-    """Target rows whose key is not in staging, and all staging rows.
+def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, that with the largest ``order`` columns; the other columns decide ties.
+
+    Rows are ranked per task before the shuffle, so a key that fills a third of the
+    rows costs one row per task.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    latest = F.max(F.struct(*[F.col(quoted(c)) for c in [*order, *rest]])).alias("_r")
+    return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(latest).select(*[quoted(k) for k in keys], "_r.*").select(*[quoted(c) for c in df.columns])
+
+
+def merge_upsert(target: DataFrame, staging: DataFrame, keys: Sequence[str], newest_by: Sequence[str] = ()) -> DataFrame:
+    """Target rows whose key is not in staging, and the staging rows.
 
     A key with NULL never matches. Repeated staging keys are all inserted unless
-    ``dedupe_staging`` is set.
+    ``newest_by`` names the columns by which the newest row of a key is told.
     """
-    if dedupe_staging:
-        others = [c for c in staging.columns if c not in keys]
-        staging = staging.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, "_r.*")
+    if newest_by:
+        staging = newest_rows(staging, keys, newest_by)
     replaced = staging.select(*keys).distinct()
     return target.join(replaced, list(keys), "left_anti").select(*target.columns).unionByName(staging.select(*target.columns))
 
 
-def merge_table(name: str, staging: DataFrame, keys: Sequence[str], root: str, dedupe_staging: bool = False) -> None:
-    """Upsert into a table by writing its next version."""
+def merge_table(name: str, staging: DataFrame, keys: Sequence[str], root: str, newest_by: Sequence[str] = ()) -> None:
+    """Upsert into a table by writing its next version; a partitioned folder is better served by :func:`merge_partitions`.
+
+    Staging is written first, as it is read twice and a live source could answer differently.
+    """
     target = staging.sparkSession.table(name)
-    replace_table(name, merge_upsert(target, staging, keys, dedupe_staging), root)
+    replace_table(name, merge_upsert(target, cut_lineage(staging), keys, newest_by), root)
+
+
+def read_partitioned(spark: SparkSession, path: str, partition: str, dtype: T.DataType) -> DataFrame:
+    """A folder partitioned by one column of a known type; '01' stays '01' where folder names alone would give 1."""
+    fields = [f for f in spark.read.parquet(path).schema.fields if f.name != partition]
+    return spark.read.schema(T.StructType([*fields, T.StructField(partition, dtype)])).parquet(path)
 
 
-def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partition: str) -> int:
+def plain_path(path: Column, encoded: bool = True) -> Column:
+    """A file path with its own characters: ``_metadata.file_path`` is URL-encoded, listings are not. A local scheme goes."""
+    text = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.regexp_replace(text, "^file:/+", "/")
+
+
+def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partition: str, newest_by: Sequence[str] = ()) -> int:
     """Upsert into a folder partitioned by ``partition``, rewriting only the partitions it touches.
 
     Touched are the partitions staging brings rows for and those that hold a
     replaced key. Their new contents are written aside first and then put in place
-    by dynamic overwrite; a partition left without rows is emptied explicitly.
+    by dynamic overwrite; a partition left without rows is emptied under the folder
+    name its files have. Partition values have the type they have in staging and
+    stay in the cluster, but for the folders to empty.
     Returns the number of partitions rewritten.
     """
     spark = staging.sparkSession
-    target = spark.read.parquet(path)
+    staging = cut_lineage(staging)
+    target = read_partitioned(spark, path, partition, staging.schema[partition].dataType)
     replaced = staging.select(*keys).distinct()
     holding = target.select(*keys, partition).join(replaced, list(keys), "left_semi").select(partition)
-    touched = [r[0] for r in holding.unionByName(staging.select(partition)).distinct().collect()]  # partition values only
-    if not touched:
+    touched = cut_lineage(holding.unionByName(staging.select(partition)).distinct())
+    count = touched.count()
+    if not count:
         return 0
-    chosen = F.col(partition).isin([t for t in touched if t is not None])
-    if None in touched:
-        chosen = chosen | F.col(partition).isNull()
-    fresh = cut_lineage(merge_upsert(target.filter(chosen), staging, keys))
-    kept = {r[0] for r in fresh.select(partition).distinct().collect()}
+    same = lambda df: df[partition].eqNullSafe(touched[partition])
+    fresh = cut_lineage(merge_upsert(target.join(touched, same(target), "left_semi"), staging, keys, newest_by))
+    left = fresh.select(F.col(partition).alias("_left")).distinct()
+    gone = touched.join(left, F.col(partition).eqNullSafe(F.col("_left")), "left_anti").withColumnRenamed(partition, "_gone")
+    folder = F.regexp_extract(plain_path(F.col("_metadata.file_path")), "([^/]+)/[^/]+$", 1).alias("folder")
+    files = target.select(partition, folder).join(gone, F.col(partition).eqNullSafe(F.col("_gone")), "left_semi")
+    emptied = [r["folder"] for r in files.select("folder").distinct().collect()]
     (
         fresh.hint("rebalance", F.col(partition))
         .write.partitionBy(partition)
@@ -108,17 +141,10 @@ def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partiti
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
-    emptied = [t for t in touched if t not in kept]
-    for value in emptied:
-        _remove_partition(spark, path, partition, value)
-    return len(touched)
-
-
-def _remove_partition(spark: SparkSession, path: str, partition: str, value) -> None:
-    """Overwrite one partition folder with no rows."""
-    schema = T.StructType([f for f in spark.read.parquet(path).schema.fields if f.name != partition])
-    text = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{partition}={text}")
+    rows = T.StructType([f for f in target.schema.fields if f.name != partition])
+    for folder_name in emptied:
+        spark.createDataFrame([], rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder_name}")
+    return count
 
 
 def load_table(name: str, df: DataFrame, root: str, settings: Mapping[str, object] | None = None, **defaults) -> None:
@@ -151,36 +177,42 @@ def replace_slice(df: DataFrame, path: str, key: str) -> None:
     )
 
 
-def bookmark_of(spark: SparkSession, path: str, table_name: str) -> str | None:
-    """The newest bookmark stored for a table."""
+def bookmark_of(spark: SparkSession, path: str, table_name: str, dtype: T.DataType | None = None):
+    """The largest bookmark stored for a table, compared as values of the type it was stored with."""
     try:
-        rows = spark.read.schema("table_name string, bookmark string").parquet(path)
-        return rows.filter(F.col("table_name") == table_name).agg(F.max("bookmark")).first()[0]
+        rows = spark.read.schema("table_name string, bookmark string, kind string").parquet(path).filter(F.col("table_name") == table_name)
+        kind = dtype.simpleString() if dtype is not None else rows.agg(F.max("kind")).first()[0] or "string"
+        return rows.agg(F.max(F.col("bookmark").cast(kind)).cast("string")).first()[0]
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
 
 
-def load_incremental(name: str, source: DataFrame, column: str, bookmarks: str, root: str, keys: Sequence[str] = ()) -> dict[str, object]:
+def load_incremental(
+    name: str, source: DataFrame, column: str, bookmarks: str, root: str, keys: Sequence[str] = (), newest_by: Sequence[str] = ()
+) -> dict[str, object]:
     """Load the rows after the table's own bookmark and move it to the largest value loaded.
 
-    The bookmark moves only after the load, and only forward.
+    Values are compared in the type of the column, so 10 comes after 9. The bookmark
+    moves only after the load, and only forward.
     """
     spark = source.sparkSession
-    bookmark = bookmark_of(spark, bookmarks, name)
+    dtype = source.schema[column].dataType
+    bookmark = bookmark_of(spark, bookmarks, name, dtype)
     fresh = incremental_filter(source, column, bookmark)
     if fresh.isEmpty():
         return {"status": "no_new_data", "rows_loaded": 0, "bookmark": bookmark}
     seen = Observation(f"load_{uuid.uuid4().hex}")
-    counted = fresh.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(column).cast("string")).alias("latest"))
+    # Written once, so that what is counted is what is loaded, whatever the source does meanwhile.
+    counted = cut_lineage(fresh.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(quoted(column))).cast("string").alias("latest")))
     if keys and spark.catalog.tableExists(name):
-        # The merge reads its staging twice, so that is written first.
-        merge_table(name, cut_lineage(counted), keys, root)
+        merge_table(name, counted, keys, root, newest_by)
     else:
         load_full(name, counted, root)
     rows, latest = seen.get["rows"], seen.get["latest"]
-    spark.createDataFrame([(name, latest)], "table_name string, bookmark string").write.mode("append").parquet(bookmarks)
+    record = [(name, latest, dtype.simpleString())]
+    spark.createDataFrame(record, "table_name string, bookmark string, kind string").write.mode("append").parquet(bookmarks)
     return {"status": "loaded", "rows_loaded": rows, "bookmark": latest}
 
 
@@ -202,42 +234,51 @@ def load_with_history(name: str, df: DataFrame, root: str, history: str, load_ty
 
 
 def new_files(files: DataFrame, registered: DataFrame) -> DataFrame:
-    """Listed files whose path is not registered yet."""
-    return files.join(registered.select("path").distinct(), "path", "left_anti")
+    """Listed files whose path is not registered yet, as plain paths."""
+    plain = files.withColumn("path", plain_path(F.col("path"), encoded=False))
+    return plain.join(registered.select("path").distinct(), "path", "left_anti")
 
 
-def append_new_files(name: str, files: DataFrame, registry: str, root: str, schema: T.StructType) -> int:
+REGISTRY_SCHEMA = "batch string, path string, state string"
+
+
+def append_new_files(
+    name: str, files: DataFrame, registry: str, root: str, schema: T.StructType, file_format: str = "parquet", options: Mapping[str, str] | None = None
+) -> int:
     """Append the files not registered yet and register them; returns how many.
 
-    Only names travel to the driver, in bounded batches, as Spark's own file index
-    holds them there anyway. A batch is registered after it was appended, under the
-    names found in the rows, so a crash in between is repaired by the check on
-    ``source_file`` of the target.
+    The registry records a batch and its files as begun before the append and as
+    done after it. Only files of a batch that never ended are looked for in the
+    target, which has the path of each row in ``source_file``; if the registry is lost,
+    that holds for all listed files. Names pass through the driver, as Spark's
+    own file index holds them there anyway, and are read as one append.
     """
     spark = files.sparkSession
-    registered = spark.read.schema("path string").parquet(registry) if _exists(spark, registry) else spark.createDataFrame([], "path string")
-    if spark.catalog.tableExists(name):
-        registered = registered.unionByName(spark.table(name).select(F.col("source_file").alias("path")).distinct())
-    fresh = cut_lineage(new_files(files, registered).select("path"))
-    batch: list[str] = []
-    total = 0
-
-    def flush() -> None:
-        nonlocal total
-        if not batch:
-            return
-        rows = spark.read.schema(schema).parquet(*batch).withColumn("source_file", F.col("_metadata.file_path"))
-        load_full(name, rows, root)
-        spark.createDataFrame([(p,) for p in batch], "path string").write.mode("append").parquet(registry)
-        total += len(batch)
-        batch.clear()
-
-    for row in fresh.toLocalIterator():
-        batch.append(row["path"])
-        if len(batch) >= FILES_PER_READ:
-            flush()
-    flush()
-    return total
+    known = spark.read.schema(REGISTRY_SCHEMA).parquet(registry) if _exists(spark, registry) else None
+    done = spark.createDataFrame([], "path string")
+    if known is not None:
+        ended = known.filter("state = 'done'").select("batch").distinct()
+        done = known.filter("state = 'begun'").join(ended, "batch", "left_semi").select("path")
+    fresh = cut_lineage(new_files(files, done).select("path").distinct())
+    doubtful = fresh if known is None else fresh.join(known.select("path").distinct(), "path", "left_semi")
+    if spark.catalog.tableExists(name) and not doubtful.isEmpty():
+        there = spark.table(name).select(F.col("source_file").alias("path")).join(doubtful, "path", "left_semi").distinct()
+        fresh = cut_lineage(fresh.join(there, "path", "left_anti"))
+    paths = [row["path"] for row in fresh.toLocalIterator()]
+    if not paths:
+        return 0
+    batch = uuid.uuid4().hex
+    record = lambda df, state: df.select(F.lit(batch).alias("batch"), "path", F.lit(state).alias("state")).write.mode("append").parquet(registry)
+    record(fresh, "begun")
+    rows = spark.read.format(file_format).schema(schema).options(**(options or {})).load([_escaped(p) for p in paths])
+    load_full(name, rows.withColumn("source_file", plain_path(F.col("_metadata.file_path"))), root)
+    record(spark.createDataFrame([("",)], "path string"), "done")
+    return len(paths)
+
+
+def _escaped(path: str) -> str:
+    """A plain path as a reader takes it, which would read these characters as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import types
 from tallyframe.operators import layout, load, parity, ranks, schema
@@ -16,6 +17,9 @@ from tallyframe.streaming import files as file_stream
 from tallyframe.streaming import tables as table_stream
 
 
+F_STRING = T.StringType()
+
+
 def _name(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex[:12]}"
 
@@ -307,6 +311,16 @@ def bookmarked(spark, sf):
     return spark.createDataFrame(steps, "step int, status string, rows bigint")
 
 
+@query("incremental_load_by_number", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey <= 12 THEN 1 ELSE 2 END AS step FROM orders")
+def bookmarked_by_number(spark, sf):
+    """Keys 9 and 10 in one load: as text the bookmark would be '9' and rows would be loaded twice."""
+    name, root, marks, orders = _name("inc"), work_path(spark, "inc"), work_path(spark, "marks"), v.table(spark, sf, "orders")
+    rows = orders.select("o_orderkey", "o_custkey")
+    for step, source in enumerate((rows.filter("o_orderkey <= 12"), rows, rows), start=1):
+        load.load_incremental(name, source.withColumn("step", F.lit(step)), "o_orderkey", marks, root)
+    return spark.table(name)
+
+
 @query("schema_evolve", """
 SELECT o_orderkey::BIGINT AS o_orderkey, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS price, NULL AS channel FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, o_totalprice, 'web' FROM orders WHERE o_orderkey % 2 = 1""")
@@ -347,6 +361,24 @@ def merged_partitions(spark, sf):
     return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+@query("merge_text_partitions", """
+SELECT k, v, part FROM (SELECT o_orderkey AS k, o_custkey AS v, 'a/' || (o_orderkey % 3) AS part, o_orderkey FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey % 5 <> 0
+  UNION ALL SELECT o_orderkey, o_custkey, '0' || (o_orderkey % 4), o_orderkey FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey % 5 <> 0
+  UNION ALL SELECT o_orderkey, o_custkey + 1, '01', o_orderkey FROM orders WHERE o_orderkey % 5 = 0)""")
+def merged_text_partitions(spark, sf):
+    """Folder names that look like numbers or need escaping; keys move into '01' and one partition loses all its rows."""
+    path, orders = work_path(spark, "merge-text"), v.table(spark, sf, "orders")
+    part = "case when o_orderkey % 5 = 0 and o_orderkey % 2 = 0 then 'left/behind+%' when o_orderkey % 3 <> 2 then concat('a/', o_orderkey % 3) else concat('0', o_orderkey % 4) end"
+    rows = orders.selectExpr("o_orderkey as k", "o_custkey as v", f"{part} as part")
+    load.replace_slice(rows, path, "part")
+    staging = rows.filter("k % 5 = 0").withColumn("v", F.col("v") + 1).withColumn("part", F.lit("01"))
+    older = staging.withColumn("v", F.col("v") - 9)
+    both = staging.withColumn("version", F.lit(2)).unionByName(older.withColumn("version", F.lit(1)))
+    newest = load.newest_rows(both, ["k"], ["version"]).drop("version")
+    load.merge_partitions(path, newest, ["k"], "part")
+    return load.read_partitioned(spark, path, "part", F_STRING).select("k", "v", "part")
+
+
 @query("incremental_delta", """
 SELECT load_type, source_count, previous_count, current_count,
   CASE WHEN load_type = 'full' THEN current_count - source_count ELSE current_count - previous_count END AS delta, 'passed' AS status
@@ -413,5 +445,5 @@ def stream_distinct(spark, sf):
 @query("stream_merge", v.with_views(v.QUERY_LOG, "SELECT job_id, bytes_scanned FROM query_log"))
 def stream_upsert(spark, sf):
     name, root = _name("stream_merge"), work_path(spark, "stream-merge")
-    table_stream.stream_merge(_log_stream(spark, sf, repeat=True, per_trigger=3), name, ["job_id"], root, work_path(spark, "checkpoint"), dedupe_staging=True)
+    table_stream.stream_merge(_log_stream(spark, sf, repeat=True, per_trigger=3), name, ["job_id"], root, work_path(spark, "checkpoint"), newest_by=["execution_time"])
     return spark.table(name).select("job_id", "bytes_scanned")

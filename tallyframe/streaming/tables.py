@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.load import merge_upsert, replace_table, table_location
+from tallyframe.session import cut_lineage
 
 
 def _run(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> None:
@@ -17,7 +18,7 @@ def _run(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> Non
     query.awaitTermination()
 
 
-def stream_merge(stream: DataFrame, name: str, keys: Sequence[str], root: str, checkpoint: str, dedupe_staging: bool = False) -> None:
+def stream_merge(stream: DataFrame, name: str, keys: Sequence[str], root: str, checkpoint: str, newest_by: Sequence[str] = ()) -> None:
     """Upsert every micro-batch into table ``name``.
 
     The folder of the table's contents is named after the batch that made them, so
@@ -30,8 +31,9 @@ def stream_merge(stream: DataFrame, name: str, keys: Sequence[str], root: str, c
         exists = spark.catalog.tableExists(name)
         if exists and last_batch(spark, name, checkpoint) >= batch_id:
             return
-        target = spark.table(name) if exists else batch.limit(0)
-        replace_table(name, merge_upsert(target, batch, keys, dedupe_staging), root, _label(checkpoint, batch_id))
+        staged = cut_lineage(batch)
+        target = spark.table(name) if exists else staged.limit(0)
+        replace_table(name, merge_upsert(target, staged, keys, newest_by), root, _label(checkpoint, batch_id))
 
     _run(stream, apply, checkpoint)
 
