@@ -28,10 +28,19 @@ LOG_RULES = (
 def redact_text(text: Column) -> Column:
     """Without addresses, hosts, ports and credentials."""
     for pattern, replacement, needed in MESSAGE_RULES:
-        text = F.when(text.contains(needed), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+        text = _named(text, _rule(f"(?U){pattern}", replacement, needed))
     return text
 
 
+def _rule(pattern: str, replacement: str, needed: str):
+    return lambda t: F.when(t.contains(needed), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+
+def _named(value: Column, rule) -> Column:
+    """``rule`` of a value that it uses several times, without repeating how the value is made."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
 def redact_log(text: Column) -> Column:
     """Without the values of keys, passwords and tokens."""
     for pattern in LOG_RULES:

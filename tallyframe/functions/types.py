@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STRUCT_DEPTH = 15  # deeper structs become JSON text (fixed value)
-
 # Fixed values, one line per source type:
 # source type, lakehouse type, warehouse load type, warehouse check type,
 # column-store type, Spark type, compatibility, compatibility type
@@ -165,23 +164,23 @@ _DDL = {
 }
 
 
-def spark_type(declared: Mapping, depth: int = 0) -> T.DataType:
-    """Spark type of a declared column ``{name, type, mode, fields}``; unknown types are text."""
+def spark_type(declared: Mapping, max_depth: int | None = None, depth: int = 0) -> T.DataType:
+    """Spark type of a declared column ``{name, type, mode, fields}``; unknown types, and structs below ``max_depth``, are text."""
     kind = str(declared.get("type", "STRING")).strip().upper()
     mode = str(declared.get("mode") or "NULLABLE").strip().upper()
     if kind in ("STRUCT", "RECORD"):
-        if depth >= MAX_STRUCT_DEPTH:
+        if max_depth is not None and depth >= max_depth:
             found: T.DataType = T.StringType()
         else:
-            found = T.StructType([spark_field(f, depth + 1) for f in declared.get("fields") or []])
+            found = T.StructType([spark_field(f, max_depth, depth + 1) for f in declared.get("fields") or []])
     else:
         found = _DDL.get(_SIMPLE.get(kind, "string"), T.StringType())
     return T.ArrayType(found, True) if mode == "REPEATED" else found
 
 
-def spark_field(declared: Mapping, depth: int = 0) -> T.StructField:
+def spark_field(declared: Mapping, max_depth: int | None = None, depth: int = 0) -> T.StructField:
     required = str(declared.get("mode") or "").strip().upper() == "REQUIRED"
-    return T.StructField(declared.get("name", "unknown"), spark_type(declared, depth), not required)
+    return T.StructField(declared.get("name", "unknown"), spark_type(declared, max_depth, depth), not required)
 
 
 def spark_schema(declared: Sequence[Mapping]) -> T.StructType:
@@ -212,7 +211,10 @@ def _converted(value: Column, own: T.DataType, wanted: T.DataType) -> Column:
 
 
 def cast_to_target(df: DataFrame, declared: Sequence[Mapping]) -> DataFrame:
-    """Shape ``df`` to a declared schema, nested fields included; absent columns become NULL."""
+    """Shape ``df`` to a declared schema, nested fields included; absent columns become NULL.
+
+    So do values that do not convert; :func:`conversion_failures` counts them.
+    """
     held = {f.name.lower(): f for f in df.schema.fields}
     picked = []
     for field in spark_schema(declared).fields:
@@ -224,10 +226,45 @@ def cast_to_target(df: DataFrame, declared: Sequence[Mapping]) -> DataFrame:
     return df.select(*picked)
 
 
+def _lost(value: Column, own: T.DataType, wanted: T.DataType) -> Column | None:
+    """Whether a value, or one inside it, does not convert; None where none can fail."""
+    if own == wanted or isinstance(wanted, T.StringType):
+        return None
+    if isinstance(wanted, T.StructType) and isinstance(own, T.StructType):
+        held = {f.name.lower(): f for f in own.fields}
+        inner = [(held[f.name.lower()], f) for f in wanted.fields if f.name.lower() in held]
+        parts = [p for f, w in inner if (p := _lost(value.getField(f.name), f.dataType, w.dataType)) is not None]
+        return F.coalesce(reduce(lambda a, b: a | b, parts), F.lit(False)) if parts else None
+    if isinstance(wanted, T.ArrayType) and isinstance(own, T.ArrayType):
+        if _lost(value, own.elementType, wanted.elementType) is None:
+            return None
+        return F.coalesce(F.exists(value, lambda x: _lost(x, own.elementType, wanted.elementType)), F.lit(False))
+    if isinstance(wanted, (T.StructType, T.ArrayType)) or isinstance(own, (T.StructType, T.ArrayType, T.MapType)):
+        return None
+    return value.isNotNull() & value.try_cast(wanted).isNull()
+
+
+def conversion_failures(df: DataFrame, declared: Sequence[Mapping]) -> DataFrame:
+    """(column_name, failed, missing): rows whose value does not convert, and rows without a REQUIRED value; one scan.
+
+    One row per declared column, so that :func:`cast_to_target` need not lose a value unnoticed.
+    """
+    held = {f.name.lower(): f for f in df.schema.fields}
+    sums, names = [], []
+    for k, field in enumerate(spark_schema(declared).fields):
+        own = held.get(field.name.lower())
+        value = F.col(f"`{own.name}`") if own else F.lit(None)
+        lost = _lost(value, own.dataType, field.dataType) if own else None
+        sums += [F.count_if(lost if lost is not None else F.lit(False)).alias(f"f{k}"), F.count_if(F.lit(not field.nullable) & value.isNull()).alias(f"m{k}")]
+        names.append(field.name)
+    entries = [F.struct(F.lit(n).alias("column_name"), F.col(f"f{k}").alias("failed"), F.col(f"m{k}").alias("missing")) for k, n in enumerate(names)]
+    return df.agg(*sums).select(F.inline(F.array(*entries)))
+
+
 def nested_to_json(df: DataFrame) -> DataFrame:
     """Structs, arrays and maps as JSON text, other columns unchanged."""
     nested = (T.StructType, T.ArrayType, T.MapType)
-    return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields])
+    return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def null_fill(df: DataFrame) -> DataFrame:
@@ -235,7 +272,7 @@ def null_fill(df: DataFrame) -> DataFrame:
     moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
     picked = []
     for f in df.schema.fields:
-        col = F.col(f.name)
+        col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.NumericType):
             col = F.coalesce(col, F.lit(0).cast(f.dataType))
         elif isinstance(f.dataType, T.BooleanType):

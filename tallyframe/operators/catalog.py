@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import sqltext
 from tallyframe.functions.types import base_type, lookup
+from tallyframe.functions.values import quoted
 from tallyframe.operators.ranks import one_row
 from tallyframe.operators.records import ordered_slice
 from tallyframe.operators.schema import union_all
@@ -361,10 +362,11 @@ def latest_version(rows: DataFrame, name: str, version: str) -> DataFrame:
 
 
 def dedup_keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key, the one with the smallest ``order``."""
-    others = [c for c in rows.columns if c not in keys]
-    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("r"))
-    return kept.select(*keys, "r.*")
+    """One row per key, the one with the smallest ``order``; rows without one come last, the other columns decide ties."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    first = F.min(F.struct(F.col(quoted(order)).isNull().alias("_none"), *[F.col(quoted(c)) for c in [order, *others]]))
+    kept = rows.groupBy(*[F.col(quoted(k)) for k in keys]).agg(first.alias("r"))
+    return kept.select(*[quoted(k) for k in keys], "r.*").select(*[quoted(c) for c in rows.columns])
 
 
 def table_page(tables: DataFrame, children: DataFrame, page: int, page_size: int, dataset: str | None = None) -> DataFrame:

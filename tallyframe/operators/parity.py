@@ -12,18 +12,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.values import half_even, shortened, shown
+from tallyframe.functions.values import half_even, quoted, shortened, shown
 
 SAMPLE_ROWS = 100  # report size of every sample list (fixed value)
 TOLERANCE = 1e-6  # largest difference of sums and averages that still passes (fixed value)
 IDENTIFIER_COLUMNS = ("id", "pk", "uuid", "guid", "key")  # looked for in this order (fixed values)
 
 
+_FLOATS = (T.DoubleType, T.FloatType)
+_LARGE, _HUGE = 1e15, 1e38
+
+
 def exact_sum(value: Column, dtype: T.DataType) -> Column:
-    """A sum that does not depend on the order of the rows."""
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.sum(value.cast("decimal(28,6)"))
-    return F.sum(value)
+    """The sum as a double that does not depend on the order of the rows, over finite values; NULL without any.
+
+    Floating point numbers go through decimals: their part down to 1e-12, what is left
+    below that in units of 1e-15, and numbers from 1e15 on in units of that. Beyond
+    1e38, or where a decimal overflows, doubles are added as they are.
+    """
+    if not isinstance(dtype, T.NumericType):
+        raise ValueError(f"no sum over {dtype.simpleString()}")
+    plain = F.sum(F.when(_finite(value, dtype), value.cast("double")))
+    if not isinstance(dtype, _FLOATS):
+        wide = f"decimal(38,{dtype.scale})" if isinstance(dtype, T.DecimalType) else "decimal(38,0)"
+        return F.coalesce(F.try_sum(value.cast(wide)).cast("double"), plain)
+    x, size = value.cast("double"), F.abs(value.cast("double"))
+    near = F.when(size < _LARGE, x)
+    part = near.cast("decimal(27,12)")
+    low = ((near - part.cast("double")) * _LARGE).cast("decimal(27,12)")
+    large = F.when((size >= _LARGE) & (size < _HUGE), x / _LARGE).cast("decimal(38,12)")
+    huge = F.sum(F.when((size >= _HUGE) & _finite(value, dtype), x))
+    total = lambda c: F.coalesce(F.try_sum(c).cast("double"), F.lit(0.0))
+    exact = total(part) + total(low) / _LARGE + total(large) * _LARGE + F.coalesce(huge, F.lit(0.0))
+    return F.when(plain.isNotNull(), exact)
+
+
+def _finite(value: Column, dtype: T.DataType) -> Column:
+    if not isinstance(dtype, _FLOATS):
+        return value.isNotNull()
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+def not_finite(value: Column, dtype: T.DataType) -> Column:
+    """How many values are NaN, infinite and minus infinite, as text ``n/n/n``; sums leave these out, so they are compared apart."""
+    if not isinstance(dtype, _FLOATS):
+        return F.max(F.lit("0/0/0"))
+    counts = [F.count_if(F.isnan(value)), *[F.count_if(value == F.lit(sign * float("inf"))) for sign in (1, -1)]]
+    return F.concat_ws("/", *[c.cast("string") for c in counts])
 
 
 def both_sides(source: DataFrame, target: DataFrame, measures) -> DataFrame:
@@ -143,28 +178,44 @@ def duplicate_samples(df: DataFrame, keys: Sequence[str], limit: int = SAMPLE_RO
     )
 
 
+def column_type(df: DataFrame, column: str) -> T.DataType:
+    return next(f.dataType for f in df.schema.fields if f.name.lower() == column.lower())
+
+
 def aggregate_value(df: DataFrame, column: str, kind: str) -> Column:
-    """SUM or AVERAGE as a double, 0 when there is no value."""
-    dtype = next(f.dataType for f in df.schema.fields if f.name.lower() == column.lower())
-    total = exact_sum(F.col(column), dtype).cast("double")
-    value = total if kind == "SUM" else F.try_divide(total, F.count(F.col(column)))
-    return F.coalesce(value, F.lit(0.0))
+    """SUM or AVERAGE of the finite values as a double, 0 when there is none."""
+    dtype = column_type(df, column)
+    value = F.col(quoted(column))
+    total = exact_sum(value, dtype)
+    result = total if kind == "SUM" else F.try_divide(total, F.count(F.when(_finite(value, dtype), 1)))
+    return F.coalesce(result, F.lit(0.0))
+
+
+def not_finite_value(df: DataFrame, column: str) -> Column:
+    return not_finite(F.col(quoted(column)), column_type(df, column))
 
 
 def aggregate_parity(source: DataFrame, target: DataFrame, column: str, kind: str) -> DataFrame:
-    """SUM or AVERAGE of a column per side; no value counts as 0."""
+    """SUM or AVERAGE of a column per side; no value counts as 0.
+
+    Passes when the values agree within ``TOLERANCE`` and both sides have equally many
+    NaN, infinite and minus infinite values (``*_not_finite``).
+    """
     kind = kind.upper()
     if kind not in ("SUM", "AVERAGE"):
         raise ValueError(f"unknown aggregate {kind}")
 
     difference = F.col("source_value") - F.col("target_value")
-    return both_sides(source, target, lambda df: {"value": aggregate_value(df, column, kind)}).select(
+    measures = both_sides(source, target, lambda df: {"value": aggregate_value(df, column, kind), "not_finite": not_finite_value(df, column)})
+    return measures.select(
         F.lit(column).alias("column_name"),
         F.lit(kind).alias("aggregate_type"),
         "source_value",
         "target_value",
         difference.alias("difference"),
-        _status(F.abs(difference) <= TOLERANCE).alias("status"),
+        "source_not_finite",
+        "target_not_finite",
+        _status((F.abs(difference) <= TOLERANCE) & (F.col("source_not_finite") == F.col("target_not_finite"))).alias("status"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.types import varchar_size
+from tallyframe.functions.values import quoted
 
 
 def string_profile(df: DataFrame) -> DataFrame:
@@ -14,8 +15,8 @@ def string_profile(df: DataFrame) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, max_length int")
-    longest = df.agg(*[F.max(F.length(n)).alias(n) for n in names])
-    entries = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(n).alias("max_length")) for n in names])
+    longest = df.agg(*[F.max(F.length(F.col(quoted(n)))).alias(n) for n in names])
+    entries = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(quoted(n)).alias("max_length")) for n in names])
     return longest.select(F.inline(entries)).filter("max_length > 0")
 
 

@@ -7,10 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.types import scan_columns
 from tallyframe.operators import parity, records
-from tallyframe.operators.schema import schema_diff, union_all
+from tallyframe.operators.schema import schema_diff
 
 RESULT_COLUMNS = ("check_name", "status", "source_value", "target_value", "difference")
 
@@ -47,12 +48,14 @@ def _scalar_checks(source: DataFrame, target: DataFrame, wanted: Mapping[str, st
         else:
             kind = "SUM" if name == "sum_check" else "AVERAGE"
             measures[name] = lambda df, c=column, k=kind: parity.aggregate_value(df, c, k)
+            measures[f"{name}_odd"] = lambda df, c=column: parity.not_finite_value(df, c)
     row = parity.both_sides(source, target, lambda df: {n: m(df) for n, m in measures.items()})
     entries = []
     for name in wanted:
         s, t = F.col(f"source_{name}"), F.col(f"target_{name}")
         inexact = name in ("sum_check", "average_check")
-        passed = F.abs(s - t) <= parity.TOLERANCE if inexact else s == t
+        same_odd = F.col(f"source_{name}_odd") == F.col(f"target_{name}_odd") if inexact else None
+        passed = (F.abs(s - t) <= parity.TOLERANCE) & same_odd if inexact else s == t
         entries.append(_entry(name, s, t, passed, absolute=name == "row_count"))
     return row.select(F.inline(F.array(*entries)))
 
@@ -84,44 +87,68 @@ def _range_check(source: DataFrame, target: DataFrame, key: str, start: int, end
     return counts.select(F.inline(F.array(_entry("specific_row_check", s, t, F.col("status") == "passed"))))
 
 
-def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object]) -> list[DataFrame]:
-    """One row per requested check; a check that names an absent column is an error, not a crash.
+Part = tuple[tuple[str, ...], Callable[[tuple[str, ...]], DataFrame]]
+
+
+def plan_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object]) -> list[Part]:
+    """The requested checks in parts that share a scan or a grouping: their names, and what computes some of them.
 
     ``checks`` keys: row_count and schema_check (True), null_check, sum_check and
     average_check (a column), duplicate_check and record_match (keys), and
-    specific_row_check (key, start, end). Checks that can share a scan or a
-    grouping do.
+    specific_row_check (key, start, end).
     """
     held = {c.lower() for c in source.columns} & {c.lower() for c in target.columns}
+
+    def numeric(column: str) -> bool:
+        return all(isinstance(parity.column_type(df, column), T.NumericType) for df in (source, target))
+
     scalars: dict[str, str | None] = {}
     by_keys: dict[tuple[str, ...], list[str]] = {}
-    rows = []
+    parts: list[Part] = []
     for name, argument in checks.items():
         if not argument:
             continue
         if name == "row_count":
             scalars[name] = None
         elif name == "schema_check":
-            rows.append(_schema_check(source, target))
-        elif name in ("null_check", "sum_check", "average_check") and str(argument).lower() in held:
+            parts.append(((name,), lambda _: _schema_check(source, target)))
+        elif name in ("null_check", "sum_check", "average_check") and str(argument).lower() in held and (name == "null_check" or numeric(str(argument))):
             scalars[name] = str(argument)
         elif name in ("duplicate_check", "record_match"):
             keys = (argument,) if isinstance(argument, str) else tuple(argument)
             if all(k.lower() in held for k in keys):
                 by_keys.setdefault(keys, []).append(name)
             else:
-                rows.append(failed_check(source, name))
+                parts.append(((name,), lambda names: failed_check(source, names[0])))
         elif name == "specific_row_check":
-            try:
-                rows.append(_range_check(source, target, *argument))
-            except (ValueError, TypeError):
-                rows.append(failed_check(source, name))
+            parts.append(((name,), lambda _, given=argument: _range_check(source, target, *given)))
         else:
-            rows.append(failed_check(source, name))
+            parts.append(((name,), lambda names: failed_check(source, names[0])))
     if scalars:
-        rows.append(_scalar_checks(source, target, scalars))
-    rows += [_key_checks(source, target, names, keys) for keys, names in by_keys.items()]
-    return rows
+        parts.append((tuple(scalars), lambda names: _scalar_checks(source, target, {n: scalars[n] for n in names})))
+    parts += [(tuple(names), lambda some, keys=keys: _key_checks(source, target, some, keys)) for keys, names in by_keys.items()]
+    return parts
+
+
+def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object], threads: int = 4) -> list[tuple]:
+    """The rows of all requested checks, a handful, computed at the same time.
+
+    A check that cannot be planned, or fails while it runs, is one row saying error.
+    Checks that failed together are run again one by one, so that only those at
+    fault are errors.
+    """
+
+    def settle(part: Part) -> list[tuple]:
+        names, build = part
+        try:
+            return [tuple(r) for r in build(names).collect()]
+        except Exception:  # noqa: BLE001 - the error is the result
+            if len(names) == 1:
+                return [(names[0], "error", None, None, None)]
+            return [row for name in names for row in settle(((name,), build))]
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [row for rows in pool.map(settle, plan_checks(source, target, checks)) for row in rows]
 
 
 def validation_report(source: DataFrame, target: DataFrame, checks: Mapping[str, object]) -> DataFrame:
@@ -133,14 +160,9 @@ def validation_report(source: DataFrame, target: DataFrame, checks: Mapping[str,
     rows = run_checks(source, target, checks)
     if not rows:
         return failed_check(source, "none").withColumn("status", F.lit("no_checks")).withColumn("overall_status", F.lit("no_checks"))
-    # One entry per check, so the array is as small as the list of checks.
-    gathered = union_all(rows).agg(F.collect_list(F.struct(*RESULT_COLUMNS)).alias("r"))
-    overall = (
-        F.when(F.exists("r", lambda x: x.status == "error"), "error")
-        .when(F.exists("r", lambda x: x.status == "failed"), "failed")
-        .otherwise("passed")
-    )
-    return gathered.select(overall.alias("overall_status"), F.inline("r"))
+    found = {status for _, status, *_ in rows}
+    overall = next(s for s in ("error", "failed", "passed") if s in found)
+    return source.sparkSession.createDataFrame(rows, _ROW).select(F.lit(overall).alias("overall_status"), *RESULT_COLUMNS)
 
 
 def table_status(results: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -182,8 +204,7 @@ def validation_run(
     def one(name: str) -> list[tuple[str, str, str]]:
         try:
             source, target, checks = pairs[name]()
-            rows = run_checks(source, target, checks)
-            found = [(name, r["check_name"], r["status"]) for r in union_all(rows).collect()] if rows else []
+            found = [(name, check, status) for check, status, *_ in run_checks(source, target, checks)]
         except Exception:  # noqa: BLE001 - the error is the result
             found = [(name, "read", "error")]
         return found or [(name, "none", "skipped")]

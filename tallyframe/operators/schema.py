@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.types import check_type, exact_equivalent, normalize_type
+from tallyframe.functions.values import quoted
 
 # Types a user-given structure may name.
 STRUCTURE_TYPES = {
@@ -153,16 +154,59 @@ def structure_warnings(structure: Mapping, source_columns: Sequence[str]) -> lis
     return warnings
 
 
-def apply_structure(df: DataFrame, structure: Mapping) -> tuple[DataFrame, list[str]]:
-    """``df`` reshaped to a user-given column list, and the warnings about it."""
-    warnings = structure_warnings(structure, df.columns)
+def _structured(df: DataFrame, structure: Mapping) -> list[tuple[str, Column, Column]]:
+    """Name, source value and converted value of every column of a structure."""
     held = {c.lower(): c for c in df.columns}
-    picked = []
+    found = []
     for column in structure.get("columns") or []:
         base, _, rest = str(column.get("type", "")).lower().partition("(")
         dtype = STRUCTURE_TYPES.get(base.strip(), "string") + (f"({rest}" if rest else "")
-        source = F.col(held[column["name"].lower()]) if column["name"].lower() in held else F.lit(None)
-        picked.append(source.try_cast(dtype).alias(column["name"]))
+        source = F.col(quoted(held[column["name"].lower()])) if column["name"].lower() in held else F.lit(None)
+        found.append((column["name"], source, source.try_cast(dtype)))
+    return found
+
+
+def structure_failures(df: DataFrame, structure: Mapping) -> DataFrame:
+    """(column_name, failed): rows whose value :func:`apply_structure` cannot convert and makes NULL; one scan."""
+    columns = _structured(df, structure)
+    counts = df.agg(*[F.count_if(s.isNotNull() & v.isNull()).alias(f"f{k}") for k, (_, s, v) in enumerate(columns)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"f{k}").alias("failed")) for k, (n, _, _) in enumerate(columns)])))
+
+
+def write_structured(df: DataFrame, structure: Mapping, path: str, mode: str = "error") -> tuple[str | None, list[str]]:
+    """Write ``df`` in the columns, order and partitions of a structure; the name of the folder column, and the warnings.
+
+    ``partition_spec`` names a column of the structure and a transform: identity, year,
+    month, day or hour. Without one, or with one that does not exist, the folder is flat.
+    """
+    shaped, warnings = apply_structure(df, structure)
+    spec = structure.get("partition_spec") or {}
+    by = {c.lower(): c for c in shaped.columns}.get(str(spec.get("column", "")).lower())
+    if by is None:
+        shaped.write.mode(mode).parquet(path)
+        return None, warnings
+    transform = str(spec.get("transform") or "identity").lower()
+    name = by if transform == "identity" else f"{by}_{transform}"
+    rows = shaped if transform == "identity" else shaped.withColumn(name, F.date_format(F.col(quoted(by)), PARTITION_FORMATS[transform]))
+    order = [s if isinstance(s, str) else s.get("column", "") for s in structure.get("sort_order") or []]
+    order = [c for c in order if c.lower() in {x.lower() for x in shaped.columns}]
+    rows = rows.hint("rebalance", F.col(quoted(name))).sortWithinPartitions(F.col(quoted(name)), *[F.col(quoted(c)).asc_nulls_last() for c in order])
+    rows.write.mode(mode).partitionBy(name).parquet(path)
+    return name, warnings
+
+
+#: Folder names of time partitions, by transform.
+PARTITION_FORMATS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd-HH"}
+
+
+def apply_structure(df: DataFrame, structure: Mapping) -> tuple[DataFrame, list[str]]:
+    """``df`` reshaped to a user-given column list, and the warnings about it.
+
+    Values that do not convert become NULL; :func:`structure_failures` counts them. The
+    partitions are put in place by :func:`write_structured`.
+    """
+    warnings = structure_warnings(structure, df.columns)
+    picked = [value.alias(name) for name, _, value in _structured(df, structure)]
     shaped = df.select(*picked) if picked else df
     order = [s if isinstance(s, str) else s.get("column", "") for s in structure.get("sort_order") or []]
     order = [c for c in order if c.lower() in {x.lower() for x in shaped.columns}]

@@ -122,7 +122,10 @@ def _parsed(spark, sf):
     full.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{path}/full")
     # Lines with too few fields.
     rows.filter("short").selectExpr("k", "'cut' as cust").write.option("header", "true").csv(f"{path}/short")
-    return csv.load_csv_tolerant(spark, [f"{path}/full", f"{path}/short"], wanted, max_errors=1_000_000)
+    # A quote that its line does not close, and the rest of the value on a line of its own.
+    header = spark.createDataFrame([("k,cust,status,day",)], "value string")
+    header.unionAll(rows.filter("k % 1021 = 0").selectExpr("concat(k, ',7,\"two') as value")).coalesce(1).write.text(f"{path}/cut")
+    return csv.load_csv_tolerant(spark, [f"{path}/full", f"{path}/short", f"{path}/cut"], wanted, max_errors=None)
 
 
 @query("load_csv_tolerant", v.with_views(_CSV_SQL, """
@@ -134,8 +137,9 @@ def tolerant(spark, sf):
 
 @query("load_rejects", v.with_views(_CSV_SQL, """
 SELECT 'wrong number of fields' AS reason, '' AS column_name, o_orderkey || ',cut' AS raw_line FROM rows_ WHERE short
-UNION ALL SELECT 'invalid value', 'cust', o_orderkey || ',x1,' || CASE o_orderkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN '' ELSE st END || ',' ||
+UNION ALL SELECT 'invalid value', 'cust', o_orderkey || ',x1,' || CASE o_orderkey % 3 WHEN 0 THEN '  ' WHEN 1 THEN '""' ELSE st END || ',' ||
   CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%m/%d/%Y') END FROM rows_ WHERE bad AND NOT short
+UNION ALL SELECT 'unclosed quote', '', o_orderkey || ',7,"two' FROM rows_ WHERE o_orderkey % 1021 = 0
 ORDER BY raw_line DESC LIMIT 100"""))
 def rejects(spark, sf):
     _, bad = _parsed(spark, sf)
@@ -247,6 +251,49 @@ def casted(spark, sf):
     )
 
 
+@query("csv_with_line_breaks", """
+SELECT o_orderkey AS k, 'two' || chr(10) || 'lines, "quoted" ' || o_custkey AS note FROM orders WHERE o_orderkey % 4 = 0""")
+def broken_lines(spark, sf):
+    path = work_path(spark, "csv-lines")
+    rows = v.table(spark, sf, "orders").filter("o_orderkey % 4 = 0").selectExpr("cast(o_orderkey as string) as k", "concat('two\nlines, \"quoted\" ', o_custkey) as note")
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    wanted = types.spark_schema([{"name": "k", "type": "INT64"}, {"name": "note", "type": "STRING"}])
+    return csv.load_csv_tolerant(spark, path, wanted, max_errors=None, multi_line=True)[0]
+
+
+@query("conversion_failures", """
+SELECT 'o_orderkey' AS column_name, 0::BIGINT AS failed, 0::BIGINT AS missing
+UNION ALL SELECT 'price', count(*) FILTER (o_orderkey % 3 = 0), 0 FROM orders UNION ALL SELECT 'day', count(*) FILTER (o_orderkey % 5 = 0), 0 FROM orders
+UNION ALL SELECT 'who', 0, count(*) FILTER (o_orderkey % 11 = 0) FROM orders
+UNION ALL SELECT 'lines', count(*) FILTER (o_orderkey % 13 = 0), 0 FROM orders UNION ALL SELECT 'absent', 0, count(*) FROM orders""")
+def lost_values(spark, sf):
+    rows = v.table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "if(o_orderkey % 3 = 0, 'abc', cast(o_totalprice as string)) as price", "if(o_orderkey % 5 = 0, 'some day', '2024-01-02') as day",
+        "if(o_orderkey % 11 = 0, null, o_custkey) as who", "array(named_struct('n', if(o_orderkey % 13 = 0, 'x', '1')), named_struct('n', '2')) as lines",
+    )
+    declared = [
+        {"name": "o_orderkey", "type": "INT64", "mode": "REQUIRED"}, {"name": "price", "type": "NUMERIC"}, {"name": "day", "type": "DATE"},
+        {"name": "who", "type": "INT64", "mode": "REQUIRED"}, {"name": "lines", "type": "RECORD", "mode": "REPEATED", "fields": [{"name": "n", "type": "INT64"}]},
+        {"name": "absent", "type": "INT64", "mode": "REQUIRED"},
+    ]
+    return types.conversion_failures(rows, declared)
+
+
+@query("structure_partitions", """
+SELECT strftime(o_orderdate, '%Y-%m') AS folder, count(*) AS rows, (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) AS failed FROM orders GROUP BY 1""")
+def structure_folders(spark, sf):
+    rows = v.table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", "if(o_orderkey % 9 = 0, 'none', '12.5') as price")
+    wanted = {
+        "columns": [{"name": "o_orderkey", "type": "long"}, {"name": "o_orderdate", "type": "timestamp"}, {"name": "price", "type": "double"}],
+        "partition_spec": {"column": "o_orderdate", "transform": "month"}, "sort_order": ["o_orderkey"],
+    }
+    path = work_path(spark, "structured")
+    name, _ = schema.write_structured(rows, wanted, path)
+    lost = schema.structure_failures(rows, wanted).agg(F.sum("failed")).first()[0]
+    back = load.read_partitioned(spark, path, name, F_STRING)
+    return back.groupBy(F.col(name).alias("folder")).agg(F.count(F.lit(1)).alias("rows")).withColumn("failed", F.lit(lost))
+
+
 @query("nested_to_json", """
 SELECT o_orderkey, '[' || string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS lines
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")

@@ -55,7 +55,8 @@ def duplicates(spark, sf):
          (SELECT sum(CAST(o_totalprice AS DECIMAL(28,6))) FROM orders_target)::DOUBLE t,
          (SELECT count(*) FROM orders) n, (SELECT count(*) FROM orders_target) m)
 SELECT 'o_totalprice' AS column_name, kind AS aggregate_type, round(a, 4) AS source_value, round(b, 4) AS target_value,
-       round(a - b, 4) AS difference, CASE WHEN abs(a - b) <= 0.000001 THEN 'passed' ELSE 'failed' END AS status
+       round(a - b, 4) AS difference, CASE WHEN abs(a - b) <= 0.000001 THEN 'passed' ELSE 'failed' END AS status,
+       '0/0/0' AS source_not_finite, '0/0/0' AS target_not_finite
 FROM (SELECT 'SUM' AS kind, s AS a, t AS b FROM m UNION ALL SELECT 'AVERAGE', s / n, t / m FROM m)"""))
 def aggregates(spark, sf):
     source, target = _pair(spark, sf)
@@ -65,8 +66,37 @@ def aggregates(spark, sf):
         "column_name",
         "aggregate_type",
         *[F.round(c, 4).alias(c) for c in ("source_value", "target_value", "difference")],
-        "status",
-    )
+        "status", "source_not_finite", "target_not_finite",
+    )
+
+
+@query("aggregate_parity_odd_values", """
+WITH o AS (SELECT o_orderkey % 5 AS k, o_custkey AS c FROM orders),
+n AS (SELECT count(*) FILTER (k = 0) nan, count(*) FILTER (k = 1) inf, sum(c) FILTER (k = 2) AS small, sum(c) FILTER (k = 3) AS large FROM o)
+SELECT 'tiny' AS what, CASE WHEN small * 3e-7 <= 0.000001 THEN 'passed' ELSE 'failed' END AS status, '0/0/0' AS source_not_finite, '0/0/0' AS target_not_finite FROM n
+UNION ALL SELECT 'nan', CASE WHEN nan = 0 THEN 'passed' ELSE 'failed' END, nan || '/0/0', '0/0/0' FROM n
+UNION ALL SELECT 'infinite', CASE WHEN inf = 0 THEN 'passed' ELSE 'failed' END, '0/' || inf || '/0', '0/0/' || inf FROM n
+UNION ALL SELECT 'same', 'passed', nan || '/' || inf || '/0', nan || '/' || inf || '/0' FROM n
+UNION ALL SELECT 'bigint', 'passed', '0/0/0', '0/0/0' FROM n""")
+def odd_aggregates(spark, sf):
+    """Values of 1e-7, NaN, infinities, 1e20, and whole numbers whose sum exceeds 64 bits."""
+    rows = v.table(spark, sf, "orders").selectExpr("o_orderkey % 5 as k", "o_custkey as c")
+
+    def pick(when: str, value: str):
+        return rows.selectExpr(f"case when {when} then {value} end as x")
+
+    odd = "case k when 0 then double('NaN') when 1 then double('Infinity') when 2 then c * 1e-7 when 3 then c * 1e20 end"
+    mixed = rows.selectExpr(f"{odd} as x")
+    big = rows.selectExpr("9000000000000000000 + k as x")
+    pairs = {
+        "tiny": (pick("k = 2", "c * 1e-7"), pick("k = 2", "c * 4e-7")),
+        "nan": (pick("k = 0 or k = 3", "if(k = 0, double('NaN'), 5D)"), pick("k = 3", "5D")),
+        "infinite": (pick("k = 1", "double('Infinity')"), pick("k = 1", "double('-Infinity')")),
+        "same": (mixed, mixed.repartition(3)),
+        "bigint": (big, big),
+    }
+    frames = [parity.aggregate_parity(s, t, "x", "SUM").withColumn("what", F.lit(n)) for n, (s, t) in pairs.items()]
+    return schema.union_all(frames).select("what", "status", "source_not_finite", "target_not_finite")
 
 
 _MATCH = """, s AS (SELECT o_orderkey, any_value(orders) AS r FROM orders GROUP BY 1),

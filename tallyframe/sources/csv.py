@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.values import quoted
 from tallyframe.session import cut_lineage
 
 MAX_ERRORS = 1000  # rejected rows up to which a load passes (fixed value)
 
 _CORRUPT = "_corrupt"
+_NEVER = "\x01\x02\x01"
 # A line put together again keeps its blanks and empty fields.
 _AS_READ = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "", "emptyValue": ""}
 
@@ -43,48 +45,73 @@ def _convert(text: Column, dtype: T.DataType) -> Column:
     return text.try_cast(dtype)
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The lines below the header of each file: one column, as no line holds this separator and quotes mean nothing."""
+    return spark.read.schema(T.StructType([T.StructField("_line", T.StringType())])).csv(
+        path, header=True, sep=_NEVER, quote="", escape="", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=False
+    )
+
+
+def read_tolerant(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Typed rows of CSV files with a header, each with its ``reject`` struct or NULL.
 
-    Empty and blank fields are NULL, bytes that are not UTF-8 are replaced, a row of
-    the wrong width or with a value that does not convert is marked and kept.
+    Empty and blank fields are NULL, bytes that are not UTF-8 are replaced; a row of
+    the wrong width, with a value that does not convert, or with a quote that its
+    line does not close is marked and kept. Doubled quotes inside quotes are one.
+    With ``multi_line`` quoted values may hold line breaks; a file is then one task.
     """
     raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(_CORRUPT, T.StringType())])
-    raw = spark.read.schema(raw_schema).csv(
-        path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True, multiLine=False
-    )
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    names = [F.col(quoted(f.name)) for f in schema.fields]
+    if multi_line:
+        rows = spark.read.schema(raw_schema).csv(
+            path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True, multiLine=True, escape='"'
+        ).select("*", F.col("_metadata.file_path").alias("_file"))
+        line, unclosed = F.coalesce(F.col(_CORRUPT), F.to_csv(F.struct(*names), _AS_READ)), F.lit(False)
+    else:
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "escape": '"'}
+        parsed = F.from_csv(F.col("_line"), ", ".join(f"{quoted(f.name)} string" for f in raw_schema.fields), options)
+        rows = _lines(spark, path).select("_line", F.col("_metadata.file_path").alias("_file"), parsed.alias("_row")).select("_line", "_file", "_row.*")
+        line = F.col("_line")
+        unclosed = F.length(F.translate(line, '"', "")) % 2 != F.length(line) % 2
     checks, values = [], []
     for field in schema.fields:
-        text = F.when(F.trim(F.col(field.name)) != "", F.col(field.name))
+        own = F.col(quoted(field.name))
+        text = F.when(F.trim(own) != "", own)
         value = _convert(text, field.dataType)
         values.append(value.alias(field.name))
         checks.append(
             F.when(text.isNotNull() & value.isNull(), F.struct(F.lit(field.name).alias("column_name"), F.lit("invalid value").alias("reason")))
         )
-    broken = F.when(F.col(_CORRUPT).isNotNull(), F.struct(F.lit("").alias("column_name"), F.lit("wrong number of fields").alias("reason")))
-    first = F.coalesce(broken, *checks)
-    line = F.coalesce(F.col(_CORRUPT), F.to_csv(F.struct(*[F.col(f.name) for f in schema.fields]), _AS_READ))
+    fault = lambda when, reason: F.when(when, F.struct(F.lit("").alias("column_name"), F.lit(reason).alias("reason")))
+    first = F.coalesce(fault(unclosed, "unclosed quote"), fault(F.col(_CORRUPT).isNotNull(), "wrong number of fields"), *checks)
     reject = F.when(
         first.isNotNull(),
-        F.struct(first["column_name"].alias("column_name"), first["reason"].alias("reason"), line.alias("raw_line"), F.col("_file").alias("file_path")),
-    )
+        F.struct(
+            first["column_name"].alias("column_name"), first["reason"].alias("reason"), line.alias("raw_line"), F.col("_file").alias("file_path"),
+            F.current_timestamp().alias("loaded_at"),
+        ),
+    )
     return rows.select(*values, reject.alias("reject"))
 
 
-def load_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, max_errors: int = MAX_ERRORS) -> tuple[DataFrame, DataFrame]:
+def load_csv_tolerant(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, max_errors: float | None = MAX_ERRORS, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejects; too many rejects fail the load.
 
-    The parsed rows are written once, so the files are parsed once.
+    ``max_errors`` is a number of rows, a share of them if below 1, or None for no
+    limit. The parsed rows are written once, so the files are parsed once.
     """
-    parsed = cut_lineage(read_tolerant(spark, path, schema))
+    parsed = cut_lineage(read_tolerant(spark, path, schema, multi_line))
     rejects = parsed.filter("reject is not null").select("reject.*")
-    count = rejects.count()
-    if count > max_errors:
-        raise ValueError(f"{count} rows rejected, {max_errors} allowed")
+    if max_errors is not None:
+        counts = parsed.agg(F.count("reject").alias("bad"), F.count(F.lit(1)).alias("all")).first()
+        allowed = max_errors * counts["all"] if 0 < max_errors < 1 else max_errors
+        if counts["bad"] > allowed:
+            raise ValueError(f"{counts['bad']} rows rejected, {allowed:g} allowed")
     return parsed.filter("reject is null").drop("reject"), rejects
 
 
-def load_rejects(rejects: DataFrame, limit: int, newest: Sequence[str] = ("file_path", "raw_line")) -> DataFrame:
-    """The last ``limit`` rejects."""
+def load_rejects(rejects: DataFrame, limit: int, newest: Sequence[str] = ("loaded_at", "file_path", "raw_line")) -> DataFrame:
+    """The ``limit`` newest rejects."""
     return rejects.orderBy(*[F.desc(c) for c in newest]).limit(limit)
