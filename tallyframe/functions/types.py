@@ -9,39 +9,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values, one line per source type:
-# source type, lakehouse type, warehouse load type, warehouse check type,
-# column-store type, Spark type, compatibility, compatibility type
-TYPE_TABLE = """
-STRING     | string         | VARCHAR(65535)   | VARCHAR          | String         | string        | partial | VARCHAR(65535)
-BYTES      | binary         | VARCHAR(65535)   | VARBYTE          | String         | binary        | partial | VARCHAR(65535)
-INT64      | long           | BIGINT           | BIGINT           | Int64          | bigint        | full    | BIGINT
-INTEGER    | long           | BIGINT           |                  | Int64          | bigint        | full    | BIGINT
-INT        |                |                  |                  | Int32          |               | full    | BIGINT
-SMALLINT   |                |                  |                  | Int16          |               | full    | SMALLINT
-TINYINT    |                |                  |                  | Int8           |               | full    | SMALLINT
-BYTEINT    |                |                  |                  |                |               | full    | SMALLINT
-BIGINT     |                |                  |                  |                |               | full    | BIGINT
-FLOAT64    | double         | DOUBLE PRECISION | DOUBLE PRECISION | Float64        | double        | full    | DOUBLE PRECISION
-FLOAT      | double         | DOUBLE PRECISION |                  | Float32        | double        | full    | DOUBLE PRECISION
-NUMERIC    | decimal(38,9)  | DECIMAL(38, 9)   | DECIMAL          | Decimal(38, 10)| decimal(38,9) | full    | DECIMAL(38,9)
-BIGNUMERIC | decimal(38,18) | DECIMAL(38, 9)   | DECIMAL          | Decimal(76, 38)| decimal(38,18)| lossy   | DECIMAL(38,18)
-DECIMAL    |                |                  |                  | Decimal(38, 10)|               | full    | DECIMAL(38,9)
-BIGDECIMAL |                |                  |                  |                |               | lossy   | DECIMAL(38,18)
-BOOL       | boolean        | BOOLEAN          | BOOLEAN          | UInt8          | boolean       | full    | BOOLEAN
-BOOLEAN    | boolean        | BOOLEAN          |                  | UInt8          | boolean       | full    | BOOLEAN
-DATE       | date           | DATE             | DATE             | Date32         | date          | full    | DATE
-TIME       | time           | TIME             | TIME             | String         | string        | full    | TIME
-DATETIME   | timestamp      | TIMESTAMP        |                  | DateTime64(6)  | timestamp_ntz | partial | TIMESTAMP
-TIMESTAMP  | timestamptz    | TIMESTAMPTZ      | TIMESTAMP        | DateTime64(6)  | timestamp     | partial | TIMESTAMPTZ
-STRUCT     | struct         | SUPER            | SUPER            | String         |               | partial | SUPER
-RECORD     | struct         | SUPER            |                  | String         |               | partial | SUPER
-ARRAY      | list           | SUPER            | SUPER            |                |               | partial | SUPER
-JSON       | string         | SUPER            |                  | String         | string        | partial | SUPER
-GEOGRAPHY  | string         | GEOMETRY         |                  | String         | string        | partial | GEOMETRY
-INTERVAL   |                |                  |                  |                |               | lossy   | VARCHAR(100)
-RANGE      |                |                  |                  |                |               | lossy   | VARCHAR(255)
-"""
+# What each source type becomes, one mapping per target.
+TYPE_MAPS = {
+    # lakehouse type
+    "lake": {
+        "STRING": "string", "BYTES": "binary", "INT64": "long", "INTEGER": "long", "FLOAT64": "double",
+        "FLOAT": "double", "NUMERIC": "decimal(38,9)", "BIGNUMERIC": "decimal(38,18)", "BOOL": "boolean",
+        "BOOLEAN": "boolean", "DATE": "date", "TIME": "time", "DATETIME": "timestamp", "TIMESTAMP": "timestamptz",
+        "STRUCT": "struct", "RECORD": "struct", "ARRAY": "list", "JSON": "string", "GEOGRAPHY": "string",
+    },
+    # warehouse load type
+    "load": {
+        "STRING": "VARCHAR(65535)", "BYTES": "VARCHAR(65535)", "INT64": "BIGINT", "INTEGER": "BIGINT",
+        "FLOAT64": "DOUBLE PRECISION", "FLOAT": "DOUBLE PRECISION", "NUMERIC": "DECIMAL(38, 9)",
+        "BIGNUMERIC": "DECIMAL(38, 9)", "BOOL": "BOOLEAN", "BOOLEAN": "BOOLEAN", "DATE": "DATE", "TIME": "TIME",
+        "DATETIME": "TIMESTAMP", "TIMESTAMP": "TIMESTAMPTZ", "STRUCT": "SUPER", "RECORD": "SUPER", "ARRAY": "SUPER",
+        "JSON": "SUPER", "GEOGRAPHY": "GEOMETRY",
+    },
+    # warehouse check type
+    "check": {
+        "STRING": "VARCHAR", "BYTES": "VARBYTE", "INT64": "BIGINT", "FLOAT64": "DOUBLE PRECISION",
+        "NUMERIC": "DECIMAL", "BIGNUMERIC": "DECIMAL", "BOOL": "BOOLEAN", "DATE": "DATE", "TIME": "TIME",
+        "TIMESTAMP": "TIMESTAMP", "STRUCT": "SUPER", "ARRAY": "SUPER",
+    },
+    # column-store type
+    "column_store": {
+        "STRING": "String", "BYTES": "String", "INT64": "Int64", "INTEGER": "Int64", "INT": "Int32",
+        "SMALLINT": "Int16", "TINYINT": "Int8", "FLOAT64": "Float64", "FLOAT": "Float32",
+        "NUMERIC": "Decimal(38, 10)", "BIGNUMERIC": "Decimal(76, 38)", "DECIMAL": "Decimal(38, 10)", "BOOL": "UInt8",
+        "BOOLEAN": "UInt8", "DATE": "Date32", "TIME": "String", "DATETIME": "DateTime64(6)",
+        "TIMESTAMP": "DateTime64(6)", "STRUCT": "String", "RECORD": "String", "JSON": "String",
+        "GEOGRAPHY": "String",
+    },
+    # Spark type
+    "spark": {
+        "STRING": "string", "BYTES": "binary", "INT64": "bigint", "INTEGER": "bigint", "FLOAT64": "double",
+        "FLOAT": "double", "NUMERIC": "decimal(38,9)", "BIGNUMERIC": "decimal(38,18)", "BOOL": "boolean",
+        "BOOLEAN": "boolean", "DATE": "date", "TIME": "string", "DATETIME": "timestamp_ntz",
+        "TIMESTAMP": "timestamp", "JSON": "string", "GEOGRAPHY": "string",
+    },
+    # how much of it survives
+    "compatibility": {
+        "STRING": "partial", "BYTES": "partial", "INT64": "full", "INTEGER": "full", "INT": "full",
+        "SMALLINT": "full", "TINYINT": "full", "BYTEINT": "full", "BIGINT": "full", "FLOAT64": "full",
+        "FLOAT": "full", "NUMERIC": "full", "BIGNUMERIC": "lossy", "DECIMAL": "full", "BIGDECIMAL": "lossy",
+        "BOOL": "full", "BOOLEAN": "full", "DATE": "full", "TIME": "full", "DATETIME": "partial",
+        "TIMESTAMP": "partial", "STRUCT": "partial", "RECORD": "partial", "ARRAY": "partial", "JSON": "partial",
+        "GEOGRAPHY": "partial", "INTERVAL": "lossy", "RANGE": "lossy",
+    },
+    # type it survives as
+    "compat_type": {
+        "STRING": "VARCHAR(65535)", "BYTES": "VARCHAR(65535)", "INT64": "BIGINT", "INTEGER": "BIGINT",
+        "INT": "BIGINT", "SMALLINT": "SMALLINT", "TINYINT": "SMALLINT", "BYTEINT": "SMALLINT", "BIGINT": "BIGINT",
+        "FLOAT64": "DOUBLE PRECISION", "FLOAT": "DOUBLE PRECISION", "NUMERIC": "DECIMAL(38,9)",
+        "BIGNUMERIC": "DECIMAL(38,18)", "DECIMAL": "DECIMAL(38,9)", "BIGDECIMAL": "DECIMAL(38,18)",
+        "BOOL": "BOOLEAN", "BOOLEAN": "BOOLEAN", "DATE": "DATE", "TIME": "TIME", "DATETIME": "TIMESTAMP",
+        "TIMESTAMP": "TIMESTAMPTZ", "STRUCT": "SUPER", "RECORD": "SUPER", "ARRAY": "SUPER", "JSON": "SUPER",
+        "GEOGRAPHY": "GEOMETRY", "INTERVAL": "VARCHAR(100)", "RANGE": "VARCHAR(255)",
+    },
+}
 
 # Canonical family and the type words that mark it, tried in this order.
 TYPE_FAMILIES = (
@@ -57,22 +83,10 @@ TYPE_FAMILIES = (
 # Sizes a text column is rounded up to.
 VARCHAR_SIZES = (64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65535)
 
-_FIELDS = ("source_type", "lake", "load", "check", "column_store", "spark", "compatibility", "compat_type")
-
-
-def type_rows() -> list[dict[str, str | None]]:
-    rows = []
-    for line in TYPE_TABLE.strip().splitlines():
-        cells = [c.strip() or None for c in line.split("|")]
-        rows.append(dict(zip(_FIELDS, cells, strict=True)))
-    return rows
-
 
 def type_map(target: str, overrides: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Source type to the type in column ``target`` of the table, overrides first."""
-    found = {r["source_type"]: r[target] for r in type_rows() if r[target]}
-    found.update({k.upper(): v for k, v in (overrides or {}).items()})
-    return found
+    """Source type to its type for ``target``, overrides first."""
+    return TYPE_MAPS[target] | {k.upper(): v for k, v in (overrides or {}).items()}
 
 
 def literal(text: str) -> str:
@@ -149,7 +163,7 @@ def check_type(name: Column, overrides: Mapping[str, str] | None = None) -> Colu
     return lookup(F.upper(F.trim(name)), type_map("check", overrides))
 
 
-_SIMPLE = {r["source_type"]: r["spark"] for r in type_rows() if r["lake"] and r["spark"]}
+_SIMPLE = {k: v for k, v in TYPE_MAPS["spark"].items() if k in TYPE_MAPS["lake"]}
 _DDL = {
     "string": T.StringType(),
     "binary": T.BinaryType(),

@@ -13,7 +13,6 @@ from tallyframe.functions.values import quoted
 from tallyframe.operators.ranks import one_row
 from tallyframe.operators.records import ordered_slice
 from tallyframe.operators.schema import union_all
-from tallyframe.session import spread
 
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_internal", "sys", "system")
 GIB = 1024**3
@@ -22,15 +21,18 @@ LARGE_TOTAL_GIB = 100  # fixed value
 MANY_UNPARTITIONED = 3  # fixed value
 
 # Names a table should not have.
-RESERVED_WORDS = """
-    all alter and array as authorization between bigint binary boolean both by case cast char column conf create cross
-    cube current database date decimal delete describe distinct double drop else end exchange exists extended external
-    false fetch float following for from full function grant group grouping having if import in inner insert int integer
-    intersect interval into is join lateral left less like local macro map more none not null of on or order out outer
-    over partition percent preceding preserve procedure range reads reduce revoke right rollup row rows select set
-    smallint table tablesample then timestamp to transform trigger true truncate unbounded union uniquejoin update user
-    using values varchar when where window with
-""".split()
+RESERVED_WORDS = (
+    "all", "alter", "and", "array", "as", "authorization", "between", "bigint", "binary", "boolean", "both", "by",
+    "case", "cast", "char", "column", "conf", "create", "cross", "cube", "current", "database", "date", "decimal",
+    "delete", "describe", "distinct", "double", "drop", "else", "end", "exchange", "exists", "extended", "external",
+    "false", "fetch", "float", "following", "for", "from", "full", "function", "grant", "group", "grouping",
+    "having", "if", "import", "in", "inner", "insert", "int", "integer", "intersect", "interval", "into", "is",
+    "join", "lateral", "left", "less", "like", "local", "macro", "map", "more", "none", "not", "null", "of", "on",
+    "or", "order", "out", "outer", "over", "partition", "percent", "preceding", "preserve", "procedure", "range",
+    "reads", "reduce", "revoke", "right", "rollup", "row", "rows", "select", "set", "smallint", "table",
+    "tablesample", "then", "timestamp", "to", "transform", "trigger", "true", "truncate", "unbounded", "union",
+    "uniquejoin", "update", "user", "using", "values", "varchar", "when", "where", "window", "with",
+)
 
 
 def user_tables(tables: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def page_inventory(tables: DataFrame, partitions: DataFrame, units: DataFrame) -
 
 def object_inventory(objects: Sequence[DataFrame]) -> DataFrame:
     """Views, routines and triggers in one list with what their definitions refer to."""
-    code = spread(union_all(objects)).withColumn("code", sqltext.code_only(F.col("definition")))
+    code = union_all(objects).withColumn("code", sqltext.code_only(F.col("definition")))
     return code.select(
         "object_name",
         "object_type",
@@ -275,12 +277,13 @@ def routine_usage(queries: DataFrame, plans: DataFrame, stats: DataFrame) -> Dat
         F.sum(F.col("avg_logical_io_reads") * runs).alias("logical"),
         F.sum(F.col("avg_physical_io_reads") * runs).alias("physical"),
         F.sum("avg_duration").alias("duration_sum"),
+        F.sum("avg_cpu_time").alias("cpu_sum"),
         F.count(F.lit(1)).alias("samples"),
         F.min("first_execution_time").alias("first_seen"),
         F.max("last_execution_time").alias("last_seen"),
     )
     rows = queries.filter("object_id is not null").join(plans, "query_id").join(per_plan, "plan_id").groupBy("object_id").agg(
-        *[F.sum(c).alias(c) for c in ("execution_count", "cpu", "elapsed", "logical", "physical", "duration_sum", "samples")],
+        *[F.sum(c).alias(c) for c in ("execution_count", "cpu", "elapsed", "logical", "physical", "duration_sum", "cpu_sum", "samples")],
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
@@ -293,7 +296,8 @@ def routine_usage(queries: DataFrame, plans: DataFrame, stats: DataFrame) -> Dat
         "execution_count",
         (F.col("cpu") / 1e6).alias("total_cpu_time_sec"),
         (F.col("elapsed") / 1e6).alias("total_elapsed_time_sec"),
-        (F.round(F.col("duration_sum") / F.col("samples")) / 1e6).alias("avg_elapsed_time_sec"),
+        (F.col("duration_sum") / F.col("samples") / 1e6).alias("avg_elapsed_time_sec"),
+        (F.col("cpu_sum") / F.col("samples") / 1e6).alias("avg_cpu_time_sec"),
         F.col("logical").alias("total_logical_reads"),
         F.col("physical").alias("total_physical_reads"),
         F.round(F.when(days > 0, F.try_divide(runs, days)).otherwise(runs), 2).alias("calls_per_day"),
@@ -372,9 +376,8 @@ def dedup_keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFr
 def table_page(tables: DataFrame, children: DataFrame, page: int, page_size: int, dataset: str | None = None) -> DataFrame:
     """One page of tables by id, and only their columns."""
     chosen = tables if dataset is None else tables.filter(F.col("dataset_name") == dataset)
-    chosen = ordered_slice(chosen, [F.asc("table_id")], (page - 1) * page_size + 1, page * page_size)
-    # A page is at most page_size rows, so it can be sent to every task.
-    return children.join(F.broadcast(chosen.select("table_id", "dataset_name", "table_name")), "table_id")
+    chosen = ordered_slice(chosen, [("table_id", False)], (page - 1) * page_size + 1, page * page_size)
+    return children.join(chosen.select("table_id", "dataset_name", "table_name"), "table_id")
 
 
 def unified_jobs(kinds: Mapping[str, DataFrame], status: str | None = None) -> DataFrame:
@@ -457,7 +460,7 @@ def history_filter(
 
 
 def history_page(history: DataFrame, page: int, page_size: int) -> DataFrame:
-    order = [F.desc("started_at"), F.asc("load_id")]
+    order = [("started_at", True), ("load_id", False)]
     return ordered_slice(history, order, (page - 1) * page_size + 1, page * page_size).drop("position")
 
 

@@ -10,33 +10,32 @@ from tallyframe.functions.types import base_type, lookup, type_map
 from tallyframe.functions.values import half_even
 from tallyframe.operators.ranks import one_row
 from tallyframe.operators.schema import union_all
-from tallyframe.session import spread
 
-# Text to look for, severity, replacement.
+# Text to look for and its severity. The advice beside them is our own.
 DIALECT_PATTERNS = (
-    ("SAFE_DIVIDE", "high", "CASE WHEN or NULLIF"),
-    ("SAFE_CAST", "medium", "TRY_CAST"),
-    ("PARSE_DATE", "medium", "TO_DATE"),
-    ("PARSE_TIMESTAMP", "medium", "TO_TIMESTAMP"),
-    ("FORMAT_DATE", "medium", "TO_CHAR"),
-    ("FORMAT_TIMESTAMP", "medium", "TO_CHAR"),
-    ("UNNEST", "high", "lateral flatten"),
-    ("ARRAY_AGG", "medium", "LISTAGG"),
-    ("STRUCT(", "high", "semi-structured column"),
-    ("GENERATE_ARRAY", "medium", "recursive CTE or generate_series"),
-    ("GENERATE_DATE_ARRAY", "medium", "generate_series"),
-    ("IF(", "low", "CASE WHEN"),
-    ("IFNULL", "low", "COALESCE"),
-    ("COUNTIF", "medium", "COUNT(CASE WHEN ...)"),
-    ("ANY_VALUE", "low", "MIN or MAX"),
-    ("APPROX_COUNT_DISTINCT", "low", "APPROXIMATE COUNT(DISTINCT)"),
-    ("FARM_FINGERPRINT", "medium", "MD5 or SHA2"),
-    ("ML.PREDICT", "high", "external model service"),
-    ("ML.EVALUATE", "high", "external model service"),
-    ("QUALIFY", "high", "subquery with a window"),
-    ("PIVOT", "medium", "conditional aggregation"),
-    ("UNPIVOT", "medium", "UNION ALL"),
-    ("EXCEPT(", "medium", "explicit column list"),
+    ("SAFE_DIVIDE", "high", "divide by NULLIF(divisor, 0)"),
+    ("SAFE_CAST", "medium", "cast only what passes a pattern"),
+    ("PARSE_DATE", "medium", "convert with an explicit date format"),
+    ("PARSE_TIMESTAMP", "medium", "convert with an explicit time format"),
+    ("FORMAT_DATE", "medium", "format the date explicitly"),
+    ("FORMAT_TIMESTAMP", "medium", "format the time explicitly"),
+    ("UNNEST", "high", "join with the elements of the array"),
+    ("ARRAY_AGG", "medium", "collect into delimited text"),
+    ("STRUCT(", "high", "store as one semi-structured value"),
+    ("GENERATE_ARRAY", "medium", "join with a table of numbers"),
+    ("GENERATE_DATE_ARRAY", "medium", "join with a calendar table"),
+    ("IF(", "low", "write the cases out"),
+    ("IFNULL", "low", "take the first value that is not NULL"),
+    ("COUNTIF", "medium", "sum a 0 or 1 per row"),
+    ("ANY_VALUE", "low", "take the smallest value"),
+    ("APPROX_COUNT_DISTINCT", "low", "use the approximate distinct count of the target"),
+    ("FARM_FINGERPRINT", "medium", "use a hash the target has"),
+    ("ML.PREDICT", "high", "score outside of the warehouse"),
+    ("ML.EVALUATE", "high", "evaluate outside of the warehouse"),
+    ("QUALIFY", "high", "filter the window in an outer query"),
+    ("PIVOT", "medium", "aggregate once per column"),
+    ("UNPIVOT", "medium", "union one query per column"),
+    ("EXCEPT(", "medium", "name the wanted columns"),
 )
 
 # Share of a column that counts per compatibility, and points a finding costs.
@@ -94,7 +93,7 @@ def dialect_hits(objects: DataFrame) -> DataFrame:
     ]
     label = F.concat_ws(": ", F.when(F.col("object_type") == "ROUTINE", "routine").otherwise("view"), "object_name")
     # Upper case once, in a column of its own, not once per pattern.
-    upper = spread(objects.filter("definition <> ''")).select(label.alias("item"), F.upper("definition").alias("text"))
+    upper = objects.filter("definition <> ''").select(label.alias("item"), F.upper("definition").alias("text"))
     return upper.select("item", F.inline(F.array_compact(F.array(*hits))))
 
 
@@ -106,7 +105,10 @@ def dialect_scan(objects: DataFrame, shown: int | None = None) -> DataFrame:
 def gap_items(
     objects: DataFrame, security: DataFrame, shards: DataFrame, tables: DataFrame, columns: DataFrame, models: DataFrame
 ) -> DataFrame:
-    """One row per object that needs work on the target: ``category, severity, item``."""
+    """One row per object that needs work on the target: ``category, severity, item``.
+
+    The categories and severities are fixed values.
+    """
     kind = base_type(F.col("data_type"))
     language = F.upper(F.coalesce("external_language", F.lit("")))
 
@@ -115,20 +117,20 @@ def gap_items(
 
     return union_all(
         [
-            part(models, "Machine learning models", "high", "model_name"),
-            part(objects.filter(language == "JAVASCRIPT"), "JavaScript functions", "high", "object_name"),
+            part(models, "ML Models (BQML)", "high", "model_name"),
+            part(objects.filter(language == "JAVASCRIPT"), "JavaScript UDFs", "high", "object_name"),
             part(
                 objects.filter(language.isin("PYTHON", "SPARK") & (F.upper("routine_type") == "PROCEDURE")),
-                "Spark procedures", "medium", "object_name",
+                "Spark Procedures", "medium", "object_name",
             ),
-            part(objects.filter("object_type = 'MATERIALIZED_VIEW'"), "Materialized views", "low", "object_name"),
-            part(security.filter("security_type = 'RLS'"), "Row-level security", "medium", "policy_name"),
-            part(security.filter("security_type = 'CLS'"), "Column-level security", "medium", "policy_name"),
-            part(shards, "Sharded tables", "medium", "shard_group"),
-            part(columns.filter(kind.isin("STRUCT", "RECORD", "ARRAY")), "Nested types", "medium", "data_type"),
-            part(columns.filter(F.upper("data_type").startswith("GEOGRAPHY")), "Geospatial data", "low", "column_name"),
+            part(objects.filter("object_type = 'MATERIALIZED_VIEW'"), "Materialized Views", "low", "object_name"),
+            part(security.filter("security_type = 'RLS'"), "Row-Level Security", "medium", "policy_name"),
+            part(security.filter("security_type = 'CLS'"), "Column-Level Security", "medium", "policy_name"),
+            part(shards, "Sharded Tables", "medium", "shard_group"),
+            part(columns.filter(kind.isin("STRUCT", "RECORD", "ARRAY")), "Complex/Nested Types", "medium", "data_type"),
+            part(columns.filter(F.upper("data_type").startswith("GEOGRAPHY")), "Geospatial Data", "low", "column_name"),
             part(
-                tables.filter(F.size("partitioning_columns") > 0), "Partitioned tables", "low", F.concat_ws(".", "dataset_name", "table_name")
+                tables.filter(F.size("partitioning_columns") > 0), "Partitioned Tables", "low", F.concat_ws(".", "dataset_name", "table_name")
             ),
         ]
     )

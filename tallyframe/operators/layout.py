@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.values import quoted
+from tallyframe.operators.load import point_to, table_location
 from tallyframe.sources.files import file_listing, list_data_files, source_size
 
 MIB = 1024 * 1024
 MIN_TARGET, MAX_TARGET = 64 * MIB, 512 * MIB  # allowed file sizes (fixed values)
 STRATEGIES = ("binpack", "sort", "z-order")
-MAX_RANGES = 10_000  # shuffle partitions of one rewrite
 
 # Partition transform per column type and granularity.
 TRANSFORMS = {
@@ -89,43 +90,56 @@ def z_key(df: DataFrame, columns: Sequence[str], bits: int = 16) -> Column:
     bits = min(bits, 62 // len(columns))
     top = (1 << bits) - 1
     numbers = [_as_number(quoted(c), df.schema[c].dataType) for c in columns]
-    extremes = df.selectExpr(*[f"{f}({n}) AS {f}_{i}" for i, n in enumerate(numbers) for f in ("min", "max")]).first()
+    finite = [f"if(abs({n}) <= 1.7976931348623157E308D, {n}, NULL)" for n in numbers]
+    extremes = df.selectExpr(*[f"{f}({n}) AS {f}_{i}" for i, n in enumerate(finite) for f in ("min", "max")]).first()
     terms = []
     for i, number in enumerate(numbers):
         low, high = extremes[f"min_{i}"] or 0.0, extremes[f"max_{i}"] or 0.0
         width = (high - low) or 1.0
+        # infinite values lie at the ends, NaN and NULL at the upper one
+        number = f"if({number} IS NULL, NULL, least(greatest({number}, {low!r}D), {high!r}D))"
         level = f"CAST(coalesce(floor(({number} - {low!r}D) / {width!r}D * {top}), {top}) AS BIGINT)"
         terms += [f"shiftleft(shiftright({level}, {b}) & 1L, {b * len(columns) + i})" for b in range(bits)]
     return F.expr(" | ".join(terms))
 
 
-def compact_files(spark: SparkSession, path: str, out: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB) -> int:
+def compact_files(
+    spark: SparkSession, path: str, out: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB, partition_by: Sequence[str] = ()
+) -> int:
     """Rewrite the Parquet files below ``path`` into files of about ``target_bytes`` in the new folder ``out``.
 
     binpack only packs file pieces into reads of the target size, without a shuffle.
-    sort and z-order cut the order into ranges; a row number is the last range
-    column, so a value that fills many files is spread over many tasks.
+    sort and z-order cut the order into as many ranges as there are files; a row
+    number is the last range column, so a value that fills many files is spread over
+    many tasks. Folders named by ``partition_by`` are kept, and come first in the order.
     Returns the number of files aimed at.
     """
     df = spark.read.parquet(path)
     check_compaction(strategy, columns, df.columns, target_bytes)
     size = source_size(list_data_files(file_listing(spark, path), "PARQUET")).first()["total_bytes"]
     files = max(1, math.ceil(size / target_bytes))
-    rows_per_file = max(1, math.ceil(df.count() / files))
     if strategy == "binpack":
         packed = spark.newSession()
         packed.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
         packed.conf.set("spark.sql.files.openCostInBytes", "0")
         packed.conf.set("spark.sql.files.minPartitionNum", "1")
-        packed.read.parquet(path).write.parquet(out)
+        packed.read.parquet(path).write.partitionBy(*partition_by).parquet(out)
         return files
+    folders = [F.col(quoted(c)) for c in partition_by]
     if strategy == "sort":
-        order, keyed = [F.col(c).asc_nulls_last() for c in columns], df
+        order, keyed = [F.col(quoted(c)).asc_nulls_last() for c in columns], df
     else:
         order, keyed = [F.col("_z")], df.withColumn("_z", z_key(df, columns))
-    tied = keyed.withColumn("_tie", F.monotonically_increasing_id())
-    ranges = tied.repartitionByRange(min(files, MAX_RANGES), *order, "_tie")
-    rows = ranges.sortWithinPartitions(*order).drop("_tie", "_z")
-    # More files than ranges: each task then writes several.
-    rows.write.option("maxRecordsPerFile", rows_per_file if files > MAX_RANGES else 0).parquet(out)
+    ranges = keyed.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(files, *folders, *order, "_tie")
+    ranges.sortWithinPartitions(*folders, *order).drop("_tie", "_z").write.partitionBy(*partition_by).parquet(out)
+    return files
+
+
+def compact_table(
+    spark: SparkSession, name: str, root: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB
+) -> int:
+    """Compact the files of a table without partitions and point the table to them; a failed rewrite changes nothing."""
+    out = f"{root.rstrip('/')}/{name}-compacted-{uuid.uuid4().hex}"
+    files = compact_files(spark, table_location(spark, name), out, strategy, columns, target_bytes)
+    point_to(spark, name, out, spark.table(name).schema)
     return files

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import sqltext
-from tallyframe.session import cut_lineage, spread
+from tallyframe.session import cut_lineage
 
 
 def extract_dependencies(objects: DataFrame, strict: bool = False) -> DataFrame:
     """Direct dependencies ``(object_name, dependency, dependency_kind)`` of ``object_name, definition`` rows."""
-    code = spread(objects).select("object_name", sqltext.code_only(F.col("definition")).alias("code"))
+    code = objects.select("object_name", sqltext.code_only(F.col("definition")).alias("code"))
     found = code.select(
         "object_name",
         sqltext.table_references(F.col("code"), strict).alias("t"),

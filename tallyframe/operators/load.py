@@ -32,7 +32,7 @@ def incremental_filter(df: DataFrame, column: str, bookmark) -> DataFrame:
     return df if bookmark is None else df.filter(F.col(column) > F.lit(bookmark).cast(df.schema[column].dataType))
 
 
-def _point_to(spark: SparkSession, name: str, path: str, schema: T.StructType) -> None:
+def point_to(spark: SparkSession, name: str, path: str, schema: T.StructType) -> None:
     if spark.catalog.tableExists(name) and spark.table(name).schema.simpleString() == schema.simpleString():
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
@@ -46,7 +46,7 @@ def replace_table(name: str, df: DataFrame, root: str, label: str = "") -> str:
     """New contents for table ``name`` in a new folder below ``root``; ``label`` becomes part of the folder's name."""
     path = f"{root.rstrip('/')}/{name}-{label}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _point_to(df.sparkSession, name, path, df.schema)
+    point_to(df.sparkSession, name, path, df.schema)
     return path
 
 

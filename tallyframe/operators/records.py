@@ -21,9 +21,6 @@ from tallyframe.functions.values import NULL_MARK, fingerprint_form, is_nan, key
 from tallyframe.operators.parity import SAMPLE_ROWS
 from tallyframe.session import cut_lineage
 
-# Above this position rows are numbered by a distributed sort instead of a top-k.
-TOP_K_LIMIT = 10_000
-
 
 def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name.lower(): f.dataType for f in df.schema.fields}
@@ -198,8 +195,23 @@ def _paired(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> tuple[
 
 
 def value_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every differing column of every matched record: keys, position, column and both values."""
+    """Every differing column of every matched record: keys, position, column and both values.
+
+    The keys whose fingerprints differ are found first, from a key and 64 bits per
+    row; only their rows are then brought together and compared by value.
+    """
     keys = _check_keys(source, target, keys)
+    changed = cut_lineage(record_index(source, target, keys).filter("record_status = 'value_mismatch'").select(*keys))
+    return _value_diff(_rows_of(source, changed, keys), _rows_of(target, changed, keys), keys)
+
+
+def _rows_of(df: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key, as text and with NULL as a key, is in ``chosen``."""
+    df = lower_names(df)
+    return df.join(chosen, [key_text(df[k]).eqNullSafe(chosen[k]) for k in keys], "left_semi")
+
+
+def _value_diff(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs, columns, own, other = _paired(source, target, keys)
     found = []
     for position, name in enumerate(columns, start=1):
@@ -231,16 +243,8 @@ def record_samples(source: DataFrame, target: DataFrame, keys: Sequence[str], li
         .limit(limit)
         .select(*keys, "record_status")
     )
-    # At most ``limit`` keys, so this side is safe to broadcast.
-    wanted = F.broadcast(chosen)
-
-    def matching(df: DataFrame) -> DataFrame:
-        df = lower_names(df)
-        on = [key_text(df[k]).eqNullSafe(chosen[k]) for k in keys]
-        return df.join(wanted, on, "left_semi")
-
     first = (
-        value_diff(matching(source), matching(target), keys)
+        _value_diff(_rows_of(source, chosen, keys), _rows_of(target, chosen, keys), keys)
         .groupBy(*keys)
         .agg(F.min_by(F.struct("column_name", "source_value", "target_value"), "position").alias("d"))
     )
@@ -255,32 +259,70 @@ def record_samples(source: DataFrame, target: DataFrame, keys: Sequence[str], li
     )
 
 
-def ordered_slice(df: DataFrame, order: Sequence[Column], start: int, end: int) -> DataFrame:
+Order = Sequence[tuple[str, bool]]  # column, and whether it descends
+
+
+def _sorting(order: Order) -> list[Column]:
+    return [F.col(quoted(c)).desc_nulls_last() if down else F.col(quoted(c)).asc_nulls_first() for c, down in order]
+
+
+def _before(order: Order, types: dict[str, T.DataType], values: Sequence) -> Column:
+    """Whether a row comes before ``values`` in the order; all are known, so a scan can filter by it."""
+    found, level = F.lit(False), F.lit(True)
+    for (name, down), value in zip(order, values, strict=True):
+        column, bound = F.col(quoted(name)), F.lit(value).cast(types[name])
+        if value is None:
+            less = column.isNotNull() if down else F.lit(False)
+        else:
+            less = F.coalesce(column > bound, F.lit(False)) if down else column.isNull() | (column < bound)
+        found, level = found | (level & less), level & column.eqNullSafe(bound)
+    return found
+
+
+def ordered_slice(df: DataFrame, order: Order, start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` (from 1, inclusive) of the sorted frame, numbered as ``position``.
 
-    A short prefix is a top-k. Further in, the sorted rows are written with their
-    partition and place in it, and the partition sizes give the offsets: no task
-    sees more than its own partition. A row number as last sort column lets a value
-    that fills many partitions be cut between them.
+    Rows that are equal in the order are sorted by a digest of all their columns, so
+    the result does not depend on how they were dealt out. First only the sort
+    columns are cut into ranges and counted, which tells the ranges the slice
+    touches; then only the rows of these ranges are sorted and written, with their
+    place in their partition. No task sees more than its own partition, and what
+    comes to the driver is one bound and count per range.
     """
     if start < 1 or end < start:
         raise ValueError("a slice requires 1 <= start <= end")
-    if end <= TOP_K_LIMIT:
-        top = df.orderBy(*order).limit(end)
-        # At most TOP_K_LIMIT rows are left to number.
-        numbered = top.withColumn("position", F.row_number().over(W.orderBy(*order)))
-        return numbered.filter(F.col("position") >= start)
-    tied = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").drop("_tie")
-    placed = cut_lineage(tied.withColumn("_id", F.monotonically_increasing_id()))
+    hashed = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    tied = df.withColumn("_tie", F.xxhash64(*hashed))
+    full = [*order, ("_tie", False)]
+    types = {f.name: f.dataType for f in tied.schema.fields}
+    names = [quoted(c) for c, _ in full]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = tied.select(*names).repartitionByRange(parts, *_sorting(full)).sortWithinPartitions(*_sorting(full))
+    # A range lies in one partition, whose first row is its bound.
+    counted = ranges.groupBy(F.spark_partition_id().alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*names)).alias("_first"))
+    low, high, skipped, seen = None, None, 0, 0
+    for row in sorted(counted.collect(), key=lambda r: r["_part"]):
+        if seen + row["_n"] < start:
+            skipped = seen + row["_n"]
+        elif seen >= end:
+            high = high or row["_first"]
+        else:
+            low = low or row["_first"]
+        seen += row["_n"]
+    # Beyond the last row there is nothing.
+    near = tied.filter(F.lit(False) if low is None else ~_before(full, types, low))
+    if high is not None:
+        near = near.filter(_before(full, types, high))
+    placed = cut_lineage(near.orderBy(*_sorting(full)).drop("_tie").withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned(F.col("_id"), 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition of the sort.
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
+    offsets = sizes.select("_part", (before + skipped).alias("_before"))
     within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn("position", F.col("_before") + within + 1)
         .filter(F.col("position").between(start, end))
         .drop("_id", "_part", "_before")
@@ -289,14 +331,15 @@ def ordered_slice(df: DataFrame, order: Sequence[Column], start: int, end: int)
 
 def positional_slice(df: DataFrame, keys: Sequence[str], start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` in key order."""
-    return ordered_slice(df, [F.col(k).asc() for k in keys], start, end)
+    return ordered_slice(df, [(k, False) for k in keys], start, end)
 
 
 def record_match_range(source: DataFrame, target: DataFrame, keys: Sequence[str], start: int, end: int) -> DataFrame:
     """Compare source rows ``start`` to ``end`` in key order with the same keys anywhere in the target."""
     keys = _check_keys(source, target, keys)
     source, target = lower_names(source), lower_names(target)
-    chosen = positional_slice(source, keys, start, end).drop("position")
+    # Written once, as it is counted, matched and looked up.
+    chosen = cut_lineage(positional_slice(source, keys, start, end).drop("position"))
     wanted = _distinct_keys(chosen, keys).alias("w")
     on = [key_text(target[k]).eqNullSafe(F.col(f"w.{k}")) for k in keys]
     relevant = target.join(wanted, on, "left_semi")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions import sqltext, times
 from tallyframe.functions.values import half_even, percent
 from tallyframe.operators.ranks import nearest_rank, one_row, peak_running_sum
+from tallyframe.operators.records import ordered_slice
+from tallyframe.session import cut_lineage
 
 ASSUMED_RUNTIME_MS = 30_000  # runtime of a query that has none recorded (fixed value)
 REPEATED_TEXT = 10  # occurrences from which a text counts as scheduled (fixed value)
@@ -146,7 +148,11 @@ def querylog_kpis(log: DataFrame) -> DataFrame:
 
 def peak_concurrency(log: DataFrame) -> DataFrame:
     """Highest sum of slots in use at one instant, and the average slots of a query."""
-    timed = enrich(log).filter(F.col("execution_time").isNotNull() & F.col("slots").isNotNull())
+    return _peak_concurrency(enrich(log))
+
+
+def _peak_concurrency(rich: DataFrame) -> DataFrame:
+    timed = rich.filter(F.col("execution_time").isNotNull() & F.col("slots").isNotNull())
     ends = F.col("execution_time") + F.make_dt_interval(secs=F.col("runtime_ms") / 1000)
     changes = timed.select(
         F.inline(
@@ -164,8 +170,13 @@ def peak_concurrency(log: DataFrame) -> DataFrame:
 
 
 def workload_metrics(log: DataFrame) -> DataFrame:
-    """Totals, monthly extrapolation and concurrency of the log in one row."""
-    rich = enrich(log)
+    """Totals, monthly extrapolation and concurrency of the log in one row.
+
+    The log is read once: the columns all figures are made of, without texts, are
+    written, as totals, peak and median each go over them.
+    """
+    used = ("execution_time", "user_email", "cache_hit", "statement_type", "bytes", "billed", "slot_ms", "runtime_ms", "slots", "statement_class")
+    rich = cut_lineage(enrich(log).select(*used))
     median = nearest_rank(rich, F.col("slots") * 1_000_000, {"median": 0.5}).select(
         half_even(F.col("median") / 1e6, 1).alias("median_concurrent_slots")
     )
@@ -190,7 +201,7 @@ def workload_metrics(log: DataFrame) -> DataFrame:
         half_even(F.col("min_slots").cast("double"), 1).alias("min_concurrent_slots"),
         half_even(F.col("avg_slots"), 1).alias("avg_concurrent_slots"),
     )
-    peak = peak_concurrency(log).select(F.col("peak_slot_utilization").alias("estimated_peak_slots"))
+    peak = _peak_concurrency(rich).select(F.col("peak_slot_utilization").alias("estimated_peak_slots"))
     return one_row([totals, peak, median])
 
 
@@ -464,9 +475,10 @@ SORT_COLUMNS = {
 
 
 def query_page(log: DataFrame, sort_by: str = "bytes_scanned", page: int = 1, page_size: int = 50) -> DataFrame:
-    """One page of the log, largest first, missing values last."""
-    column = SORT_COLUMNS.get(sort_by, "bytes_scanned")
-    return log.orderBy(F.col(column).desc_nulls_last(), "job_id").offset((page - 1) * page_size).limit(page_size)
+    """One page of the log, largest first, missing values last; deep pages cost no more than early ones."""
+    order = [(SORT_COLUMNS.get(sort_by, "bytes_scanned"), True), ("job_id", False)]
+    found = ordered_slice(log, order, (page - 1) * page_size + 1, page * page_size)
+    return found.orderBy("position").drop("position")
 
 
 def page_view(page: DataFrame, log: DataFrame, text_length: int | None = None) -> DataFrame:

@@ -65,14 +65,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on small inputs.
-
-    An input with fewer splits than cores is small (at most one split per core), so
-    dealing its rows out is cheap. Larger inputs stay as they are. Meant for scans:
-    counting the splits of a shuffled frame would run the shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

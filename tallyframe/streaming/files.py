@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,24 +41,33 @@ def load_available_files(
     apply: Callable[[DataFrame, int], None],
     checkpoint: str,
     max_files: int = 1000,
+    file_format: str = "parquet",
+    options: Mapping[str, str] | None = None,
 ) -> int:
     """Run ``apply`` on the files that arrived since the last call; returns the number of rows.
 
     The checkpoint remembers which files are done and moves only when a batch
-    succeeded. A full reload is a call with a new checkpoint.
+    succeeded. A full reload is a call with a new checkpoint. ``apply`` has to run an
+    action over its batch, in which the rows are counted.
     """
-    # Row counts are kept for this many batches, so that they add up.
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(path)
+    reader = spark.readStream.schema(schema).options(**(options or {})).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true")
+    stream = reader.format(file_format).load(path)
+    rows: list[int] = []
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"batch_{uuid.uuid4().hex}")
+        apply(batch.observe(seen, F.count(F.lit(1)).alias("rows")), batch_id)
+        rows.append(seen.get["rows"])
+
     query = (
         stream.withColumn("source_file", F.col("_metadata.file_path"))
-        .writeStream.foreachBatch(apply)
+        .writeStream.foreachBatch(counted)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return sum(int(p["numInputRows"]) for p in query.recentProgress)
+    return sum(rows)
 
 
 def append_batches(out: str) -> Callable[[DataFrame, int], None]:
