@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import cut_lineage
 
-#: Expected number of vectors the lists are fitted on, and the most lists.
-MAX_SAMPLE, MAX_LISTS = 20_000, 256
-#: Distinct vectors in a list on average, until there are ``MAX_LISTS``.
-LIST_ROWS = 512
+#: Expected number of vectors the lists are fitted on, and the number of lists.
+MAX_SAMPLE, LISTS = 20_000, 32
 #: Share of the lists that a query probes.
 PROBED = 0.8
 #: Rotated dimensions looked at before each test, and its strictness in standard deviations: larger abandons fewer.
-COLUMNS, STRICTNESS = 8, 3.0
-#: Rows on either side of a block.
-BLOCK_ROWS = 2048
+COLUMNS, STRICTNESS = 16, 2.5
+#: Rows on either side of a block; queries scanned together.
+BLOCK_ROWS, TOGETHER = 8192, 64
 _ROUNDS = 10
 
 
@@ -47,12 +45,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, count: int) -> Index:
-    """Lists for ``count`` distinct vectors: k-means on a sample of about ``MAX_SAMPLE``, in one task, and a rotation.
+    """``LISTS`` lists for ``count`` distinct vectors: k-means on a sample of about ``MAX_SAMPLE``, in one task, and a rotation.
 
-    ``vectors`` has vec_id and embedding. The number of lists is count / ``LIST_ROWS``,
-    at most ``MAX_LISTS``, so an index is of bounded size.
+    ``vectors`` has vec_id and embedding. An index is of bounded size.
     """
-    lists = max(1, min(MAX_LISTS, count // LIST_ROWS))
+    lists = max(1, LISTS)
     draw = F.pmod(F.xxhash64(F.lit("lists"), "vec_id"), F.lit(1_000_003)) / 1_000_003
     sample = vectors.where(draw < min(1.0, MAX_SAMPLE / max(count, 1)))
 
@@ -92,33 +89,42 @@ def _spread(rows: DataFrame, index: Index, probes: int) -> DataFrame:
     return rows.select("key", "embedding").mapInArrow(assign, "key long, embedding array<float>, list int")
 
 
-def scan(query: np.ndarray, rows: np.ndarray, columns: int, strictness: float, k: int, known: float) -> np.ndarray:
-    """Places of rows that may be among the k with the largest inner product, all of which were looked at in full.
+def scan(queries: np.ndarray, rows: np.ndarray, columns: int, strictness: float, k: int) -> list[np.ndarray]:
+    """For each query the places of rows that may be among the k with the largest inner product; the others were abandoned.
 
-    Vectors are rotated at random. By |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, a row reaches
-    the inner product t just if its squared distance is at most |q|^2 + |x|^2 - 2 t.
-    After a random rotation the first d of D columns hold a Beta(d/2, (D-d)/2) share
-    of the squared distance, with mean d / D and known variance. After every block of
-    columns the partial squared distance, scaled up to all columns, is held against
-    the bound plus ``strictness`` standard deviations; a row beyond is abandoned, for it
-    would be within the bound with a small chance only. ``known`` is a value of t
-    reached before; at every test the k-th best of the most hopeful rows raises it.
+    By |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, a row reaches the inner product t just if its
+    squared distance is at most |q|^2 + |x|^2 - 2 t. After a random rotation the first
+    d of D columns hold a Beta(d/2, (D-d)/2) share of the squared distance, with mean
+    d / D and known variance. After every block of columns the partial squared
+    distance, scaled up to all columns, is held against the bound plus ``strictness``
+    standard deviations; a row beyond is abandoned, for it would be within the bound
+    with a small chance only. t starts without limit; at every test the k-th best of
+    the most hopeful rows, looked at in full, raises it. The first half of the
+    columns is looked at for all rows and queries together, the rest for what is left.
     """
-    size = rows.shape[1]
-    lengths = (rows**2).sum(axis=1) + query @ query
-    left, partial = np.arange(len(rows)), np.zeros(len(rows))
-    threshold = known
-    for begin in range(0, size, columns):
-        end = min(begin + columns, size)
-        partial = partial + ((rows[left, begin:end] - query[begin:end]) ** 2).sum(axis=1)
-        if end < size:
-            if len(left) > 2 * k:
-                hopeful = left[np.argpartition(partial * (size / end) - lengths[left], 2 * k)[: 2 * k]]
-                threshold = max(threshold, float(np.partition(rows[hopeful] @ query, k)[k]))
-            spread = math.sqrt(2 * (size - end) / (end * (size + 2)))
-            bound = np.maximum(lengths[left] - 2 * threshold, 0.0) * (1 + strictness * spread)
-            stay = partial * (size / end) <= bound
-            left, partial = left[stay], partial[stay]
+    size, dense = rows.shape[1], rows.shape[1] // 2 // columns * columns
+    lengths = (rows**2).sum(axis=1)
+    own = (queries**2).sum(axis=1)
+    threshold = np.full(len(queries), -np.inf)
+    left: list[np.ndarray] = [np.arange(len(rows))] * len(queries)
+    partial: list[np.ndarray] = [np.zeros(len(rows))] * len(queries)
+    begin = 0
+    for end in range(columns, size, columns):
+        part = slice(begin, end)
+        near = (rows[:, part] ** 2).sum(axis=1)
+        dots = queries[:, part] @ rows[:, part].T if end <= dense else None
+        spread = math.sqrt(2 * (size - end) / (end * (size + 2)))
+        for q, query in enumerate(queries):
+            here = left[q]
+            dot = dots[q, here] if dots is not None else rows[here, part] @ query[part]
+            far = partial[q] + near[here] + query[part] @ query[part] - 2 * dot
+            scaled, reach = far * (size / end), lengths[here] + own[q]
+            if len(here) > 2 * k:
+                hopeful = here[np.argpartition(scaled - reach, 2 * k)[: 2 * k]]
+                threshold[q] = max(threshold[q], np.partition(rows[hopeful] @ query, k)[k])
+            stay = scaled <= np.maximum(reach - 2 * threshold[q], 0.0) * (1 + strictness * spread)
+            left[q], partial[q] = here[stay], far[stay]
+        begin = end
     return left
 
 
@@ -154,7 +160,7 @@ def search(vectors: DataFrame, asked: Column, k: int, id_col: str = "vec_id", ve
     placed, probing = cut_lineage(_spread(classes, index, 1)), _spread(askers, index, probes)
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))
     loads = probing.groupBy("list").agg(F.count(F.lit(1)).alias("asks"))
-    # one row per list, at most MAX_LISTS
+    # one row per list, at most LISTS
     blocks = F.broadcast(cut_lineage(sizes.join(loads, "list").select("list", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("n"), F.ceil(F.col("asks") / BLOCK_ROWS).cast("int").alias("m"))))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -171,11 +177,13 @@ def search(vectors: DataFrame, asked: Column, k: int, id_col: str = "vec_id", ve
         order = np.argsort(ids)
         rows, ids, raw = rows[order], ids[order], plain[~asks][order]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for place in np.flatnonzero(asks):
-            near = scan(turned[place], rows, COLUMNS, STRICTNESS, k + 1, -math.inf)
-            score = raw[near] @ plain[place]
-            top = np.lexsort((ids[near], -score))[: k + 1]
-            found.append((np.full(len(top), keys[place]), ids[near][top], score[top]))
+        asking = np.flatnonzero(asks)
+        for first in range(0, len(asking), TOGETHER):
+            some = asking[first : first + TOGETHER]
+            for place, near in zip(some, scan(turned[some], rows, COLUMNS, STRICTNESS, k + 1), strict=True):
+                score = raw[near] @ plain[place]
+                top = np.lexsort((ids[near], -score))[: k + 1]
+                found.append((np.full(len(top), keys[place]), ids[near][top], score[top]))
         asker, key, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"asker": asker, "key": key, "score": score})
 
