@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 from tallyframe.functions.values import quoted
 from tallyframe.operators.schema import refuse_incompatible, schema_changes
 from tallyframe.session import cut_lineage
+from tallyframe.sources.files import file_listing, list_data_files, source_size
 
 HISTORY_SCHEMA = (
-    "load_id string, table_name string, load_type string, status string, started_at timestamp, completed_at timestamp, "
-    "duration_seconds double, rows_loaded bigint, error_message string"
+    "load_id string, schema_name string, table_name string, source string, file_format string, load_type string, status string, "
+    "started_at timestamp, completed_at timestamp, duration_seconds double, rows_loaded bigint, bytes_loaded bigint, error_message string"
 )
 
 
@@ -216,19 +217,36 @@ def load_incremental(
     return {"status": "loaded", "rows_loaded": rows, "bookmark": latest}
 
 
-def load_with_history(name: str, df: DataFrame, root: str, history: str, load_type: str = "full", **settings) -> str:
-    """Load and append a row about it to the history, counted while writing; a failed load is recorded too."""
+def stored_bytes(spark: SparkSession, name: str) -> int:
+    """Bytes of the files of a table."""
+    return source_size(list_data_files(file_listing(spark, table_location(spark, name)), "PARQUET")).first()["total_bytes"]
+
+
+def load_with_history(
+    name: str, df: DataFrame, root: str, history: str, load_type: str = "full", source: str | None = None, file_format: str | None = None, **settings
+) -> str:
+    """Load and append a row about it to the history, counted while writing; a failed load is recorded too.
+
+    ``bytes_loaded`` is what the files of the table have grown by, or all of them where
+    the load replaced them. ``source`` and ``file_format`` say where the rows came from.
+    """
     spark = df.sparkSession
+    schema_name, _, table_name = name.rpartition(".")
+    place = lambda: table_location(spark, name) if spark.catalog.tableExists(name) else None
+    where = place()
+    before = stored_bytes(spark, name) if where else 0
     counted = Observation(f"rows_{uuid.uuid4().hex}")
     started = datetime.now(timezone.utc)
-    status, error, rows = "completed", None, 0
+    status, error, rows, size = "completed", None, 0, 0
     try:
         load_table(name, df.observe(counted, F.count(F.lit(1)).alias("rows")), root, load_type=load_type, **settings)
         rows = counted.get["rows"]
+        size = stored_bytes(spark, name) - (before if place() == where else 0)
     except Exception as failure:  # noqa: BLE001 - recorded, then raised by the caller if wanted
         status, error = "failed", str(failure).splitlines()[0]
     ended = datetime.now(timezone.utc)
-    record = (uuid.uuid4().hex, name, load_type, status, started, ended, (ended - started).total_seconds(), rows, error)
+    took = (ended - started).total_seconds()
+    record = (uuid.uuid4().hex, schema_name or None, table_name, source, file_format, load_type, status, started, ended, took, rows, size, error)
     spark.createDataFrame([record], HISTORY_SCHEMA).write.mode("append").parquet(history)
     return status
 

@@ -195,14 +195,17 @@ def appended(spark, sf):
 
 
 @query("load_history", """
-SELECT 'full' AS load_type, 'completed' AS status, count(*) AS rows_loaded FROM orders UNION ALL SELECT 'incremental', 'failed', 0""")
+SELECT 'full' AS load_type, 'completed' AS status, count(*) AS rows_loaded, true AS has_bytes, 'orders.parquet' AS source, 'PARQUET' AS file_format FROM orders
+UNION ALL SELECT 'full', 'completed', count(*) FILTER (o_orderkey % 2 = 0), true, NULL, NULL FROM orders
+UNION ALL SELECT 'incremental', 'failed', 0, false, NULL, NULL""")
 def history(spark, sf):
     name, root, log = _name("hist"), work_path(spark, "hist"), work_path(spark, "hist-log")
     orders = v.table(spark, sf, "orders")
-    load.load_with_history(name, orders, root, log)
+    load.load_with_history(name, orders, root, log, source="orders.parquet", file_format="PARQUET")
+    load.load_with_history(name, orders.filter("o_orderkey % 2 = 0"), root, log, truncate=True)
     broken = orders.withColumn("o_orderkey", F.raise_error(F.lit("broken source")).cast("bigint"))
     load.load_with_history(name, broken, root, log, "incremental", primary_key="o_orderkey")
-    return spark.read.parquet(log).select("load_type", "status", "rows_loaded")
+    return spark.read.parquet(log).select("load_type", "status", "rows_loaded", (F.col("bytes_loaded") > 0).alias("has_bytes"), "source", "file_format")
 
 
 @query("replace_slice", """

@@ -46,6 +46,29 @@ def read_options(kind: str, connection: Mapping[str, object], table: str, split:
     return "jdbc", options
 
 
+def split_bounds(
+    spark: SparkSession, kind: str, connection: Mapping[str, object], table: str, column: str, parts: int = 64
+) -> dict[str, object]:
+    """The ``split`` that reads a database table in ``parts`` ranges of a numeric or time column.
+
+    The database answers with the two extremes only. An empty table needs no split.
+    """
+    source, options = read_options(kind, connection, bounds_query(table, column))
+    row = spark.read.format(source).options(**options).load().first()
+    return split_of(column, row[0], row[1], parts)
+
+
+def bounds_query(table: str, column: str) -> str:
+    return f"(SELECT min({column}) AS low, max({column}) AS high FROM {table}) bounds"
+
+
+def split_of(column: str, low: object, high: object, parts: int) -> dict[str, object]:
+    """Reader options of a split between two extremes; none where there are no rows."""
+    if low is None or high is None:
+        return {}
+    return {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": parts}
+
+
 def scan_table(
     spark: SparkSession,
     kind: str,
@@ -53,8 +76,15 @@ def scan_table(
     table: str,
     order_by: str | None = None,
     split: Mapping[str, object] | None = None,
+    split_by: str | None = None,
 ) -> DataFrame:
-    """A whole table with lower-case column names, sorted by one column when asked."""
+    """A whole table with lower-case column names, sorted by one column when asked.
+
+    Database tables are read in ranges of ``split_by``, whose extremes are asked for, or
+    by a ``split`` given in full.
+    """
+    if split is None and split_by is not None and kind.lower() in JDBC_URLS:
+        split = split_bounds(spark, kind, connection, table, split_by)
     source, options = read_options(kind, connection, table, split)
     df = spark.read.format(source).options(**options).load()
     df = df.toDF(*[c.lower() for c in df.columns])
