@@ -111,29 +111,40 @@ def gap_items(
     """
     kind = base_type(F.col("data_type"))
     language = F.upper(F.coalesce("external_language", F.lit("")))
+    by_spark = language.isin("PYTHON", "SPARK") & (F.upper(F.coalesce("routine_type", F.lit(""))) == "PROCEDURE")
 
-    def part(df: DataFrame, category: str, severity: str, item) -> DataFrame:
-        return df.select(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.col(item).alias("item") if isinstance(item, str) else item.alias("item"))
+    def found(df: DataFrame, *rules: tuple[Column, str, str, str | Column]) -> DataFrame:
+        """All rules over one scan of an input."""
+        hits = [
+            F.when(held, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), (F.col(item) if isinstance(item, str) else item).alias("item")))
+            for held, category, severity, item in rules
+        ]
+        return df.select(F.inline(F.array_compact(F.array(*hits))))
 
+    always = F.lit(True)
     return union_all(
         [
-            part(models, "ML Models (BQML)", "high", "model_name"),
-            part(objects.filter(language == "JAVASCRIPT"), "JavaScript UDFs", "high", "object_name"),
-            part(
-                objects.filter(language.isin("PYTHON", "SPARK") & (F.upper("routine_type") == "PROCEDURE")),
-                "Spark Procedures", "medium", "object_name",
+            found(models, (always, "ML Models (BQML)", "high", "model_name")),
+            found(
+                objects,
+                (language == "JAVASCRIPT", "JavaScript UDFs", "high", "object_name"),
+                (by_spark, "Spark Procedures", "medium", "object_name"),
+                (F.col("object_type") == "MATERIALIZED_VIEW", "Materialized Views", "low", "object_name"),
+            ),
+            found(
+                security,
+                (F.col("security_type") == "RLS", "Row-Level Security", "medium", "policy_name"),
+                (F.col("security_type") == "CLS", "Column-Level Security", "medium", "policy_name"),
             ),
-            part(objects.filter("object_type = 'MATERIALIZED_VIEW'"), "Materialized Views", "low", "object_name"),
-            part(security.filter("security_type = 'RLS'"), "Row-Level Security", "medium", "policy_name"),
-            part(security.filter("security_type = 'CLS'"), "Column-Level Security", "medium", "policy_name"),
-            part(shards, "Sharded Tables", "medium", "shard_group"),
-            part(columns.filter(kind.isin("STRUCT", "RECORD", "ARRAY")), "Complex/Nested Types", "medium", "data_type"),
-            part(columns.filter(F.upper("data_type").startswith("GEOGRAPHY")), "Geospatial Data", "low", "column_name"),
-            part(
-                tables.filter(F.size("partitioning_columns") > 0), "Partitioned Tables", "low", F.concat_ws(".", "dataset_name", "table_name")
+            found(shards, (always, "Sharded Tables", "medium", "shard_group")),
+            found(
+                columns,
+                (kind.isin("STRUCT", "RECORD", "ARRAY"), "Complex/Nested Types", "medium", "data_type"),
+                (F.upper("data_type").startswith("GEOGRAPHY"), "Geospatial Data", "low", "column_name"),
             ),
+            found(tables, (F.size("partitioning_columns") > 0, "Partitioned Tables", "low", F.concat_ws(".", "dataset_name", "table_name"))),
         ]
-    )
+    )
 
 
 def feature_gaps(gaps: DataFrame, shown: int | None = None) -> DataFrame:

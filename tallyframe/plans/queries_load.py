@@ -512,6 +512,21 @@ def stream_distinct(spark, sf):
     return spark.read.parquet(out).select("job_id", "bytes_scanned")
 
 
+@query("stream_merge_partitions", v.with_views(v.QUERY_LOG, """
+SELECT job_id, CASE WHEN event % 5 = 0 THEN -1 ELSE bytes_scanned END AS bytes_scanned, 'p' || (event % 4) AS part
+FROM (SELECT *, CAST(substr(job_id, 5) AS BIGINT) AS event FROM query_log)"""))
+def stream_upsert_partitions(spark, sf):
+    """Files of every fifth job with a new value arrive after the table was filled, in two batches."""
+    out, path = work_path(spark, "stream-parts"), work_path(spark, "late-values")
+    rows = v.query_log(spark, sf).selectExpr("job_id", "bytes_scanned", "concat('p', cast(substr(job_id, 5) as bigint) % 4) as part", "cast(substr(job_id, 5) as bigint) as event")
+    load.replace_slice(rows.drop("event"), out, "part")
+    for k in (0, 1):
+        rows.filter(f"event % 5 = 0 and event % 2 = {k}").selectExpr("job_id", "-1L as bytes_scanned", "part").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("job_id string, bytes_scanned bigint, part string").option("maxFilesPerTrigger", 1).parquet(path)
+    table_stream.stream_merge_partitions(stream, out, ["job_id"], "part", work_path(spark, "checkpoint"))
+    return load.read_partitioned(spark, out, "part", F_STRING).select("job_id", "bytes_scanned", "part")
+
+
 @query("stream_merge", v.with_views(v.QUERY_LOG, "SELECT job_id, bytes_scanned FROM query_log"))
 def stream_upsert(spark, sf):
     name, root = _name("stream_merge"), work_path(spark, "stream-merge")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators.load import merge_upsert, replace_table, table_location
+from tallyframe.operators.load import merge_partitions, merge_upsert, replace_table, table_location
 from tallyframe.session import cut_lineage
 
 
@@ -38,6 +38,22 @@ def stream_merge(stream: DataFrame, name: str, keys: Sequence[str], root: str, c
     _run(stream, apply, checkpoint)
 
 
+def stream_merge_partitions(
+    stream: DataFrame, path: str, keys: Sequence[str], partition: str, checkpoint: str, newest_by: Sequence[str] = ()
+) -> None:
+    """Upsert every micro-batch into a folder partitioned by ``partition``, rewriting only the partitions it touches.
+
+    For targets of which a batch is a small part. A batch that is run again after a
+    crash replaces the same keys with the same rows; rows with a NULL key, which
+    never match, may then be there twice.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        merge_partitions(path, batch, keys, partition, newest_by)
+
+    _run(stream, apply, checkpoint)
+
+
 def _label(checkpoint: str, batch_id: int | str) -> str:
     return f"{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-batch{batch_id}-"
 
