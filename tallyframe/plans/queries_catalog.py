@@ -686,7 +686,7 @@ def first_rows(spark, sf):
 
 def _jobs(spark, sf):
     loads = v.load_log(spark, sf)
-    runs = v.table(spark, sf, "events").filter("event_type in ('signup', 'error')")
+    runs = v.table(spark, sf, "events")
     return {
         "assessment": runs.selectExpr(
             "event_id as id", "concat('scan ', user_id) as name",
@@ -699,7 +699,7 @@ def _jobs(spark, sf):
 _JOBS = """jobs AS (
   SELECT 'assessment' AS job_type, event_id AS id, 'scan ' || user_id AS name,
     CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'failed' END AS status, ts AS started_at,
-    CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 0 END AS progress, 0 AS rows_, 0 AS bytes_ FROM events WHERE event_type IN ('signup', 'error')
+    CASE event_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 0 END AS progress, 0 AS rows_, 0 AS bytes_ FROM events
   UNION ALL SELECT 'migration', load_id, 'move ' || table_name, status, started_at, load_id % 101, rows_loaded, bytes_loaded FROM load_log)"""
 
 

@@ -164,12 +164,15 @@ def extra(spark, sf):
 
 
 @query("value_diff", v.with_views(v.ORDERS_TARGET, _MATCH + """
-SELECT CAST(s.o_orderkey AS VARCHAR) AS o_orderkey, x.position, x.column_name
-FROM s JOIN t ON s.o_orderkey = t.o_orderkey,
-  LATERAL (SELECT 3 AS position, 'o_totalprice' AS column_name WHERE r.o_totalprice <> p
-           UNION ALL SELECT 5, 'o_orderpriority' WHERE r.o_orderpriority IS DISTINCT FROM pr) x"""))
+SELECT CAST(s.o_orderkey AS VARCHAR) AS o_orderkey, x.* FROM s JOIN t ON s.o_orderkey = t.o_orderkey,
+  LATERAL (SELECT 3 AS position, 'o_totalprice' AS column_name, r.o_totalprice AS source_number, p AS target_number, NULL AS source_text, NULL AS target_text
+             WHERE r.o_totalprice <> p
+           UNION ALL SELECT 5, 'o_orderpriority', NULL, NULL, r.o_orderpriority, pr WHERE r.o_orderpriority IS DISTINCT FROM pr) x"""))
 def differences(spark, sf):
-    return records.value_diff(*_pair(spark, sf), ["o_orderkey"]).select("o_orderkey", "position", "column_name")
+    found = records.value_diff(*_pair(spark, sf), ["o_orderkey"])
+    number = F.col("column_name") == "o_totalprice"
+    sides = [c for s in ("source", "target") for c in (F.when(number, F.col(f"{s}_value").cast("double")).alias(f"{s}_number"), F.when(~number, F.col(f"{s}_value")).alias(f"{s}_text"))]
+    return found.select("o_orderkey", "position", "column_name", *sides)
 
 
 @query("record_samples", v.with_views(v.ORDERS_TARGET, _MATCH + """

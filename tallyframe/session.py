@@ -51,12 +51,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_folder(spark)}/work/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet.
+    """A fresh path in the folder of this application; nothing is created yet."""
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has written to its folder.
 
-    All paths of one application lie in one folder, which can go when it has ended.
+    To be called at its end: frames that rest on written stages, and tables kept
+    there, cannot be read afterwards.
     """
-    return f"{shared_folder(spark)}/work/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
