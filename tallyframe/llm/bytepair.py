@@ -17,8 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: Chunks a worker remembers; beyond that it starts anew. Bounds memory only, not results.
-REMEMBERED = 1_000_000
+from tallyframe.llm.memory import Memory, kept
 
 _MASK = (1 << 64) - 1
 _STRIDE = 0x9E3779B97F4A7C15
@@ -102,7 +101,7 @@ class Encoder:
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
         self.split = regex.compile(codec.pattern)
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory()
         self.ranks = dict(zip(codec.tokens, codec.ids, strict=True))
         # ranks of all pairs of bytes, by which every merge begins; -1 where there is none
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
@@ -154,14 +153,17 @@ class Encoder:
         """Ids of a text as little-endian 32-bit numbers; its pre-tokens are remembered."""
         memory, found = self.memory, []
         for token in self.split.findall(text):
-            ids = memory.get(token)
-            if ids is None:
-                ids = memory[token] = self.token(token)
+            ids = memory.get(token) or memory.older.get(token) or self.token(token)
+            memory[token] = ids
             found.append(ids)
         return b"".join(found)
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a chunk that is not remembered. Marks after a letter or digit are a pre-token of their own."""
+        ids = self.memory.older.get(chunk)
+        if ids is not None:
+            self.memory[chunk] = ids
+            return ids
         core = chunk.rstrip(_MARKS)
         if core != chunk and core[-1:].isalnum():
             marks = chunk[len(core) :]
@@ -176,8 +178,7 @@ class Encoder:
         pre-token and every line feed is one, so a text may be taken apart there.
         Other texts are taken whole.
         """
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
+        self.memory.renew()
         if _RUN.search(text):
             return self.pieces(text)
         get, chunk = self.memory.get, self.chunk
@@ -194,14 +195,10 @@ class Encoder:
 
 _MARKS = ".,;:!?"
 _RUN = re.compile(r"\s\s|[\x1c-\x1f\x85]")
-_ENCODERS: dict[int, Encoder] = {}
 
 
 def _encoder(codec: Codec) -> Encoder:
-    if codec.stamp not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[codec.stamp] = Encoder(codec)
-    return _ENCODERS[codec.stamp]
+    return kept(("bytepair", codec.stamp), lambda: Encoder(codec))
 
 
 def _ids(encoded: list[bytes]) -> pa.Array:

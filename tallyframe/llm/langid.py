@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tallyframe.llm import words
+from tallyframe.llm.memory import release
 
 #: n-grams of 1 to 3 characters, words wrapped in blanks, hashed to so many buckets.
 ORDERS = (1, 2, 3)
@@ -87,6 +88,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, texts = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -243,6 +245,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
 
     @arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
+        release()
         best = shared.value
         langs, scores = [], []
         for text in texts:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries in a generation.
-SIZE = 800_000
+SIZE = 400_000
 
 _KEPT: dict[tuple, object] = {}
 

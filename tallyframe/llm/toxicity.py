@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tallyframe.llm import words
+from tallyframe.llm.memory import release
 
 #: Single words, neighbours, and words with one between them, hashed to 2^BITS buckets.
 BITS = 20
@@ -115,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = source.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [p for part in _buckets(batch.column(2)) for p in _per_row(*part)]
             columns = [batch.column(0), batch.column(1), pa.array([p.astype("<u4").tobytes() for p in found], pa.binary())]

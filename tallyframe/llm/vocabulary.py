@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Chunks a worker remembers; beyond that it starts anew. Bounds memory only, not results.
-REMEMBERED = 1_000_000
+from tallyframe.llm.memory import Memory, kept
+
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 21
 
@@ -20,36 +20,35 @@ _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _MARKS = ".,;:!?"
 #: Words encoded in one call.
 _TOGETHER = 512
-_held: dict[int, tuple[object, dict[str, bytes], np.ndarray]] = {}
 
 
-def _tokenizer(definition: str) -> tuple[object, dict[str, bytes], np.ndarray]:
+def _tokenizer(definition: str) -> tuple[object, Memory, np.ndarray]:
     """The tokenizer, its memory, and which ids end a word, once per worker process."""
-    key = hash(definition)
-    if key not in _held:
+
+    def make() -> tuple[object, Memory, np.ndarray]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = json.loads(definition)["model"]
         ends, close = np.zeros(max(model["vocab"].values()) + 1, dtype=bool), model.get("end_of_word_suffix") or "</w>"
         ends[[k for token, k in model["vocab"].items() if token.endswith(close)]] = True
-        _held.clear()
-        _held[key] = (Tokenizer.from_str(definition), {}, ends)
-    return _held[key]
+        return Tokenizer.from_str(definition), Memory(), ends
+
+    return kept(("vocabulary", hash(definition)), make)
 
 
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def _learn(new: set[str], tokenizer: object, memory: dict[str, bytes], ends: np.ndarray) -> None:
+def _learn(new: list[str], tokenizer: object, memory: Memory, ends: np.ndarray) -> None:
     """Remember chunks. Marks after a letter or digit are a token run of their own, so a known word is not encoded again."""
     cut = {}
     for chunk in new:
         core = chunk.rstrip(_MARKS)
         if core and core != chunk and core[-1].isalnum():
             cut[chunk] = core, chunk[len(core) :]
-    need = ((new - cut.keys()) | {part for both in cut.values() for part in both}) - memory.keys()
+    need = {c for c in new if c not in cut} | {part for both in cut.values() for part in both if part not in memory and part not in memory.older}
     words = [c for c in need if c.isalpha() and _plain(c)]
     for k in range(0, len(words), _TOGETHER):
         some = words[k : k + _TOGETHER]
@@ -87,10 +86,8 @@ def encode_texts(texts: pa.Array, definition: str) -> Iterator[bytes]:
 
     def flush() -> Iterator[bytes]:
         new = set().union(*[chunks for chunks in group if isinstance(chunks, list)])
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-        else:
-            new -= memory.keys()
+        memory.renew()
+        new = [c for c in new if c not in memory and c not in memory.older]
         _learn(new, tokenizer, memory, ends)
         for chunks in group:
             if isinstance(chunks, list):
