@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut_lineage
+
 #: A line found on at least so many sites is boilerplate.
 MIN_SITES = 10
 #: Sketches have 2^8 registers, a standard error of about 6.5 percent.
@@ -29,9 +31,10 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     small row per task. Lines whose estimate is near the threshold get their exact
     number of distinct sites; all others are decided by the estimate.
     """
-    sketched = lines.groupBy("line").agg(
-        F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("doc_id").alias("holder")
-    ).select("line", "holder", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - MARGIN))
+    merged = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("doc_id").alias("holder"))
+    estimated = merged.select("line", "holder", F.hll_sketch_estimate("sketch").alias("estimate"))
+    # what is left is few lines, used twice
+    sketched = cut_lineage(estimated.where(F.col("estimate") >= min_sites * (1 - MARGIN)))
     near = sketched.where(F.col("estimate") < min_sites * (1 + MARGIN)).select("line")
     exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("sites"))
     decided = sketched.join(exact, "line", "left")
