@@ -18,7 +18,7 @@ from tallyframe.llm.registry import prepare, table
 from tallyframe.session import cut_lineage
 
 #: Documents whose language is less certain than this are rejected.
-LEAST_CERTAIN = 0.5
+LEAST_CERTAIN = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
