@@ -17,7 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tallyframe.llm.memory import Memory, kept
+from tallyframe.llm.memory import Memory, kept, release
 
 _MASK = (1 << 64) - 1
 _STRIDE = 0x9E3779B97F4A7C15
@@ -201,11 +201,17 @@ def _encoder(codec: Codec) -> Encoder:
     return kept(("bytepair", codec.stamp), lambda: Encoder(codec))
 
 
-def _ids(encoded: list[bytes]) -> pa.Array:
+def _encoded(own: Encoder, texts: pa.Array) -> pa.Array:
+    encoded = [own.encode(t.as_py() or "") for t in texts]
     offsets = np.cumsum([0] + [len(e) // 4 for e in encoded])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
 
 
+def _decoded(codec: Codec, lists: pa.Array) -> pa.Array:
+    token = codec.by_id.__getitem__
+    return pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in lists], pa.binary())
+
+
 def encode(spark: SparkSession, codec: Codec, text: Column) -> Column:
     """The ids of a text column as array<int>; a null is an empty text, an empty text has no ids.
 
@@ -220,7 +226,7 @@ def encode(spark: SparkSession, codec: Codec, text: Column) -> Column:
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _encoder(shared.value)
         for texts in batches:
-            yield _ids([own.encode(t.as_py() or "") for t in texts])
+            yield _encoded(own, texts)
 
     return apply(text)
 
@@ -231,13 +237,30 @@ def decode(spark: SparkSession, codec: Codec, ids: Column) -> Column:
 
     @arrow_udf("binary")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = shared.value.by_id.__getitem__
+        release()
         for lists in batches:
-            yield pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in lists], pa.binary())
+            yield _decoded(shared.value, lists)
 
     return apply(ids)
 
 
+def round_trip(spark: SparkSession, codec: Codec, text: Column) -> Column:
+    """struct<ids, decoded>: the ids of a text column, and the bytes these ids decode to.
+
+    As ``decode`` after ``encode``, in one worker and without sending the ids there twice.
+    """
+    shared = spark.sparkContext.broadcast(codec)
+
+    @arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _encoder(shared.value)
+        for texts in batches:
+            ids = _encoded(own, texts)
+            yield pa.StructArray.from_arrays([ids, _decoded(own.codec, ids)], names=["ids", "decoded"])
+
+    return apply(text)
+
+
 def digest(ids: Column) -> Column:
     """SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)

@@ -39,9 +39,8 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     codec = bytepair.Codec.load(ranks, public_tokenizers.PATTERN)
-    encoded = table(spark, sf_dir, "documents").select("doc_id", bytepair.encode(spark, codec, F.col("text")).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", bytepair.decode(spark, codec, F.col("ids")).alias("decoded"))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bytepair.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = table(spark, sf_dir, "documents").select("doc_id", bytepair.round_trip(spark, codec, F.col("text")).alias("t")).select("doc_id", "t.ids", "t.decoded")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bytepair.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def _definition(name: str) -> str:
