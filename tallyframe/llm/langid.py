@@ -138,7 +138,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held: list[tuple[np.ndar
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
             place, value, label = rows[k]
-            place, value = np.append(place, BUCKETS), np.append(value, 1.0)
+            place, value = np.append(place.astype(np.int64), BUCKETS), np.append(value.astype(float), 1.0)
             z, n = total[:, place], squares[:, place]
             w = _closed_form(z, n)
             error = _softmax(w @ value)
@@ -209,7 +209,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         rows, held = [], []
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         for k, (label, place, value) in enumerate(zip(table.column("label"), table.column("place"), table.column("value"), strict=True)):
-            row = (np.frombuffer(place.as_buffer(), "<u2").astype(np.int64), np.frombuffer(value.as_buffer(), "<f4").astype(float), label.as_py())
+            row = (np.frombuffer(place.as_buffer(), "<u2"), np.frombuffer(value.as_buffer(), "<f4"), label.as_py())
             (held if k % 5 == 4 else rows).append(row)
         weights, bias, temperature = fit(rows, held, len(languages))
         lang, bucket = np.nonzero(weights)

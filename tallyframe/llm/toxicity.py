@@ -81,7 +81,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, flo
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
             place, label = rows[k]
-            place = np.append(place, size)
+            place = np.append(place.astype(np.int64), size)
             z, n = total[place], squares[place]
             w = leader(z, n, penalty[place])
             error = 1 / (1 + math.exp(-min(max(float(w.sum()), -40.0), 40.0))) - label
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from the labels whose id is in ``docs``.
 
     Fitted on about ``max_toxic`` toxic and ``max_clean`` clean rows, drawn by a hash
-    of the id; the bias is set back to the share of toxic labels among all. An id
+    of the id; scores refer to this mixture, which leans towards catching. An id
     with several labels is toxic if one of them says so; null labels do not count.
     The drawn labels are broadcast, at most the two numbers of rows, so the texts
     are not shuffled. Without labels of both kinds all scores equal the share of
@@ -124,14 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-        rows = [(np.frombuffer(p.as_buffer(), "<u4").astype(np.int64), n.as_py()) for n, p in zip(table.column("label"), table.column("places"), strict=True)]
+        rows = [(np.frombuffer(p.as_buffer(), "<u4"), n.as_py()) for n, p in zip(table.column("label"), table.column("places"), strict=True)]
         places, weights, bias = fit(rows)
         return pa.table({"bucket": pa.array(np.append(places, -1)), "weight": pa.array(np.append(weights, bias))})
 
     features = sample.mapInArrow(extract, "doc_id long, label int, places binary")
     fitted = features.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "bucket long, weight double").toPandas().sort_values("bucket")
     bias = float(fitted["weight"].iloc[0]) if len(fitted) else math.log(toxic / clean)
-    bias -= math.log(shares[0] / shares[1]) if len(fitted) else 0.0
     return Model(fitted["bucket"].to_numpy()[1:], fitted["weight"].to_numpy()[1:], bias)
 
 

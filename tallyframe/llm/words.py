@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in slices of about so many bytes, to bound the size of the arrays made on the way.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
