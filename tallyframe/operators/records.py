@@ -279,6 +279,19 @@ def _before(order: Order, types: dict[str, T.DataType], values: Sequence) -> Col
     return found
 
 
+def _tied(df: DataFrame) -> DataFrame:
+    """``df`` with a digest of all columns, which decides between rows that are equal in an order."""
+    return df.withColumn("_tie", F.xxhash64(*[quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
+
+
+def ordered_page(df: DataFrame, order: Order, start: int, end: int) -> DataFrame:
+    """The rows of :func:`ordered_slice`, in order and without their position, for a slice near the top.
+
+    Every task hands up its first ``end`` rows; deep slices are better cut by ranges.
+    """
+    return _tied(df).orderBy(*_sorting([*order, ("_tie", False)])).offset(start - 1).limit(end - start + 1).drop("_tie")
+
+
 def ordered_slice(df: DataFrame, order: Order, start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` (from 1, inclusive) of the sorted frame, numbered as ``position``.
 
@@ -291,8 +304,7 @@ def ordered_slice(df: DataFrame, order: Order, start: int, end: int) -> DataFram
     """
     if start < 1 or end < start:
         raise ValueError("a slice requires 1 <= start <= end")
-    hashed = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    tied = df.withColumn("_tie", F.xxhash64(*hashed))
+    tied = _tied(df)
     full = [*order, ("_tie", False)]
     types = {f.name: f.dataType for f in tied.schema.fields}
     names = [quoted(c) for c, _ in full]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import sqltext, times
 from tallyframe.functions.values import half_even, percent
 from tallyframe.operators.ranks import nearest_rank, one_row, peak_running_sum
-from tallyframe.operators.records import ordered_slice
+from tallyframe.operators.records import ordered_page, ordered_slice
 from tallyframe.session import cut_lineage
 
 ASSUMED_RUNTIME_MS = 30_000  # runtime of a query that has none recorded (fixed value)
@@ -474,11 +474,20 @@ SORT_COLUMNS = {
 }
 
 
+DEEP = 10_000  # rows from which on a page is cut by ranges
+
+
 def query_page(log: DataFrame, sort_by: str = "bytes_scanned", page: int = 1, page_size: int = 50) -> DataFrame:
-    """One page of the log, largest first, missing values last; deep pages cost no more than early ones."""
+    """One page of the log, largest first, missing values last.
+
+    Early pages are the top of the log; deep ones are cut by ranges, so that no task
+    sorts all rows before them. Both give the same rows.
+    """
     order = [(SORT_COLUMNS.get(sort_by, "bytes_scanned"), True), ("job_id", False)]
-    found = ordered_slice(log, order, (page - 1) * page_size + 1, page * page_size)
-    return found.orderBy("position").drop("position")
+    start, end = (page - 1) * page_size + 1, page * page_size
+    if end <= DEEP:
+        return ordered_page(log, order, start, end)
+    return ordered_slice(log, order, start, end).orderBy("position").drop("position")
 
 
 def page_view(page: DataFrame, log: DataFrame, text_length: int | None = None) -> DataFrame:
