@@ -9,6 +9,10 @@ from tallyframe.session import cut_lineage
 
 #: A line found on at least so many sites is boilerplate.
 MIN_SITES = 10
+#: A line of so many words is hardly written twice by chance, so fewer sites tell that it was copied.
+LONG_WORDS = 20
+#: A long line found on at least so many sites is boilerplate.
+LONG_SITES = 3
 #: Sketches have 2^8 registers, a standard error of about 6.5 percent.
 SKETCH_BITS = 8
 #: Estimates within this share of the threshold, three standard errors, are counted exactly.
@@ -22,32 +26,43 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, holder) for each line found on at least ``min_sites`` distinct sites.
+def _is_long(line: Column) -> Column:
+    """Whether a line has ``LONG_WORDS`` words; lines with too few characters for that are not split."""
+    bare = F.btrim(line, F.lit(_BLANKS))
+    return F.when(F.length(bare) >= 2 * LONG_WORDS - 1, F.size(F.split(bare, r"\s+")) >= LONG_WORDS).otherwise(F.lit(False))
+
+
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, long_sites: int = LONG_SITES) -> DataFrame:
+    """(line, holder) for each line found on at least ``min_sites`` distinct sites, or ``long_sites`` if it is long.
 
-    ``lines`` has ``line`` (a hash), ``site`` (a hash) and ``doc_id``; ``holder`` is the
+    ``lines`` has ``line`` (a hash), ``site`` (a hash), ``doc_id`` and ``long``; ``holder`` is the
     smallest doc_id with the line. Each map task folds a line into one HyperLogLog
     sketch, and sketches merge, so a line that fills a third of the table costs one
     small row per task. Lines whose estimate is near the threshold get their exact
     number of distinct sites; all others are decided by the estimate.
     """
-    merged = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("doc_id").alias("holder"))
-    estimated = merged.select("line", "holder", F.hll_sketch_estimate("sketch").alias("estimate"))
+    needed = F.when(F.max("long"), F.lit(min(long_sites, min_sites))).otherwise(F.lit(min_sites))
+    merged = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("doc_id").alias("holder"), needed.alias("needed"))
+    estimated = merged.select("line", "holder", "needed", F.hll_sketch_estimate("sketch").alias("estimate"))
     # what is left is few lines, used twice
-    sketched = cut_lineage(estimated.where(F.col("estimate") >= min_sites * (1 - MARGIN)))
-    near = sketched.where(F.col("estimate") < min_sites * (1 + MARGIN)).select("line")
+    sketched = cut_lineage(estimated.where(F.col("estimate") >= F.col("needed") * (1 - MARGIN)))
+    surely = F.col("estimate") >= F.col("needed") * (1 + MARGIN)
+    near = sketched.where(~surely).select("line")
     exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("sites"))
     decided = sketched.join(exact, "line", "left")
-    return decided.where(F.coalesce(F.col("sites") >= min_sites, F.col("estimate") >= min_sites * (1 + MARGIN))).select("line", "holder")
+    return decided.where(F.coalesce(F.col("sites") >= F.col("needed"), surely)).select("line", "holder")
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def remove_boilerplate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, long_sites: int = LONG_SITES
+) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, plus ``n_lines`` and ``n_removed``.
 
     Lines end at a line feed and are compared without the blanks around them; blank
-    lines are never removed. A line on ``min_sites`` distinct sites is removed
+    lines are never removed. A line on ``min_sites`` distinct sites, or a line of
+    ``LONG_WORDS`` words on ``long_sites`` if these are fewer, is removed
     everywhere but where it first stands in the document with the smallest id, so
-    no passage is lost altogether. Rows are never dropped: a text may become empty.
+    no passage is lost altogether. With ``long_sites = min_sites`` all lines are held to one number. Rows are never dropped: a text may become empty.
 
     A null text stays null with no lines; a null site counts as one site of its own.
     Rows that share id and text get the same result. Without an id a row holds
@@ -60,8 +75,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mark = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text"))
     split = F.split(F.col(f"`{text_col}`"), "\n", -1)
     numbered = rows.select(F.xxhash64(F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0"))).alias("site"), mark.alias("row"), F.posexplode(split).alias("place", "text"))
-    lines = numbered.select("site", "row", "place", _key(F.col("text")).alias("line"), F.col("row.doc_id").alias("doc_id")).where("line is not null")
-    spread = spread_lines(lines.select("line", "site", "doc_id"), min_sites)
+    lines = numbered.select("site", "row", "place", _key(F.col("text")).alias("line"), F.col("row.doc_id").alias("doc_id"), _is_long(F.col("text")).alias("long")).where("line is not null")
+    spread = spread_lines(lines.select("line", "site", "doc_id", "long"), min_sites, long_sites)
     found = lines.select("row", "place", "line").join(spread, "line").where("holder is not null")
     per_line = found.groupBy("row", "line", "holder").agg(F.min("place").alias("first"), F.collect_set("place").alias("places"))
     gone = F.when(F.col("row.doc_id") == F.col("holder"), F.array_except("places", F.array("first"))).otherwise(F.col("places"))

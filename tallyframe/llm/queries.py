@@ -83,7 +83,8 @@ from (select *, row_number() over () as rowid_ from documents) d left join clean
 
 @query("op5_line_dedup", _LINES)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    # the SQL above holds lines of every length to one number of sites
+    cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"), long_sites=linededup.MIN_SITES)
     digest = F.sha2(F.col("text").cast("binary"), 256)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), digest.alias("kept_sha256"))
 
