@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bytepair, chat, langid, linededup, neardup, neighbours, packing, rules, toxicity, warc
+from tallyframe.llm import bytepair, chat, langid, lexical, linededup, neardup, neighbours, packing, rules, toxicity, warc
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyframe.session import cut_lineage, work_path
 
@@ -136,3 +136,34 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nearest_neighbours")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+_LEXICAL = r"""
+with terms as (
+  select r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select *, row_number() over () as r from documents)),
+counts as (select r, doc_id, term, count(*) as tf from terms group by all),
+sizes as (select r, sum(tf)::bigint as n from counts group by r),
+whole as (select count(*) as docs, sum(n)::bigint as len from sizes),
+asked as (
+  select i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select *, row_number() over () as i from benchmark)),
+postings as (select i, item_id, term, count(*) as q from asked group by all),
+weights as (
+  select c.term, floor(1000 * ln((2 * any_value(w.docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from counts c, whole w where c.term in (select term from postings) group by c.term),
+scored as (
+  select p.i, p.item_id, c.r, c.doc_id,
+    sum(p.q * g.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * (100 - 25 + ((25 * s.n * w.docs) // w.len)))))::bigint as score
+  from postings p join counts c on c.term = p.term join weights g on g.term = p.term join sizes s on s.r = c.r, whole w
+  group by all),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
+"""
+
+
+@query("op13_lexical_search", _LEXICAL)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
