@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bytepair, chat, langid, lexical, linededup, neardup, neighbours, packing, rules, toxicity, warc
+from tallyframe.llm import bytepair, chat, langid, lexical, linededup, neardup, neighbours, packing, rules, toxicity, trie, warc
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyframe.session import cut_lineage, work_path
 
@@ -167,3 +167,48 @@ select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
 @query("op13_lexical_search", _LEXICAL)
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TRIE = """
+with own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as place
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 5 as base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda crc, b:
+      xor((xor(crc >> 4, t[(xor(crc, b) & 15) + 1])) >> 4, t[(xor(xor(crc >> 4, t[(xor(crc, b) & 15) + 1]), b >> 4) & 15) + 1])), 4294967295) % 9 as h
+  from (select distinct conv_id from own),
+    (select [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::bigint[] as t)),
+rebuilt as (
+  select conv_id, row_number() over (partition by conv_id order by part, place) as depth, role, text
+  from (
+    select c.conv_id, 0 as part, o.place, o.role, o.text from convs c join own o on o.conv_id = c.base and o.place <= c.h
+    union all
+    select c.conv_id, 1, o.place, o.role, o.text from convs c join own o on o.conv_id = c.conv_id and o.place > c.h)),
+paths as (
+  select conv_id, depth, octet_length(encode(text)) as bytes, string_agg(md5(md5(role) || md5(text)), '') over (partition by conv_id order by depth) as node from rebuilt
+  union all
+  select conv_id, 0, 0, '' from convs),
+above as (select p.conv_id, p.depth, p.node, p.bytes, q.node as parent from paths p left join paths q on q.conv_id = p.conv_id and q.depth = p.depth - 1),
+sizes as (select conv_id, max(depth) as whole from paths group by conv_id),
+nodes as (
+  select p.node, p.depth, min(p.conv_id) as owner, count(*) as n_convs, any_value(p.parent) as parent, any_value(p.bytes) as bytes,
+    max(s.whole) as deepest, sha256(coalesce(string_agg(p.conv_id::varchar, ',' order by p.conv_id) filter (where s.whole = p.depth), '')) as ends_sha256
+  from above p join sizes s using (conv_id) group by p.node, p.depth),
+children as (select parent, count(*) as n_children from nodes where depth > 0 group by parent),
+below as (select distinct a.node, b.node as lower from paths a join paths b on b.conv_id = a.conv_id and b.depth >= a.depth),
+sums as (
+  select w.node, count(*) filter (where n.deepest = n.depth) as n_leaves, sum((n.n_convs - 1) * n.bytes)::bigint as saved_tokens
+  from below w join nodes n on n.node = w.lower group by w.node)
+select n.owner as conv_id, n.depth, p.owner as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from nodes n left join nodes p on p.node = n.parent left join children c on c.parent = n.node join sums s on s.node = n.node
+"""
+
+
+@query("op11_prefix_trie", _TRIE)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 9
+    return trie.trie(trie.branched(table(spark, sf_dir, "conversations"), conv - conv % 5, head, 8))
