@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bytepair, chat, langid, lexical, linededup, neardup, neighbours, packing, rules, toxicity, trie, warc
+from tallyframe.llm import bytepair, chat, langid, lexical, linededup, neardup, neighbours, packing, rules, toxicity, trie, warc, windows
 from tallyframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyframe.session import cut_lineage, work_path
 
@@ -138,6 +138,11 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@query("op12_window_packing")
+def window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_documents(table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"))
+
+
 _LEXICAL = r"""
 with terms as (
   select r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
