@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallyframe.llm import cuts
 from tallyframe.llm.memory import Memory, kept
 
 #: Texts are encoded in groups of about so many characters.
@@ -110,42 +111,28 @@ def encode_texts(texts: pa.Array, definition: str) -> Iterator[bytes]:
     yield from flush()
 
 
-#: Texts are split into chunks in slices of about so many bytes.
-SLICE_BYTES = 1 << 22
+# White space goes with the word after it; a run of marks beside a letter or digit is a token run of its own.
+_CUT = cuts.Cutter()
+_CUT.second[: cuts.SPACE, cuts.SPACE :] = True
+_CUT.second[cuts.ALNUM, cuts.MARK] = _CUT.second[cuts.MARK, cuts.ALNUM] = True
 
 
 def encode_slices(texts: pa.Array, definition: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of texts as (ids, offsets): the same ids as ``encode_texts`` gives, gathered by numpy.
 
-    Chunks between ASCII white space are told apart by Arrow, so only different ones
-    of a run are looked up, as they are written. A text that may hold a special token
-    is encoded as a whole.
+    Texts are cut into chunks as views of their bytes. Only the different chunks of a
+    run are looked at, without white space and with lower ASCII letters. A text
+    that may hold a special token is encoded as a whole.
     """
     tokenizer, memory, ends = _tokenizer(definition)
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
-    first = 0
-    while first < len(texts):
-        last = min(max(int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1, first + 1), len(texts))
-        run = texts.slice(first, last - first)
+    for run in cuts.runs(texts, cuts.SLICE_BYTES):
         special = pc.match_substring(run, "<|")
-        lists = pc.ascii_split_whitespace(pc.if_else(special, "", run))
-        coded = lists.flatten().dictionary_encode()
+        chunks, firsts = _CUT(pc.if_else(special, "", run))
+        coded = chunks.dictionary_encode()
+        bare = pc.ascii_lower(pc.ascii_trim_whitespace(coded.dictionary)).dictionary_encode()
         memory.renew()
-        chunks = coded.dictionary.to_pylist()
-        _learn([c for c in chunks if c not in memory and c not in memory.older], tokenizer, memory, ends)
-        known = list(map(memory.__getitem__, chunks))
-        sizes = np.array([len(k) // 4 for k in known], dtype=np.int64)
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        places = coded.indices.to_numpy()
-        each = sizes[places]
-        stops = np.cumsum(each)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[places] - stops + each, each) + np.arange(int(each.sum()))]
-        cuts = np.concatenate([[0], stops])[np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))]
-        if pc.any(special).as_py():
-            parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
-                parts[k] = np.array(tokenizer.encode(run[int(k)].as_py(), add_special_tokens=False).ids, dtype="<u4")
-            ids, cuts = np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts])
-        yield ids, cuts
-        first = last
+        words = bare.dictionary.to_pylist()
+        _learn([c for c in words if c not in memory and c not in memory.older], tokenizer, memory, ends)
+        places = bare.indices.to_numpy()[coded.indices.to_numpy()]
+        anew = {int(k): np.array(tokenizer.encode(run[int(k)].as_py(), add_special_tokens=False).ids, dtype="<u4") for k in np.flatnonzero(special.to_numpy(zero_copy_only=False))}
+        yield cuts.replaced(*cuts.gather(list(map(memory.__getitem__, words)), places, firsts, "<u4"), anew)

@@ -237,7 +237,8 @@ def pack_documents(docs: DataFrame, definition: str, limit: int = LIMIT, end: in
     placed = pack(pieces(docs, definition, limit, end, id_col, text_col), limit)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     anew = placed.where("not uncut").drop("ids_crc32", "uncut")
-    known = _crc_of_stretches(docs, anew.select("digest", "start", "length").distinct(), definition, limit, end, text_col)
+    # written first, so that its size is known and few stretches are broadcast
+    known = _crc_of_stretches(docs, cut_lineage(anew.select("digest", "start", "length").distinct()), definition, limit, end, text_col)
     mended = anew.join(known, ["digest", "start", "length"], "left")
     return placed.where("uncut").select(columns).unionByName(mended.select(columns))
 
