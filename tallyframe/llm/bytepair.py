@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,12 +10,14 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tallyframe.llm import cuts
 from tallyframe.llm.memory import Memory, kept, release
 
 _MASK = (1 << 64) - 1
@@ -102,6 +103,7 @@ class Encoder:
         self.codec = codec
         self.split = regex.compile(codec.pattern)
         self.memory = Memory()
+        self.tokens = _tokens_by_id(codec)
         self.ranks = dict(zip(codec.tokens, codec.ids, strict=True))
         # ranks of all pairs of bytes, by which every merge begins; -1 where there is none
         self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
@@ -158,43 +160,37 @@ class Encoder:
             found.append(ids)
         return b"".join(found)
 
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that is not remembered. Marks after a letter or digit are a pre-token of their own."""
-        ids = self.memory.older.get(chunk)
-        if ids is not None:
-            self.memory[chunk] = ids
-            return ids
-        core = chunk.rstrip(_MARKS)
-        if core != chunk and core[-1:].isalnum():
-            marks = chunk[len(core) :]
-            return (self.memory.get(core) or self.chunk(core)) + (self.memory.get(marks) or self.chunk(marks))
-        ids = self.memory[chunk] = self.pieces(chunk)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers.
-
-        Where no two white space characters stand side by side, every space begins a
-        pre-token and every line feed is one, so a text may be taken apart there.
-        Other texts are taken whole.
-        """
-        self.memory.renew()
-        if _RUN.search(text):
-            return self.pieces(text)
-        get, chunk = self.memory.get, self.chunk
-        found = []
-        for number, line in enumerate(text.split("\n")):
-            if number:
-                found.append(get("\n") or chunk("\n"))
-            first, *rest = line.split(" ")
-            if first:
-                found.append(get(first) or chunk(first))
-            found += [get(c) or chunk(c) for c in map(" ".__add__, rest)]
-        return b"".join(found)
-
+    def ids(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of texts as (ids, offsets).
 
-_MARKS = ".,;:!?"
-_RUN = re.compile(r"\s\s|[\x1c-\x1f\x85]")
+        Different chunks of a run are looked up once and their ids gathered; a text
+        with other white space than that of ASCII is taken as a whole.
+        """
+        for run in cuts.runs(texts, cuts.SLICE_BYTES):
+            odd = pc.match_substring_regex(run, _ODD_SPACE)
+            chunks, firsts = _CUT(pc.if_else(odd, "", run))
+            coded = chunks.dictionary_encode()
+            self.memory.renew()
+            get, older, pieces = self.memory.get, self.memory.older.get, self.pieces
+            known = []
+            for chunk in coded.dictionary.to_pylist():
+                found = get(chunk)
+                if found is None:
+                    found = self.memory[chunk] = older(chunk) or pieces(chunk)
+                known.append(found)
+            anew = {int(k): np.frombuffer(pieces(run[int(k)].as_py()), dtype="<i4") for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+            yield cuts.replaced(*cuts.gather(known, coded.indices.to_numpy(), firsts, "<i4"), anew)
+
+
+#: White space beyond that of ASCII, and what is white space to Python alone.
+_ODD_SPACE = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+# Cuts where a pre-token begins whatever stands beyond; a chunk may hold several pre-tokens.
+_CUT = cuts.Cutter()
+_CUT.second[: cuts.SPACE, cuts.SPACE :] = True  # a run of white space begins
+_CUT.first[cuts.SPACE :, : cuts.SPACE] = True  # its last character stands apart from the others
+_CUT.second[cuts.BREAK, : cuts.SPACE] = True  # and goes with the word only if it is a space
+_CUT.second[cuts.ALNUM, cuts.MARK] = _CUT.second[cuts.MARK, cuts.ALNUM] = True
 
 
 def _encoder(codec: Codec) -> Encoder:
@@ -202,14 +198,30 @@ def _encoder(codec: Codec) -> Encoder:
 
 
 def _encoded(own: Encoder, texts: pa.Array) -> pa.Array:
-    encoded = [own.encode(t.as_py() or "") for t in texts]
-    offsets = np.cumsum([0] + [len(e) // 4 for e in encoded])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
+    runs = list(own.ids(texts))
+    sizes = np.concatenate([np.zeros(1, dtype=np.int64), *(np.diff(cuts) for _, cuts in runs)])
+    values = np.concatenate([np.zeros(0, dtype=np.int32), *(ids for ids, _ in runs)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))
+
+
+def _tokens_by_id(codec: Codec) -> pa.Array:
+    """The bytes of every id, null where there is none."""
+    return pa.array([codec.by_id.get(k) for k in range(max(codec.by_id, default=-1) + 1)], pa.large_binary())
 
 
-def _decoded(codec: Codec, lists: pa.Array) -> pa.Array:
-    token = codec.by_id.__getitem__
-    return pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in lists], pa.binary())
+def _decoded(tokens: pa.Array, lists: pa.Array) -> pa.Array:
+    """The bytes of all lists of ids, gathered together; a list ends where the bytes of its last id do."""
+    if len(lists) == 0:
+        return pa.array([], pa.large_binary())
+    ids = lists.flatten()
+    if ids.null_count or len(ids) and (pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(tokens)):
+        raise KeyError("an id that is not in the vocabulary")
+    taken = tokens.take(ids)
+    if taken.null_count:
+        raise KeyError("an id that is not in the vocabulary")
+    stops = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy()]))
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1][stops] if len(ids) else np.zeros(len(stops), dtype=np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), taken.buffers()[2] or pa.py_buffer(b"")])
 
 
 def encode(spark: SparkSession, codec: Codec, text: Column) -> Column:
@@ -238,8 +250,9 @@ def decode(spark: SparkSession, codec: Codec, ids: Column) -> Column:
     @arrow_udf("binary")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release()
+        tokens = _tokens_by_id(shared.value)
         for lists in batches:
-            yield _decoded(shared.value, lists)
+            yield _decoded(tokens, lists).cast(pa.binary())
 
     return apply(ids)
 
@@ -256,7 +269,7 @@ def round_trip(spark: SparkSession, codec: Codec, text: Column) -> Column:
         own = _encoder(shared.value)
         for texts in batches:
             ids = _encoded(own, texts)
-            yield pa.StructArray.from_arrays([ids, _decoded(own.codec, ids)], names=["ids", "decoded"])
+            yield pa.StructArray.from_arrays([ids, _decoded(own.tokens, ids).cast(pa.binary())], names=["ids", "decoded"])
 
     return apply(text)
 
