@@ -171,17 +171,25 @@ def _golden(loss, low: float, high: float) -> float:
     return (low + high) / 2
 
 
+def _up_to(share: float) -> int:
+    """The long below which this share of all longs lies."""
+    return (1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """A model from the rows of ``docs`` with a language, all of which count for the document frequencies.
 
     The weights are fitted on a sample of about ``max_rows`` rows, an equal share of
-    each language, drawn by a hash of the id; a fifth of it sets the temperature.
+    each language, drawn by a hash of id and text; a fifth of it sets the temperature.
+    Equal rows are one draw and learned from once, and of every language at least one
+    row is drawn, so neither copies nor repeated or null ids empty the sample or fill it.
     A row with more letters costs no more: it is at most one value per bucket.
     Without labelled rows the model has no languages and answers ``und``.
     """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.withColumn("draw", F.xxhash64(F.lit("langid"), "doc_id", "text"))
+    sizes = {r["lang"]: r for r in known.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0), 1.0)
@@ -191,23 +199,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if bucket >= 0:
             idf[bucket] = 1 + math.log((1 + seen[-1]) / (1 + n))
     share = max(1, max_rows // len(languages))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    limits = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, share / sizes[lang]))])
-    sample = known.where(draw < limits[F.col("lang")])
+    # draws are spread evenly over all longs; the smallest one is always in
+    limits = F.create_map(*[F.lit(x) for lang in languages for x in (lang, max(sizes[lang]["least"], _up_to(share / max(1, sizes[lang]["n"]))))])
+    sample = known.where(F.col("draw") <= limits[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])
     number = {lang: k for k, lang in enumerate(languages)}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_features(t.as_py() or "", idf) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([number[lang.as_py()] for lang in batch.column(2)], pa.int32())]
+            columns = [batch.column(3), pa.array([number[lang.as_py()] for lang in batch.column(2)], pa.int32())]
             columns += [pa.array([p.astype("<u2").tobytes() for p, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "place", "value"])
+            yield pa.RecordBatch.from_arrays(columns, names=["draw", "label", "place", "value"])
 
-    drawn = sample.mapInArrow(extract, "doc_id long, label int, place binary, value binary").where(F.length("place") > 0)
+    drawn = sample.mapInArrow(extract, "draw long, label int, place binary, value binary").where(F.length("place") > 0)
 
     def learn(table: pa.Table) -> pa.Table:
         rows, held = [], []
-        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        table = table.sort_by([("draw", "ascending"), ("label", "ascending")])
         for k, (label, place, value) in enumerate(zip(table.column("label"), table.column("place"), table.column("value"), strict=True)):
             row = (np.frombuffer(place.as_buffer(), "<u2"), np.frombuffer(value.as_buffer(), "<f4"), label.as_py())
             (held if k % 5 == 4 else rows).append(row)
