@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of the id; scores refer to this mixture, which leans towards catching. An id
     with several labels is toxic if one of them says so; null labels do not count.
     The drawn labels are broadcast, at most the two numbers of rows, so the texts
-    are not shuffled. Without labels of both kinds all scores equal the share of
+    are not shuffled; of the texts that share an id one is learned from. Without labels of both kinds all scores equal the share of
     toxic labels, or 0 without any.
     """
     marked = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
@@ -113,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shares = min(1.0, max_toxic / toxic), min(1.0, max_clean / clean)
     drawn = marked.where(draw < F.when(F.col("label") == 1, shares[0]).otherwise(shares[1]))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sample = source.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
+    met = source.join(F.broadcast(drawn), "doc_id")
+    sample = met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
