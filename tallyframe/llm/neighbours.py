@@ -18,7 +18,7 @@ MAX_SAMPLE, LISTS = 20_000, 32
 #: Share of the lists that a query probes.
 PROBED = 0.8
 #: Rotated dimensions looked at before each test, and its strictness in standard deviations: larger abandons fewer.
-COLUMNS, STRICTNESS = 16, 2.5
+COLUMNS, STRICTNESS = 16, 3.0
 #: Rows on either side of a block; queries scanned together.
 BLOCK_ROWS, TOGETHER = 8192, 64
 _ROUNDS = 10
@@ -41,6 +41,8 @@ def usable(vector: Column) -> Column:
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(column) and len(values) != len(column) * len(column[0]) or len(np.unique(np.diff(column.offsets))) > 1:
+        raise ValueError("vectors must be of one length")
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -86,7 +88,7 @@ def _spread(rows: DataFrame, index: Index, probes: int) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(len(part)), lists.shape[1]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(lists.ravel().astype(np.int32))], names=["key", "embedding", "list"])
 
-    return rows.select("key", "embedding").mapInArrow(assign, "key long, embedding array<float>, list int")
+    return rows.select("key", "embedding").mapInArrow(assign, f"key long, embedding {rows.schema['embedding'].dataType.simpleString()}, list int")
 
 
 def scan(queries: np.ndarray, rows: np.ndarray, columns: int, strictness: float, k: int) -> list[np.ndarray]:
@@ -145,7 +147,9 @@ def search(vectors: DataFrame, asked: Column, k: int, id_col: str = "vec_id", ve
     do rows without an id. Repeated rows count once. Vectors must be of one length.
     An empty table gives an empty result; no other columns are read.
     """
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>").alias("embedding"))
+    # floats stay floats, which halves what is shuffled; other numbers keep their value as doubles
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(kind).alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("asks", asked)
     by_vector = Window.partitionBy("embedding")
     ranked = rows.withColumn("place", F.dense_rank().over(by_vector.orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place", "asks").distinct()
