@@ -11,6 +11,8 @@ from tallyframe.session import cut_lineage
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
+#: Windows of a text up to which hash and place share one number: the hash keeps 51 bits of 64.
+SHORT = 4096
 
 #: Ratios the learned rules may use, as expressions over the columns of ``statistics``.
 FEATURES = {
@@ -42,9 +44,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     included. A null text counts as empty. Repeated rows stay repeated. Only the two
     named columns are read; other columns, whatever their names, do not matter.
 
-    The windows are hashed to 64 bits, the place is written into the low bits and the
-    numbers are sorted, so that equal windows lie side by side; that is one primitive
-    sort per text, and no row leaves its partition.
+    The windows are hashed to 64 bits. In texts of up to ``SHORT`` windows the place is written
+    into the low bits and the numbers are sorted, so that equal windows lie side by
+    side; that is one primitive sort per text. In longer texts pairs of the full hash and the
+    place are sorted, so the hash is not shorter for a longer text. No row leaves its partition.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
@@ -69,6 +72,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     windows = named.withColumn("win", F.zip_with(pairs, F.slice("h", 3, last), lambda ab, c: F.xxhash64(ab, c))).drop("h")
     # most texts repeat no window; they skip the sort
     windows = windows.withColumn("win", F.when(F.size(F.array_distinct("win")) < F.size("win"), F.col("win")))
+    full = F.sort_array(F.when(F.size("win") > SHORT, F.transform("win", lambda h, k: F.struct(h.alias("h"), k.cast("long").alias("k")))))
+    windows = windows.withColumn("full", full).withColumn("win", F.when(F.size("win") <= SHORT, F.col("win")))
     bits = F.ceil(F.log2(F.size("win") + 1)).cast("int")
     windows = windows.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
     keyed = F.transform("win", lambda h, k: h.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(k.cast("long")))
@@ -80,12 +85,16 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = F.zip_with("sorted", before, lambda a, b: F.when(F.coalesce(same(a, b), F.lit(False)), a))
     right = F.zip_with("sorted", after, lambda a, b: F.when(F.coalesce(same(a, b), F.lit(False)), a))
     places = F.transform(F.filter(F.zip_with(left, right, lambda a, b: F.coalesce(a, b)), lambda x: x.isNotNull()), lambda x: x.bitwiseAND(F.col("mask")))
-    windows = windows.withColumn("places", F.sort_array(places))
+    n = F.size("full")
+    apart = F.lit(None).cast("struct<h:bigint,k:bigint>")
+    beside = F.zip_with(F.concat(F.array(apart), F.slice("full", 1, n - 1)), F.concat(F.slice("full", 2, n - 1), F.array(apart)), lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b")))
+    met = F.zip_with("full", beside, lambda x, by: F.when(F.coalesce((x["h"] == by["a"]) | (x["h"] == by["b"]), x["h"] == by["a"], x["h"] == by["b"]), x["k"]))
+    windows = windows.withColumn("places", F.sort_array(F.coalesce(places, F.filter(met, lambda k: k.isNotNull()))))
     n = F.size("places")
     steps = F.zip_with(F.slice("places", 1, n - 1), F.slice("places", 2, n - 1), lambda a, b: F.least(b - a, F.lit(3).cast("long")))
     covered = F.when(n > 0, F.aggregate(steps, F.lit(3).cast("long"), lambda s, x: s + x))
     windows = windows.withColumn("n_repeat_words", F.when(F.col("places").isNull(), F.lit(0).cast("long")).otherwise(covered))
-    return windows.drop("win", "mask", "sorted", "places")
+    return windows.drop("win", "mask", "sorted", "full", "places")
 
 
 # ---- decision list
