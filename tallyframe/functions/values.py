@@ -75,18 +75,54 @@ def comparable(x: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.StringType):
         return by_value(x)
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return f"to_json({x})"
+        return f"to_json({_canonical(x, dtype)})"
     if isinstance(dtype, T.TimestampType):
         return f"CAST(CAST({x} AS TIMESTAMP_NTZ) AS STRING)"
     return f"CAST({x} AS STRING)"
 
 
+def _canonical(x: str, dtype: T.DataType, depth: int = 0) -> str:
+    """A nested value whose leaves are comparable text and whose maps are entries sorted by key.
+
+    So maps are equal whatever the order of their entries, and ``[1.0, 2.0]`` equals
+    ``[1, 2]`` as 1.0 equals 1. Fields of a struct are told apart by name; a field that is
+    NULL equals one that is not there.
+    """
+    e = f"_e{depth}"
+    if isinstance(dtype, T.ArrayType):
+        return f"transform({x}, {e} -> {_canonical(e, dtype.elementType, depth + 1)})"
+    if isinstance(dtype, T.MapType):
+        key, value = (_canonical(f"{e}.{part}", kind, depth + 1) for part, kind in (("key", dtype.keyType), ("value", dtype.valueType)))
+        # sorted as text, because not every value has an order
+        return f"array_sort(transform(map_entries({x}), {e} -> to_json(named_struct('key', {key}, 'value', {value}))))"
+    if isinstance(dtype, T.StructType):
+        fields = [f"'{_escaped(f.name)}', {_canonical(f'{x}.{quoted(f.name)}', f.dataType, depth + 1)}" for f in sorted(dtype.fields, key=lambda f: f.name)]
+        return f"if({x} IS NULL, NULL, named_struct({', '.join(fields)}))" if fields else f"CAST({x} AS STRING)"
+    return comparable(x, dtype)
+
+
+def _escaped(name: str) -> str:
+    return name.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def has_map(dtype: T.DataType) -> bool:
+    """Whether values of a type hold a map; Spark neither compares nor sorts these."""
+    if isinstance(dtype, T.StructType):
+        return any(has_map(f.dataType) for f in dtype.fields)
+    return has_map(dtype.elementType) if isinstance(dtype, T.ArrayType) else isinstance(dtype, T.MapType)
+
+
+def sortable(name: str, dtype: T.DataType) -> Column:
+    """A column as something rows can be sorted by: itself, or its comparable text where it holds a map."""
+    return F.expr(comparable(quoted(name), dtype)).alias(name) if has_map(dtype) else F.col(quoted(name))
+
+
 def same_kind(a: T.DataType, b: T.DataType) -> bool:
     """Whether values of the two types can be compared directly, without text."""
     if isinstance(a, T.StringType) or isinstance(b, T.StringType):
         return False
     if a == b:
-        return not isinstance(a, T.MapType)
+        return not has_map(a)
     if is_moment(a) and is_moment(b):
         return True
     return isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType)

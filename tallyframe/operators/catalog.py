@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import sqltext
 from tallyframe.functions.types import base_type, lookup
-from tallyframe.functions.values import quoted
+from tallyframe.functions.values import quoted, sortable
 from tallyframe.operators.ranks import one_row
 from tallyframe.operators.records import ordered_slice
 from tallyframe.operators.schema import union_all
@@ -352,23 +352,29 @@ def query_store_rollup(queries: DataFrame, texts: DataFrame, plans: DataFrame, s
     return grouped.filter("execution_count > 0").orderBy(F.desc("avg_elapsed_time_sec"), "query_id")
 
 
+def _rank(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """What decides between rows: the columns in turn; those that hold maps, which have no order, by their text."""
+    return F.struct(*[sortable(c, rows.schema[c].dataType) for c in dict.fromkeys(columns)])
+
+
 def latest_completed(runs: DataFrame, key: str, order: str) -> DataFrame:
     """The newest completed run per key. The maximum folds before the shuffle, so a busy key is no hot spot."""
     done = runs.filter("status = 'completed'")
     others = [c for c in runs.columns if c != key]
-    return done.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, *[c for c in others if c != order])).alias("r")).select(key, "r.*")
+    return done.groupBy(key).agg(F.max_by(F.struct(*others), _rank(runs, [order, *others])).alias("r")).select(key, "r.*")
 
 
 def latest_version(rows: DataFrame, name: str, version: str) -> DataFrame:
     """The row with the highest version per name."""
     others = [c for c in rows.columns if c != name]
-    return rows.groupBy(name).agg(F.max_by(F.struct(*others), F.struct(version, *[c for c in others if c != version])).alias("r")).select(name, "r.*")
+    return rows.groupBy(name).agg(F.max_by(F.struct(*others), _rank(rows, [version, *others])).alias("r")).select(name, "r.*")
 
 
 def dedup_keep_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key, the one with the smallest ``order``; rows without one come last, the other columns decide ties."""
     others = [c for c in rows.columns if c not in keys and c != order]
-    first = F.min(F.struct(F.col(quoted(order)).isNull().alias("_none"), *[F.col(quoted(c)) for c in [order, *others]]))
+    rank = F.struct(F.col(quoted(order)).isNull().alias("_none"), _rank(rows, [order, *others]).alias("_rank"))
+    first = F.min_by(F.struct(*[F.col(quoted(c)) for c in [order, *others]]), rank)
     kept = rows.groupBy(*[F.col(quoted(k)) for k in keys]).agg(first.alias("r"))
     return kept.select(*[quoted(k) for k in keys], "r.*").select(*[quoted(c) for c in rows.columns])
 

@@ -74,47 +74,102 @@ def check_compaction(strategy: str, columns: Sequence[str], schema: Sequence[str
         raise ValueError(f"columns not in table: {', '.join(absent)}")
 
 
-def _as_number(column: str, dtype: T.DataType) -> str:
-    """A number in the order of the values, in SQL; texts by their first four bytes."""
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return f"CAST(unix_micros(CAST({column} AS TIMESTAMP)) AS DOUBLE)"
-    if isinstance(dtype, T.BooleanType):
-        return f"CAST(CAST({column} AS INT) AS DOUBLE)"
-    if isinstance(dtype, T.StringType):
-        return f"CAST(conv(rpad(hex(substring(encode({column}, 'UTF-8'), 1, 4)), 8, '0'), 16, 10) AS DOUBLE)"
-    return f"CAST({column} AS DOUBLE)"
-
-
-def z_key(df: DataFrame, columns: Sequence[str], bits: int = 16) -> Column:
-    """One long with the bits of all columns in turn, each scaled to ``bits`` bits between its extremes."""
-    bits = min(bits, 62 // len(columns))
-    top = (1 << bits) - 1
-    numbers = [_as_number(quoted(c), df.schema[c].dataType) for c in columns]
-    finite = [f"if(abs({n}) <= 1.7976931348623157E308D, {n}, NULL)" for n in numbers]
-    extremes = df.selectExpr(*[f"{f}({n}) AS {f}_{i}" for i, n in enumerate(finite) for f in ("min", "max")]).first()
-    terms = []
-    for i, number in enumerate(numbers):
-        low, high = extremes[f"min_{i}"] or 0.0, extremes[f"max_{i}"] or 0.0
-        width = (high - low) or 1.0
-        # infinite values lie at the ends, NaN and NULL at the upper one
-        number = f"if({number} IS NULL, NULL, least(greatest({number}, {low!r}D), {high!r}D))"
-        level = f"CAST(coalesce(floor(({number} - {low!r}D) / {width!r}D * {top}), {top}) AS BIGINT)"
-        terms += [f"shiftleft(shiftright({level}, {b}) & 1L, {b * len(columns) + i})" for b in range(bits)]
-    return F.expr(" | ".join(terms))
+#: Values of a column that bounds are drawn from.
+MAX_SAMPLE = 100_000
+#: Bits of all ranks together; the curve through so many cells is a table of its own.
+CURVE_BITS = 16
+
+
+def equal_bounds(df: DataFrame, column: str, parts: int) -> list:
+    """Values that cut a column of any type with an order into ``parts`` ranges with about equally many rows.
+
+    They are found on a sample of about ``MAX_SAMPLE`` rows and only tell where rows lie,
+    never which. A value that fills several ranges is one bound.
+    """
+    values = df.select(F.col(quoted(column)).alias("v")).where("v is not null")
+    count = values.count()
+    drawn = values if count <= MAX_SAMPLE else values.sample(MAX_SAMPLE / count, seed=7)
+    ranges = drawn.repartitionByRange(parts, "v").groupBy(F.spark_partition_id().alias("p")).agg(F.max("v").alias("v"))
+    return sorted({r["v"] for r in ranges.collect()})[:-1]
+
+
+def rank_in(column: str, bounds: Sequence[object], dtype: T.DataType) -> Column:
+    """How many bounds a value lies beyond, by halving; NULL and NaN come last."""
+    value = F.col(quoted(column))
+
+    def halve(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= F.lit(bounds[middle]).cast(dtype), halve(low, middle)).otherwise(halve(middle + 1, high))
+
+    return F.when(value.isNull(), len(bounds)).otherwise(halve(0, len(bounds)))
+
+
+def curve(dimensions: int, bits: int) -> list[tuple[int, int]]:
+    """(cell, place) of every cell of a grid along a Hilbert curve; neighbours on the curve are neighbours in the grid.
+
+    A cell's number has the ``bits`` bits of each coordinate after one another. By
+    J. Skilling's transform of an index to coordinates.
+    """
+    found = []
+    for place in range(1 << (dimensions * bits)):
+        # the bits of the place, dealt out in turn
+        x = [sum((place >> ((bits - 1 - b) * dimensions + dimensions - 1 - d) & 1) << (bits - 1 - b) for b in range(bits)) for d in range(dimensions)]
+        carry = x[-1] >> 1
+        for d in range(dimensions - 1, 0, -1):
+            x[d] ^= x[d - 1]
+        x[0] ^= carry
+        step = 2
+        while step < 1 << bits:
+            mask = step - 1
+            for d in range(dimensions - 1, -1, -1):
+                if x[d] & step:
+                    x[0] ^= mask
+                else:
+                    swap = (x[0] ^ x[d]) & mask
+                    x[0] ^= swap
+                    x[d] ^= swap
+            step <<= 1
+        cell = 0
+        for value in x:
+            cell = cell << bits | value
+        found.append((cell, place))
+    return found
+
+
+def curve_place(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``_place``, the place of each row along a Hilbert curve through the ranks of its columns.
+
+    Ranks are ranges with equally many rows each, so skewed numbers and texts with a
+    common beginning spread over the whole curve. The curve has 2^16 cells at most,
+    which is the size of the table that is broadcast.
+    """
+    bits = max(1, min(8, CURVE_BITS // len(columns)))
+    cell = F.lit(0)
+    for c in columns:
+        rank = rank_in(c, equal_bounds(df, c, 1 << bits), df.schema[c].dataType)
+        cell = cell * (1 << bits) + rank
+    if bits * len(columns) > CURVE_BITS:  # so many columns that the curve would be too long
+        return df.withColumn("_place", cell)
+    places = df.sparkSession.createDataFrame(curve(len(columns), bits), "_cell int, _place int")
+    return df.withColumn("_cell", cell.cast("int")).join(F.broadcast(places), "_cell", "left").drop("_cell")
 
 
 def compact_files(
-    spark: SparkSession, path: str, out: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB, partition_by: Sequence[str] = ()
+    spark: SparkSession, path: str, out: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB, partition_by: Sequence[str] = (), schema: T.StructType | None = None
 ) -> int:
     """Rewrite the Parquet files below ``path`` into files of about ``target_bytes`` in the new folder ``out``.
 
     binpack only packs file pieces into reads of the target size, without a shuffle.
-    sort and z-order cut the order into as many ranges as there are files; a row
+    sort and z-order cut the order into as many ranges as there are files, z-order that
+    along a curve through the ranks of all columns (:func:`curve_place`); a row
     number is the last range column, so a value that fills many files is spread over
     many tasks. Folders named by ``partition_by`` are kept, and come first in the order.
     Returns the number of files aimed at.
     """
-    df = spark.read.parquet(path)
+    read = lambda session: (session.read if schema is None else session.read.schema(schema)).parquet(path)
+    df = read(spark)
     check_compaction(strategy, columns, df.columns, target_bytes)
     size = source_size(list_data_files(file_listing(spark, path), "PARQUET")).first()["total_bytes"]
     files = max(1, math.ceil(size / target_bytes))
@@ -123,23 +178,24 @@ def compact_files(
         packed.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
         packed.conf.set("spark.sql.files.openCostInBytes", "0")
         packed.conf.set("spark.sql.files.minPartitionNum", "1")
-        packed.read.parquet(path).write.partitionBy(*partition_by).parquet(out)
+        read(packed).write.partitionBy(*partition_by).parquet(out)
         return files
     folders = [F.col(quoted(c)) for c in partition_by]
     if strategy == "sort":
         order, keyed = [F.col(quoted(c)).asc_nulls_last() for c in columns], df
     else:
-        order, keyed = [F.col("_z")], df.withColumn("_z", z_key(df, columns))
+        order, keyed = [F.col("_place")], curve_place(df, columns)
     ranges = keyed.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(files, *folders, *order, "_tie")
-    ranges.sortWithinPartitions(*folders, *order).drop("_tie", "_z").write.partitionBy(*partition_by).parquet(out)
+    ranges.sortWithinPartitions(*folders, *order).drop("_tie", "_place").write.partitionBy(*partition_by).parquet(out)
     return files
 
 
 def compact_table(
     spark: SparkSession, name: str, root: str, strategy: str = "binpack", columns: Sequence[str] = (), target_bytes: int = 128 * MIB
 ) -> int:
-    """Compact the files of a table without partitions and point the table to them; a failed rewrite changes nothing."""
+    """Compact the files of a table, in its partitions, and point the table to them; a failed rewrite changes nothing."""
     out = f"{root.rstrip('/')}/{name}-compacted-{uuid.uuid4().hex}"
-    files = compact_files(spark, table_location(spark, name), out, strategy, columns, target_bytes)
-    point_to(spark, name, out, spark.table(name).schema)
+    folders = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    files = compact_files(spark, table_location(spark, name), out, strategy, columns, target_bytes, folders, spark.table(name).schema)
+    point_to(spark, name, out, spark.table(name).schema, folders)
     return files

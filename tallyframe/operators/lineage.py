@@ -9,12 +9,16 @@ from tallyframe.functions import sqltext
 from tallyframe.session import cut_lineage
 
 
-def extract_dependencies(objects: DataFrame, strict: bool = False) -> DataFrame:
-    """Direct dependencies ``(object_name, dependency, dependency_kind)`` of ``object_name, definition`` rows."""
-    code = objects.select("object_name", sqltext.code_only(F.col("definition")).alias("code"))
+def extract_dependencies(objects: DataFrame, strict: bool = False, scoped: bool = False) -> DataFrame:
+    """Direct dependencies ``(object_name, dependency, dependency_kind)`` of ``object_name, definition`` rows.
+
+    Tables are found by pattern, as :func:`sqltext.table_references` does, or with ``scoped`` by
+    reading each statement with its scopes (:func:`sqltext.scoped_table_references`).
+    """
+    code = objects.select("object_name", "definition", sqltext.code_only(F.col("definition")).alias("code"))
     found = code.select(
         "object_name",
-        sqltext.table_references(F.col("code"), strict).alias("t"),
+        (sqltext.scoped_table_references(F.col("definition")) if scoped else sqltext.table_references(F.col("code"), strict)).alias("t"),
         sqltext.function_references(F.col("code")).alias("f"),
     )
     entries = F.concat(
@@ -36,21 +40,26 @@ def resolve_dependencies(edges: DataFrame, objects: DataFrame) -> DataFrame:
 def lineage_closure(resolved: DataFrame, max_level: int | None = None) -> DataFrame:
     """All direct and indirect dependencies ``(root, dependency, dependency_kind, level)``, with the smallest level of each.
 
-    A round goes one level deeper from what the round before found for the first
-    time, so a dependency is followed once per root however many ways lead to it,
-    and cycles end by themselves. Rows written are in the order of the result. Every
-    level is followed unless ``max_level`` says otherwise.
+    Every round doubles the depth that is known. A shortest way longer than 2^k
+    passes an object exactly 2^k steps from its root, and goes on from there by a way
+    that is known already; so each round joins the pairs at exactly that distance with
+    all pairs, and a dependency comes up once for each such object in between, however
+    many ways there are. Cycles add no shorter way and end by themselves. Written
+    are the pairs new in a round, as many rounds as the logarithm of the depth.
     """
-    direct = cut_lineage(resolved.filter("object_name is not null").distinct())
-    edges = direct.select(F.col("object_name").alias("_at"), F.col("dependency").alias("_next"), "dependency_kind", "is_known")
-    level = direct.select(F.col("object_name").alias("root"), "dependency", "dependency_kind", "is_known")
-    found, depth = level.withColumn("level", F.lit(1)), 1
-    while max_level is None or depth < max_level:
-        ends = level.filter("is_known").select("root", F.col("dependency").alias("_at")).distinct()
-        step = ends.join(edges, "_at").select("root", F.col("_next").alias("dependency"), "dependency_kind", "is_known").distinct()
-        level = cut_lineage(step.join(found, ["root", "dependency", "dependency_kind"], "left_anti"))
-        if level.isEmpty():
+    direct = resolved.filter("object_name is not null").select(F.col("object_name").alias("root"), "dependency", "dependency_kind", "is_known").distinct()
+    found = cut_lineage(direct.withColumn("level", F.lit(1)))
+    reach = 1
+    while max_level is None or reach < max_level:
+        nearest = found.filter("is_known").groupBy("root", "dependency").agg(F.min("level").alias("level"))
+        middle = cut_lineage(nearest.filter(F.col("level") == reach).select("root", F.col("dependency").alias("_at")))
+        if middle.isEmpty():
+            break
+        onward = found.withColumnRenamed("root", "_at")
+        further = middle.join(onward, "_at").groupBy("root", "dependency", "dependency_kind", "is_known").agg((F.min("level") + reach).alias("level"))
+        new = cut_lineage(further.join(found, ["root", "dependency", "dependency_kind"], "left_anti").select(found.columns))
+        if new.isEmpty():
             break
-        depth += 1
-        found = found.unionByName(level.withColumn("level", F.lit(depth)))
-    return found.select("root", "dependency", "dependency_kind", "level")
+        found, reach = found.unionByName(new), 2 * reach
+    kept = found if max_level is None else found.filter(F.col("level") <= max_level)
+    return kept.select("root", "dependency", "dependency_kind", "level")

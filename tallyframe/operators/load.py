@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.values import quoted
+from tallyframe.functions.values import quoted, sortable
 from tallyframe.operators.schema import refuse_incompatible, schema_changes
-from tallyframe.session import cut_lineage
-from tallyframe.sources.files import file_listing, list_data_files, source_size
+from tallyframe.session import cut_lineage, remove_folder, shared_folder, work_path
+from tallyframe.sources.files import file_listing, list_data_files, modified_at, source_size
 
 HISTORY_SCHEMA = (
     "load_id string, schema_name string, table_name string, source string, file_format string, load_type string, status string, "
@@ -33,8 +33,14 @@ def incremental_filter(df: DataFrame, column: str, bookmark) -> DataFrame:
     return df if bookmark is None else df.filter(F.col(column) > F.lit(bookmark).cast(df.schema[column].dataType))
 
 
-def point_to(spark: SparkSession, name: str, path: str, schema: T.StructType) -> None:
-    if spark.catalog.tableExists(name) and spark.table(name).schema.simpleString() == schema.simpleString():
+def point_to(spark: SparkSession, name: str, path: str, schema: T.StructType, partition_by: Sequence[str] = ()) -> None:
+    """Let table ``name`` be what lies below ``path``; of a partitioned table all folders are registered anew."""
+    if partition_by:
+        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(map(quoted, partition_by))}) LOCATION '{path}'")
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    elif spark.catalog.tableExists(name) and spark.table(name).schema.simpleString() == schema.simpleString():
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
         # External tables: dropping the entry leaves the files alone.
@@ -69,10 +75,11 @@ def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     """One row per key, that with the largest ``order`` columns; the other columns decide ties.
 
     Rows are ranked per task before the shuffle, so a key that fills a third of the
-    rows costs one row per task.
+    rows costs one row per task. The other columns may be of any type, maps too.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    latest = F.max(F.struct(*[F.col(quoted(c)) for c in [*order, *rest]])).alias("_r")
+    rank = F.struct(*[sortable(c, df.schema[c].dataType) for c in [*order, *rest]])
+    latest = F.max_by(F.struct(*[F.col(quoted(c)) for c in [*order, *rest]]), rank).alias("_r")
     return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(latest).select(*[quoted(k) for k in keys], "_r.*").select(*[quoted(c) for c in df.columns])
 
 
@@ -109,7 +116,7 @@ def plain_path(path: Column, encoded: bool = True) -> Column:
     return F.regexp_replace(text, "^file:/+", "/")
 
 
-def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partition: str, newest_by: Sequence[str] = ()) -> int:
+def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partition: str, newest_by: Sequence[str] = (), batch: str | None = None) -> int:
     """Upsert into a folder partitioned by ``partition``, rewriting only the partitions it touches.
 
     Touched are the partitions staging brings rows for and those that hold a
@@ -117,11 +124,22 @@ def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partiti
     by dynamic overwrite; a partition left without rows is emptied under the folder
     name its files have. Partition values have the type they have in staging and
     stay in the cluster, but for the folders to empty.
-    Returns the number of partitions rewritten.
+
+    A named ``batch`` is merged once: run again it does nothing, or puts what was written
+    aside in place if that did not come to its end. Returns the number of partitions rewritten.
     """
     spark = staging.sparkSession
+    dtype = staging.schema[partition].dataType
+    if batch is not None:
+        noted = _noted(spark, path, batch)
+        if noted is not None:
+            if noted["state"] == "written":
+                fields = [f for f in read_partitioned(spark, path, partition, dtype).schema.fields]
+                _put_partitions(spark.read.schema(T.StructType(fields)).parquet(noted["aside"]), path, partition, noted["emptied"])
+                _done(spark, path, batch, noted["aside"])
+            return 0
     staging = cut_lineage(staging)
-    target = read_partitioned(spark, path, partition, staging.schema[partition].dataType)
+    target = read_partitioned(spark, path, partition, dtype)
     replaced = staging.select(*keys).distinct()
     holding = target.select(*keys, partition).join(replaced, list(keys), "left_semi").select(partition)
     touched = cut_lineage(holding.unionByName(staging.select(partition)).distinct())
@@ -129,12 +147,24 @@ def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partiti
     if not count:
         return 0
     same = lambda df: df[partition].eqNullSafe(touched[partition])
-    fresh = cut_lineage(merge_upsert(target.join(touched, same(target), "left_semi"), staging, keys, newest_by))
+    merged = merge_upsert(target.join(touched, same(target), "left_semi"), staging, keys, newest_by)
+    aside = f"{shared_folder(spark)}/merges/{uuid.uuid4().hex}" if batch is not None else work_path(spark, "merge")
+    merged.write.parquet(aside)
+    fresh = spark.read.schema(merged.schema).parquet(aside)
     left = fresh.select(F.col(partition).alias("_left")).distinct()
     gone = touched.join(left, F.col(partition).eqNullSafe(F.col("_left")), "left_anti").withColumnRenamed(partition, "_gone")
     folder = F.regexp_extract(plain_path(F.col("_metadata.file_path")), "([^/]+)/[^/]+$", 1).alias("folder")
     files = target.select(partition, folder).join(gone, F.col(partition).eqNullSafe(F.col("_gone")), "left_semi")
     emptied = [r["folder"] for r in files.select("folder").distinct().collect()]
+    if batch is not None:
+        _note(spark, path, batch, "written", aside, emptied)
+    _put_partitions(fresh, path, partition, emptied)
+    if batch is not None:
+        _done(spark, path, batch, aside)
+    return count
+
+
+def _put_partitions(fresh: DataFrame, path: str, partition: str, emptied: Sequence[str]) -> None:
     (
         fresh.hint("rebalance", F.col(partition))
         .write.partitionBy(partition)
@@ -142,10 +172,30 @@ def merge_partitions(path: str, staging: DataFrame, keys: Sequence[str], partiti
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
-    rows = T.StructType([f for f in target.schema.fields if f.name != partition])
+    rows = T.StructType([f for f in fresh.schema.fields if f.name != partition])
     for folder_name in emptied:
-        spark.createDataFrame([], rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder_name}")
-    return count
+        fresh.sparkSession.createDataFrame([], rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder_name}")
+
+
+#: Batches merged into a folder, kept below it; readers pass over names that begin like this.
+_MERGES, _MERGE_SCHEMA = "_merges", "batch string, state string, aside string, emptied array<string>"
+
+
+def _note(spark: SparkSession, path: str, batch: str, state: str, aside: str, emptied: Sequence[str]) -> None:
+    spark.createDataFrame([(batch, state, aside, list(emptied))], _MERGE_SCHEMA).write.mode("append").parquet(f"{path.rstrip('/')}/{_MERGES}")
+
+
+def _done(spark: SparkSession, path: str, batch: str, aside: str) -> None:
+    _note(spark, path, batch, "done", aside, [])
+    remove_folder(spark, aside)
+
+
+def _noted(spark: SparkSession, path: str, batch: str):
+    """The furthest state of a batch, None if it never got to one."""
+    log = f"{path.rstrip('/')}/{_MERGES}"
+    if not _exists(spark, log):
+        return None
+    return spark.read.schema(_MERGE_SCHEMA).parquet(log).where(F.col("batch") == batch).orderBy("state").first()
 
 
 def load_table(name: str, df: DataFrame, root: str, settings: Mapping[str, object] | None = None, **defaults) -> None:
@@ -257,7 +307,8 @@ def new_files(files: DataFrame, registered: DataFrame) -> DataFrame:
     return plain.join(registered.select("path").distinct(), "path", "left_anti")
 
 
-REGISTRY_SCHEMA = "batch string, path string, state string"
+#: ``modified`` is the time of a file, and in the record that ends a batch the mark it leaves.
+REGISTRY_SCHEMA = "batch string, path string, state string, modified timestamp"
 
 
 def append_new_files(
@@ -271,29 +322,87 @@ def append_new_files(
     that holds for all listed files. Names pass through the driver, as Spark's
     own file index holds them there anyway, and are read as one append.
     """
+    return _append_files(name, files, registry, root, schema, file_format, options)
+
+
+def _append_files(
+    name: str, files: DataFrame, registry: str, root: str, schema: T.StructType, file_format: str, options: Mapping[str, str] | None,
+    mark: datetime | None = None, replace: bool = False, doubt: bool = False,
+) -> int:
+    """The batch of :func:`append_new_files`; ``mark`` is what earlier batches left, ``replace`` gives the table new
+    contents, ``doubt`` looks for all files in the target."""
     spark = files.sparkSession
     known = spark.read.schema(REGISTRY_SCHEMA).parquet(registry) if _exists(spark, registry) else None
     done = spark.createDataFrame([], "path string")
     if known is not None:
         ended = known.filter("state = 'done'").select("batch").distinct()
-        done = known.filter("state = 'begun'").join(ended, "batch", "left_semi").select("path")
-    fresh = cut_lineage(new_files(files, done).select("path").distinct())
-    doubtful = fresh if known is None else fresh.join(known.select("path").distinct(), "path", "left_semi")
-    if spark.catalog.tableExists(name) and not doubtful.isEmpty():
+        done = known.filter("state = 'begun'").join(ended, "batch", "left_semi")
+        # files from before the mark are not listed any more
+        done = (done if mark is None else done.filter(F.col("modified").isNull() | (F.col("modified") >= F.lit(mark)))).select("path")
+    at = modified_at(files) if "modification_time" in files.columns else F.lit(None).cast("timestamp")
+    fresh = new_files(files.withColumn("modified", at), done).groupBy("path").agg(F.max("modified").alias("modified"))
+    fresh = cut_lineage(fresh)
+    doubtful = fresh if known is None or doubt else fresh.join(known.select("path").distinct(), "path", "left_semi")
+    if not replace and spark.catalog.tableExists(name) and not doubtful.isEmpty():
         there = spark.table(name).select(F.col("source_file").alias("path")).join(doubtful, "path", "left_semi").distinct()
         fresh = cut_lineage(fresh.join(there, "path", "left_anti"))
-    paths = [row["path"] for row in fresh.toLocalIterator()]
+    paths = [row["path"] for row in fresh.select("path").toLocalIterator()]
     if not paths:
         return 0
     batch = uuid.uuid4().hex
-    record = lambda df, state: df.select(F.lit(batch).alias("batch"), "path", F.lit(state).alias("state")).write.mode("append").parquet(registry)
+    record = lambda df, state: df.select(F.lit(batch).alias("batch"), "path", F.lit(state).alias("state"), "modified").write.mode("append").parquet(registry)
     record(fresh, "begun")
     rows = spark.read.format(file_format).schema(schema).options(**(options or {})).load([_escaped(p) for p in paths])
-    load_full(name, rows.withColumn("source_file", plain_path(F.col("_metadata.file_path"))), root)
-    record(spark.createDataFrame([("",)], "path string"), "done")
+    load_full(name, rows.withColumn("source_file", plain_path(F.col("_metadata.file_path"))), root, truncate=replace)
+    # the end of the batch and the mark it leaves are one row
+    newest = F.max("modified") if mark is None else F.greatest(F.max("modified"), F.lit(mark))
+    record(fresh.agg(F.lit("").alias("path"), newest.alias("modified")), "done")
     return len(paths)
 
 
+def stored_mark(spark: SparkSession, registry: str) -> datetime | None:
+    """The mark that the batches of a registry left: the latest time of a file that was loaded."""
+    if not _exists(spark, registry):
+        return None
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(registry).filter("state = 'done'").agg(F.max("modified")).first()[0]
+
+
+def load_files_since_mark(
+    name: str, files: DataFrame, registry: str, root: str, schema: T.StructType, file_format: str = "parquet", options: Mapping[str, str] | None = None, reload: bool = False
+) -> dict[str, object]:
+    """Append the files that changed since the table's mark, and move the mark; ``reload`` starts over with all files.
+
+    ``files`` is a listing with ``modification_time``. Files before the mark are passed over
+    without looking at their names. Times are compared in full; files as old as the
+    mark are told apart by the registry, so one that arrives later within the same
+    second is loaded and none is loaded twice. A time that is missing or cannot be read
+    keeps the file in, for the registry to decide.
+
+    The mark is stored in the record that ends the batch, so it moves with the registry
+    and only when the batch succeeded. A reload fills a registry of its own and replaces the contents of the
+    table; until it ends, the earlier registry and its mark hold.
+    """
+    spark = files.sparkSession
+    finished, begun = _generations(spark, registry)
+    current = max(finished, default=0)
+    mark = stored_mark(spark, f"{registry}/generation={current}") if finished and not reload else None
+    # a reload that never ended may have replaced the table
+    doubt = any(g > current for g in begun)
+    number = max([current, *begun], default=0) + 1 if reload else current
+    since = files if mark is None else files.filter(F.coalesce(modified_at(files) >= F.lit(mark), F.lit(True)))
+    count = _append_files(name, since, f"{registry}/generation={number}", root, schema, file_format, options, mark, reload, doubt and not reload)
+    return {"files": count, "mark": stored_mark(spark, f"{registry}/generation={number}") if count else mark}
+
+
+def _generations(spark: SparkSession, registry: str) -> tuple[list[int], list[int]]:
+    """Numbers of the loads from the start that came to an end, and of all that were begun."""
+    if not _exists(spark, registry):
+        return [], []
+    log = spark.read.schema(f"{REGISTRY_SCHEMA}, generation int").parquet(registry)
+    states = log.groupBy("generation").agg(F.bool_or(F.col("state") == "done").alias("ended")).collect()
+    return [r["generation"] for r in states if r["ended"]], [r["generation"] for r in states]
+
+
 def _escaped(path: str) -> str:
     """A plain path as a reader takes it, which would read these characters as a pattern."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)

@@ -17,12 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tallyframe.functions.types import literal
-from tallyframe.functions.values import NULL_MARK, fingerprint_form, is_nan, key_text, quoted, shown, shown_sql, values_equal
+from tallyframe.functions.values import NULL_MARK, comparable, fingerprint_form, has_map, is_nan, key_text, quoted, shown, shown_sql, values_equal
 from tallyframe.operators.parity import SAMPLE_ROWS
 from tallyframe.session import cut_lineage
 
 
-def _types(df: DataFrame) -> dict[str, T.DataType]:
+def types_of(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name.lower(): f.dataType for f in df.schema.fields}
 
 
@@ -33,13 +33,13 @@ def lower_names(df: DataFrame) -> DataFrame:
 def _check_keys(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> list[str]:
     lowered = [k.lower() for k in keys]
     for side, df in (("source", source), ("target", target)):
-        absent = [k for k in lowered if k not in _types(df)]
+        absent = [k for k in lowered if k not in types_of(df)]
         if absent:
             raise ValueError(f"Match key column(s) not found in {side} table: {', '.join(absent)}")
     return lowered
 
 
-def _fingerprint(own: dict[str, T.DataType], other: dict[str, T.DataType], columns: Sequence[str], side: int) -> Column:
+def fingerprint(own: dict[str, T.DataType], other: dict[str, T.DataType], columns: Sequence[str], side: int) -> Column:
     parts, nans = [], []
     for name in columns:
         if name not in own:
@@ -64,14 +64,14 @@ def record_index(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
     """
     keys = _check_keys(source, target, keys)
     source, target = lower_names(source), lower_names(target)
-    own, other = _types(source), _types(target)
+    own, other = types_of(source), types_of(target)
     columns = [c for c in source.columns if c not in keys]
 
     def side(df: DataFrame, mine, theirs, tag: int) -> DataFrame:
         return df.select(
             *[key_text(F.col(k)).alias(k) for k in keys],
             F.lit(tag).alias("_side"),
-            _fingerprint(mine, theirs, columns, tag).alias("_print"),
+            fingerprint(mine, theirs, columns, tag).alias("_print"),
         )
 
     in_source, in_target = F.col("_side") == 0, F.col("_side") == 1
@@ -119,8 +119,10 @@ def record_match_pk(source: DataFrame, target: DataFrame, keys: Sequence[str]) -
 
 def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
     """SHA-256 of all values joined by ``|``, NULL as a mark."""
-    types = _types(df)
-    return F.sha2(F.concat_ws("|", *[F.coalesce(shown(F.col(c), types[c]), F.lit(NULL_MARK)) for c in columns]), 256)
+    types = types_of(df)
+    # maps by their entries in the order of the keys
+    values = [F.expr(comparable(quoted(c), types[c])) if has_map(types[c]) else shown(F.col(c), types[c]) for c in columns]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(v, F.lit(NULL_MARK)) for v in values]), 256)
 
 
 def _digest_index(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def rows_extra(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Dat
 def _paired(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], dict, dict]:
     """One row per key with the chosen record of each side as a struct."""
     source, target = lower_names(source), lower_names(target)
-    own, other = _types(source), _types(target)
+    own, other = types_of(source), types_of(target)
     columns = [c for c in source.columns if c not in keys] or list(keys)
 
     def side(df: DataFrame, mine, theirs, tag: int) -> DataFrame:
@@ -178,7 +180,7 @@ def _paired(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> tuple[
         names = [key_text(F.col(k)).alias(k) for k in keys]
         return df.select(
             *names,
-            _fingerprint(mine, theirs, columns, tag).alias("_print"),
+            fingerprint(mine, theirs, columns, tag).alias("_print"),
             *[(record if t == tag else F.lit(None)).alias(f"_r{t}") for t in (0, 1)],
         )
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import threading
+import time
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,10 +135,58 @@ def plan_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, objec
     return parts
 
 
-def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object], threads: int = 4) -> list[tuple]:
+#: Seconds after which a check is given up (fixed value).
+TIME_LIMIT = 300
+
+
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Ends the Spark jobs that this thread starts within the block once they have run for so long; the block raises then.
+
+    Its jobs bear a tag of their own, by which they and those that follow are cancelled, so
+    their tasks end and no other work does. Time in which they only wait for cores that other work
+    holds does not count, so one slow check does not make errors of those behind it.
+    """
+    if seconds is None:
+        yield
+        return
+    context, tag = spark.sparkContext, f"check-{uuid.uuid4().hex}"
+    over, done = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        ran, last = 0.0, time.monotonic()
+        while not done.wait(0.2):  # jobs may follow one another, so it goes on
+            now = time.monotonic()
+            ran, last = ran + (0 if _waits(spark, tag) else now - last), now
+            if ran >= seconds:
+                over.set()
+                context.cancelJobsWithTag(tag)
+
+    watcher = InheritableThread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        yield
+    finally:
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    if over.is_set():
+        raise TimeoutError(f"no result within {seconds} seconds")
+
+
+def _waits(spark: SparkSession, tag: str) -> bool:
+    """Whether jobs with this tag are under way, but none of their tasks."""
+    status = spark.sparkContext.statusTracker()
+    stages = [n for job in spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(tag) if (found := status.getJobInfo(job)) and found.status == "RUNNING" for n in found.stageIds]
+    return bool(stages) and not any((info := status.getStageInfo(n)) and info.numActiveTasks for n in stages)
+
+
+def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object], threads: int = 4, time_limit: float | None = TIME_LIMIT) -> list[tuple]:
     """The rows of all requested checks, a handful, computed at the same time.
 
-    A check that cannot be planned, or fails while it runs, is one row saying error.
+    A check that cannot be planned, fails while it runs, or runs longer than
+    ``time_limit`` seconds (:func:`deadline`) is one row saying error; its tasks are ended.
     Checks that failed together are run again one by one, so that only those at
     fault are errors.
     """
@@ -141,7 +194,8 @@ def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object
     def settle(part: Part) -> list[tuple]:
         names, build = part
         try:
-            return [tuple(r) for r in build(names).collect()]
+            with deadline(source.sparkSession, time_limit):
+                return [tuple(r) for r in build(names).collect()]
         except Exception:  # noqa: BLE001 - the error is the result
             if len(names) == 1:
                 return [(names[0], "error", None, None, None)]
@@ -151,13 +205,13 @@ def run_checks(source: DataFrame, target: DataFrame, checks: Mapping[str, object
         return [row for rows in pool.map(settle, plan_checks(source, target, checks)) for row in rows]
 
 
-def validation_report(source: DataFrame, target: DataFrame, checks: Mapping[str, object]) -> DataFrame:
+def validation_report(source: DataFrame, target: DataFrame, checks: Mapping[str, object], time_limit: float | None = TIME_LIMIT) -> DataFrame:
     """All checks of one pair with the overall status on every row.
 
     error outranks failed, failed outranks passed; a report without checks is one
     row saying ``no_checks``.
     """
-    rows = run_checks(source, target, checks)
+    rows = run_checks(source, target, checks, time_limit=time_limit)
     if not rows:
         return failed_check(source, "none").withColumn("status", F.lit("no_checks")).withColumn("overall_status", F.lit("no_checks"))
     found = {status for _, status, *_ in rows}
@@ -193,18 +247,21 @@ def run_status(tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def validation_run(
-    spark: SparkSession, pairs: Mapping[str, Callable[[], tuple[DataFrame, DataFrame, Mapping[str, object]]]], threads: int = 4
+    spark: SparkSession,
+    pairs: Mapping[str, Callable[[], tuple[DataFrame, DataFrame, Mapping[str, object]]]],
+    threads: int = 4,
+    time_limit: float | None = TIME_LIMIT,
 ) -> DataFrame:
     """Check many table pairs at the same time; one row per table.
 
     Each pair is a function that opens it. A table that cannot be read or checked is
-    an error and stops no other. Only the check rows, a handful per table, come back.
+    an error and stops no other; nor does a check that takes too long. Only the check rows, a handful per table, come back.
     """
 
     def one(name: str) -> list[tuple[str, str, str]]:
         try:
             source, target, checks = pairs[name]()
-            found = [(name, check, status) for check, status, *_ in run_checks(source, target, checks)]
+            found = [(name, check, status) for check, status, *_ in run_checks(source, target, checks, time_limit=time_limit)]
         except Exception:  # noqa: BLE001 - the error is the result
             found = [(name, "read", "error")]
         return found or [(name, "none", "skipped")]

@@ -298,9 +298,13 @@ def duration_histogram(log: DataFrame) -> DataFrame:
     return enrich(log).groupBy(minutes.alias("duration_mins")).agg(F.count(F.lit(1)).alias("query_count"))
 
 
-def repeat_query_rate(log: DataFrame) -> DataFrame:
-    """Texts, distinct texts and the share of queries whose text occurs again; case and white space do not count."""
-    digest = F.md5(F.lower(F.regexp_replace("query_text", r"\s+", " ")))
+def repeat_query_rate(log: DataFrame, shapes: bool = False) -> DataFrame:
+    """Texts, distinct texts and the share of queries whose text occurs again; case and white space do not count.
+
+    With ``shapes`` values do not count either: texts that differ in literals only are one query.
+    """
+    text = sqltext.statement_shape(F.col("query_text")) if shapes else F.lower(F.regexp_replace("query_text", r"\s+", " "))
+    digest = F.md5(text)
     texts = log.filter("query_text is not null").groupBy(digest.alias("h")).agg(F.count(F.lit(1)).alias("n"))
     repeated = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
     total = F.coalesce(F.sum("n"), F.lit(0))

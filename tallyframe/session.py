@@ -67,8 +67,18 @@ def clear_work(spark: SparkSession) -> None:
     To be called at its end: frames that rest on written stages, and tables kept
     there, cannot be read afterwards.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, work_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it; one that is not there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,24 +48,47 @@ def read_options(kind: str, connection: Mapping[str, object], table: str, split:
     return "jdbc", options
 
 
-def split_bounds(
-    spark: SparkSession, kind: str, connection: Mapping[str, object], table: str, column: str, parts: int = 64
-) -> dict[str, object]:
-    """The ``split`` that reads a database table in ``parts`` ranges of a numeric or time column.
+def tiles_query(table: str, column: str, parts: int) -> str:
+    """A subquery by which the database tells the upper ends of ``parts`` ranges that hold equally many rows."""
+    tiles = f"SELECT {column} AS k, ntile({parts}) OVER (ORDER BY {column}) AS tile FROM {table} WHERE {column} IS NOT NULL"
+    return f"(SELECT max(k) AS high FROM ({tiles}) tiles GROUP BY tile) bounds"
 
-    The database answers with the two extremes only. An empty table needs no split.
-    """
-    source, options = read_options(kind, connection, bounds_query(table, column))
-    row = spark.read.format(source).options(**options).load().first()
-    return split_of(column, row[0], row[1], parts)
+
+def split_bounds(spark: SparkSession, kind: str, connection: Mapping[str, object], table: str, column: str, parts: int = 64) -> list[object]:
+    """The upper ends of ranges of a column with equally many rows each, ``parts`` values at most; none for an empty table."""
+    source, options = read_options(kind, connection, tiles_query(table, column, parts))
+    return [row["high"] for row in spark.read.format(source).options(**options).load().toDF("high").collect()]
+
+
+def _sql_value(value: object) -> str:
+    """A value as SQL that databases agree on."""
+    if isinstance(value, bool):
+        raise ValueError("a yes or no does not split a table")
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
+    return "'" + str(value).replace("'", "''") + "'"
 
 
-def bounds_query(table: str, column: str) -> str:
-    return f"(SELECT min({column}) AS low, max({column}) AS high FROM {table}) bounds"
+def range_predicates(column: str, bounds: Sequence[object]) -> list[str]:
+    """Conditions by which a table is read in parts: one for each range between the bounds, one beyond the last, one for NULL.
+
+    Every row meets exactly one. Equal bounds, as a value makes that fills several
+    ranges, are one range. Without bounds there is no condition.
+    """
+    ends = sorted(set(bounds))
+    if not ends:
+        return []
+    shown = [_sql_value(e) for e in ends]
+    between = [f"{column} > {a} AND {column} <= {b}" for a, b in zip(shown, shown[1:], strict=False)]
+    return [f"{column} <= {shown[0]}", *between, f"{column} > {shown[-1]}", f"{column} IS NULL"]
 
 
 def split_of(column: str, low: object, high: object, parts: int) -> dict[str, object]:
-    """Reader options of a split between two extremes; none where there are no rows."""
+    """Reader options of a split into equally wide ranges between two extremes; none where there are no rows."""
     if low is None or high is None:
         return {}
     return {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": parts}
@@ -80,13 +105,19 @@ def scan_table(
 ) -> DataFrame:
     """A whole table with lower-case column names, sorted by one column when asked.
 
-    Database tables are read in ranges of ``split_by``, whose extremes are asked for, or
-    by a ``split`` given in full.
+    Database tables are read in ranges of ``split_by`` that hold equally many rows each,
+    whose bounds the database is asked for, so a skewed key does not fill one task; or by
+    a ``split`` given in full.
     """
-    if split is None and split_by is not None and kind.lower() in JDBC_URLS:
-        split = split_bounds(spark, kind, connection, table, split_by)
     source, options = read_options(kind, connection, table, split)
-    df = spark.read.format(source).options(**options).load()
+    predicates: list[str] = []
+    if split is None and split_by is not None and kind.lower() in JDBC_URLS:
+        predicates = range_predicates(split_by, split_bounds(spark, kind, connection, table, split_by))
+    if predicates:
+        url, name = options.pop("url"), options.pop("dbtable")
+        df = spark.read.jdbc(url, name, predicates=predicates, properties=options)
+    else:
+        df = spark.read.format(source).options(**options).load()
     df = df.toDF(*[c.lower() for c in df.columns])
     return df.orderBy(order_by.lower()) if order_by else df
 

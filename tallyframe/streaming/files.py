@@ -5,16 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WATERMARK_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-
+from tallyframe.sources.files import modified_at
 
-def modified_at(files: DataFrame) -> Column:
-    """Modification time of a listing; text that is not a time counts as none."""
-    return F.col("modification_time").try_cast("timestamp")
+WATERMARK_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def filter_by_watermark(files: DataFrame, watermark: str | None) -> DataFrame:

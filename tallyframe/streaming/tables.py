@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.load import merge_partitions, merge_upsert, replace_table, table_location
+from tallyframe.operators.units import merge_units
 from tallyframe.session import cut_lineage
 
 
@@ -43,13 +44,24 @@ def stream_merge_partitions(
 ) -> None:
     """Upsert every micro-batch into a folder partitioned by ``partition``, rewriting only the partitions it touches.
 
-    For targets of which a batch is a small part. A batch that is run again after a
-    crash replaces the same keys with the same rows; rows with a NULL key, which
-    never match, may then be there twice.
+    For targets of which a batch is a small part. The batch of a stream has a name of
+    its own, so a batch that is run again after a crash changes nothing, or completes.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        merge_partitions(path, batch, keys, partition, newest_by)
+        merge_partitions(path, batch, keys, partition, newest_by, batch=_label(checkpoint, batch_id))
+
+    _run(stream, apply, checkpoint)
+
+
+def stream_merge_units(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, newest_by: Sequence[str] = ()) -> None:
+    """Upsert every micro-batch into a table kept in units, rewriting only the units that hold one of its keys.
+
+    The batch of a stream has a name of its own, so a batch that is run again after a crash changes nothing.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        merge_units(path, batch, keys, f"{_label(checkpoint, batch_id)}rows", newest_by)
 
     _run(stream, apply, checkpoint)
 
