@@ -407,6 +407,17 @@ def dependencies(spark, sf):
     return lineage.extract_dependencies(v.sql_objects(spark, sf))
 
 
+@query("scoped_dependencies", """
+WITH o AS (SELECT doc_id AS i FROM documents),
+t AS (
+  SELECT i, unnest(CASE WHEN i % 4 = 3 THEN ['ds.out_' || (i % 9), 'ds.base_' || (i % 50), CASE WHEN i % 48 = 7 THEN 'pyspark.sql' END]
+    ELSE ['ds.base_' || (i % 50), 'ds.obj_' || (i // 2), CASE WHEN i % 50 = 8 THEN 'ds.obj_' || (2 * i) END] END) AS dependency FROM o)
+SELECT DISTINCT 'ds.obj_' || i AS object_name, dependency FROM t WHERE dependency IS NOT NULL""")
+def scoped_tables(spark, sf):
+    found = lineage.extract_dependencies(v.sql_objects(spark, sf), scoped=True)
+    return found.filter("dependency_kind = 'table'").select("object_name", "dependency")
+
+
 @query("extract_calls", v.with_views(v.SQL_OBJECTS, _PARSED, "SELECT object_name, unnest(calls) AS called FROM parsed"))
 def calls(spark, sf):
     return v.sql_objects(spark, sf).select("object_name", F.explode(sqltext.procedure_calls(F.col("definition"))).alias("called"))

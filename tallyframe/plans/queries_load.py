@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions import types
-from tallyframe.operators import layout, load, parity, ranks, schema
+from tallyframe.operators import layout, load, parity, ranks, schema, units
 from tallyframe.plans import views as v
 from tallyframe.plans.registry import query
 from tallyframe.session import work_path
@@ -255,15 +255,14 @@ def casted(spark, sf):
 
 
 @query("csv_with_line_breaks", """
-SELECT o_orderkey AS k, 'two' || chr(10) || 'lines, "quoted" ' || o_custkey AS note FROM orders WHERE o_orderkey % 4 = 0""")
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'two' || chr(10) || 'lines, "quoted" ' || o_custkey ELSE 'one line ' || o_custkey END AS note FROM orders""")
 def broken_lines(spark, sf):
     path = work_path(spark, "csv-lines")
     note = "if(o_orderkey % 4 = 0, concat('two\nlines, \"quoted\" ', o_custkey), concat('one line ', o_custkey)) as note"
     rows = v.table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) as k", note)
     rows.write.option("header", "true").option("escape", '"').csv(path)
     wanted = types.spark_schema([{"name": "k", "type": "INT64"}, {"name": "note", "type": "STRING"}])
-    # all orders are written and loaded; the SQL states those with a broken line
-    return csv.load_csv_tolerant(spark, path, wanted, max_errors=None, multi_line=True)[0].filter("k % 4 = 0")
+    return csv.load_csv_tolerant(spark, path, wanted, max_errors=None, multi_line=True)[0]
 
 
 @query("conversion_failures", """
@@ -405,6 +404,22 @@ def merged(spark, sf):
     return spark.table(name).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+_RECENT = "o_orderkey % 5 = 0 AND o_orderkey // 100 % 10 = 3"
+
+
+@query("merge_units", f"""
+SELECT o_orderkey, o_custkey, (SELECT count(DISTINCT o_orderkey // 100) FROM orders WHERE {_RECENT}) AS units_touched FROM orders WHERE NOT ({_RECENT})
+UNION ALL SELECT o_orderkey, -o_custkey, (SELECT count(DISTINCT o_orderkey // 100) FROM orders WHERE {_RECENT}) FROM orders WHERE {_RECENT}""")
+def merged_units(spark, sf):
+    """Orders in units of a hundred keys; a batch of keys from every tenth unit is merged, and merged again."""
+    path, orders = work_path(spark, "units"), v.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    units.write_units(orders, path, ["o_orderkey"], unit=F.expr("o_orderkey div 100"))
+    staging = orders.filter(_RECENT.replace("//", "div")).withColumn("o_custkey", -F.col("o_custkey"))
+    touched = units.merge_units(path, staging, ["o_orderkey"], "first")
+    units.merge_units(path, staging, ["o_orderkey"], "first")
+    return units.read_units(spark, path).select("o_orderkey", "o_custkey", F.lit(len(touched)).cast("bigint").alias("units_touched"))
+
+
 @query("merge_partitions", _MERGED_SQL)
 def merged_partitions(spark, sf):
     path, orders = work_path(spark, "merge-parts"), v.table(spark, sf, "orders")
@@ -468,6 +483,23 @@ def watermarked(spark, sf):
     return spark.createDataFrame([("rows", rows), ("again", again), *zip(names, kept, strict=True)], "what string, n bigint")
 
 
+@query("file_mark_load", """
+SELECT step, files, rows FROM (SELECT count(*) c, count(*) FILTER (o_orderkey % 4 < 2) a, count(*) FILTER (o_orderkey % 4 < 3) b FROM orders),
+LATERAL (VALUES (1, 2, a), (2, 1, b), (3, 0, b), (4, 4, c), (5, 0, c)) s(step, files, rows)""")
+def marked_files(spark, sf):
+    """Two files; one more of the same second; one from before the mark; a reload of all; and nothing new."""
+    path = _chunks(spark, sf, work_path(spark, "mark-in"))
+    name, root, registry, own = _name("mark"), work_path(spark, "mark"), work_path(spark, "mark-reg"), v.table(spark, sf, "orders").schema
+    chunk = F.regexp_extract("path", r"/chunk=(\d)/", 1).cast("int")
+    times = F.when(chunk == 0, "2024-05-01T10:00:00.1Z").when(chunk == 3, "2024-05-01T09:59:59Z").otherwise("2024-05-01T10:00:00.5Z")
+    listed = files.list_data_files(files.file_listing(spark, path), "PARQUET").withColumn("modification_time", times)
+    steps = []
+    for step, (upto, reload) in enumerate(((2, False), (3, False), (4, False), (4, True), (4, False)), start=1):
+        loaded = load.load_files_since_mark(name, listed.filter(chunk < upto), registry, root, own, reload=reload)
+        steps.append((step, loaded["files"], spark.table(name).count()))
+    return spark.createDataFrame(steps, "step int, files int, rows bigint")
+
+
 _CHUNKS = 6
 _LATENESS = "10 minutes"
 

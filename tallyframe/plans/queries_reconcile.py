@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import parity, records, report, schema
+from tallyframe.operators import digests, parity, records, report, schema
 from tallyframe.plans import views as v
-from tallyframe.plans.registry import query
+from tallyframe.plans.registry import ORACLES, query
+from tallyframe.session import work_path
 
 
 def _pair(spark, sf):
@@ -119,6 +120,19 @@ def match_pk(spark, sf):
     return records.record_match_pk(*_pair(spark, sf), ["o_orderkey"])
 
 
+@query("record_match_kept", ORACLES["record_match_pk"].replace("SELECT count(sk) AS total_compared,", "SELECT count(sk) AS total_compared, 0 AS read_again,"))
+def match_kept(spark, sf):
+    """By kept digests of both sides; the second comparison reads no partition for digests."""
+    made = []
+    for label, df in zip(("source", "target"), _pair(spark, sf), strict=True):
+        side = digests.Side(work_path(spark, f"kept-{label}"), "o_orderstatus", work_path(spark, f"digests-{label}"))
+        df.write.partitionBy("o_orderstatus").parquet(side.path)
+        made.append(side)
+    digests.record_match_kept(spark, *made, ["o_orderkey"])
+    counts, read = digests.record_match_kept(spark, *made, ["o_orderkey"])
+    return counts.withColumn("read_again", F.lit(len(read["source"]) + len(read["target"])))
+
+
 @query("record_match_composite", """
 WITH t AS (SELECT * FROM conversations WHERE (conv_id * 31 + turn) % 17 <> 0)
 SELECT count(*) AS total_compared, count(*) FILTER (t.conv_id IS NOT NULL AND (s.conv_id + s.turn) % 11 <> 0) AS matched_count,

@@ -124,6 +124,15 @@ def repeats(spark, sf):
     return workload.repeat_query_rate(v.query_log(spark, sf))
 
 
+@query("repeat_shape_rate", v.with_views(v.QUERY_LOG, """,
+h AS (SELECT lower(trim(regexp_replace(regexp_replace(regexp_replace(query_text, '--[^\\n]*|/\\*.*?\\*/', ' ', 'g'), '\\b[0-9]+\\b', '?', 'g'), '\\s+', ' ', 'g'))) h, count(*) n
+  FROM query_log WHERE query_text IS NOT NULL GROUP BY 1)
+SELECT sum(n)::BIGINT AS total_queries, count(*) AS unique_query_count, sum(n) FILTER (n > 1)::BIGINT AS repeated_queries,
+  round_even(sum(n) FILTER (n > 1)::DOUBLE / sum(n)::DOUBLE * 100, 1) AS repeat_query_rate FROM h"""))
+def repeated_shapes(spark, sf):
+    return workload.repeat_query_rate(v.query_log(spark, sf), shapes=True)
+
+
 @query("slot_timeline", v.with_views(v.QUERY_LOG, """,
 p AS (SELECT date_trunc('minute', execution_time) m, sum(slot_milliseconds)::BIGINT s FROM query_log GROUP BY 1),
 o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 i, count(*) OVER () n FROM p)
