@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.meeting import meet
 from tallyframe.session import cut_lineage
 
 #: A line found on at least so many sites is boilerplate.
@@ -33,24 +34,24 @@ def _is_long(line: Column) -> Column:
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, long_sites: int = LONG_SITES) -> DataFrame:
-    """(line, holder) for each line found on at least ``min_sites`` distinct sites, or ``long_sites`` if it is long.
+    """(line, holder, n) for each line found on at least ``min_sites`` distinct sites, or ``long_sites`` if it is long.
 
     ``lines`` has ``line`` (a hash), ``site`` (a hash), ``doc_id`` and ``long``; ``holder`` is the
-    smallest doc_id with the line. Each map task folds a line into one HyperLogLog
+    smallest doc_id with the line, ``n`` how often it stands. Each map task folds a line into one HyperLogLog
     sketch, and sketches merge, so a line that fills a third of the table costs one
     small row per task. Lines whose estimate is near the threshold get their exact
     number of distinct sites; all others are decided by the estimate.
     """
     needed = F.when(F.max("long"), F.lit(min(long_sites, min_sites))).otherwise(F.lit(min_sites))
-    merged = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("doc_id").alias("holder"), needed.alias("needed"))
-    estimated = merged.select("line", "holder", "needed", F.hll_sketch_estimate("sketch").alias("estimate"))
+    merged = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("doc_id").alias("holder"), needed.alias("needed"), F.count("*").alias("n"))
+    estimated = merged.select("line", "holder", "needed", "n", F.hll_sketch_estimate("sketch").alias("estimate"))
     # what is left is few lines, used twice
     sketched = cut_lineage(estimated.where(F.col("estimate") >= F.col("needed") * (1 - MARGIN)))
     surely = F.col("estimate") >= F.col("needed") * (1 + MARGIN)
-    near = sketched.where(~surely).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("sites"))
+    near = sketched.where(~surely).select("line", "n")
+    exact = meet(lines.select("line", "site"), near, ["line"], "n").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("one").alias("sites"))
     decided = sketched.join(exact, "line", "left")
-    return decided.where(F.coalesce(F.col("sites") >= F.col("needed"), surely)).select("line", "holder")
+    return decided.where(F.coalesce(F.col("sites") >= F.col("needed"), surely)).select("line", "holder", "n")
 
 
 def remove_boilerplate(
@@ -77,7 +78,8 @@ def remove_boilerplate(
     numbered = rows.select(F.xxhash64(F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0"))).alias("site"), mark.alias("row"), F.posexplode(split).alias("place", "text"))
     lines = numbered.select("site", "row", "place", _key(F.col("text")).alias("line"), F.col("row.doc_id").alias("doc_id"), _is_long(F.col("text")).alias("long")).where("line is not null")
     spread = spread_lines(lines.select("line", "site", "doc_id", "long"), min_sites, long_sites)
-    found = lines.select("row", "place", "line").join(spread, "line").where("holder is not null")
+    # the most frequent lines are met by broadcast, so no line gathers its rows in one task
+    found = meet(lines.select("row", "place", "line"), cut_lineage(spread.where("holder is not null")), ["line"], "n")
     per_line = found.groupBy("row", "line", "holder").agg(F.min("place").alias("first"), F.collect_set("place").alias("places"))
     gone = F.when(F.col("row.doc_id") == F.col("holder"), F.array_except("places", F.array("first"))).otherwise(F.col("places"))
     per_row = per_line.select("row", gone.alias("gone")).groupBy("row").agg(F.flatten(F.collect_list("gone")).alias("_gone"))

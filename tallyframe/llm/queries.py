@@ -62,12 +62,14 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
-_LINES = """
+_LINES = r"""
 with lines as (
   select d.rowid_ as r, d.doc_id, coalesce(d.source, chr(1)) as site, p.place, p.raw, trim(p.raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line
   from (select *, row_number() over () as rowid_ from documents) d,
   lateral (select unnest(string_split(d.text, chr(10))) as raw, generate_subscripts(string_split(d.text, chr(10)), 1) as place) p),
-spread as (select line, min(doc_id) as holder from lines where line <> '' group by line having count(distinct site) >= 10),
+spread as (
+  select line, min(doc_id) as holder from lines where line <> ''
+  group by line having count(distinct site) >= case when len(regexp_split_to_array(line, '\s+')) >= 20 then 3 else 10 end),
 marked as (
   select l.*, s.holder is not null
     and not (l.doc_id is not distinct from s.holder and l.place = min(l.place) over (partition by l.r, l.line)) as gone
@@ -83,8 +85,7 @@ from (select *, row_number() over () as rowid_ from documents) d left join clean
 
 @query("op5_line_dedup", _LINES)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL above holds lines of every length to one number of sites
-    cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"), long_sites=linededup.MIN_SITES)
+    cleaned = linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), digest.alias("kept_sha256"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import words
+from tallyframe.llm.meeting import meet
 from tallyframe.session import cut_lineage
 
 #: Rows of the sketch, cells of a row for each prefix, and bounds of a row's cells; a cell takes two bits.
@@ -19,8 +20,6 @@ CELLS_PER_PREFIX = 8
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 26
 #: Cells that are merged together.
 SLICE = 1 << 16
-#: Groups that are met by broadcast, the largest ones; a smaller group has at most one part in so many of the rows.
-HOT = 4096
 #: Conversation ids written out at once.
 CHUNK = 8192
 
@@ -215,17 +214,6 @@ def screened(prefixes: DataFrame, found: Sketch) -> DataFrame:
 # ---- grouping
 
 
-def _meet(rows: DataFrame, facts: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """``rows`` with the one row of ``facts`` that has their keys; ``size`` in ``facts`` counts the rows of a key.
-
-    The facts of the largest groups are broadcast, ``HOT`` at most, so no key that is
-    shuffled has more than one part in ``HOT`` of the rows.
-    """
-    hot = cut_lineage(facts.orderBy(F.desc(size)).limit(HOT))
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.drop(size), keys)
-    return rows.join(F.broadcast(hot.drop(size)), keys).unionByName(rest)
-
-
 def _ends(rows: DataFrame) -> DataFrame:
     """For each node the digest of its conversation ids, in ascending order and joined by commas.
 
@@ -300,7 +288,7 @@ def trie(prefixes: DataFrame) -> DataFrame:
     marked = cut_lineage(screened(prefixes, sketch(prefixes)))
     shared = marked.where("not single").drop("single", "above", "x1", "x2")
     groups = cut_lineage(shared.groupBy(*_NODE).agg(F.min("conv_id").alias("owner"), F.max("whole").alias("deepest"), F.count("*").alias("n")))
-    members = cut_lineage(_meet(shared, groups, _NODE, "n"))
+    members = cut_lineage(meet(shared, groups, _NODE, "n"))
     strange, ending = F.col("owner") != F.col("conv_id"), F.col("depth") == F.col("whole")
     paths = members.groupBy("conv_id").agg(
         F.count_if(strange).alias("begins"),  # the first depth it owns
@@ -312,7 +300,7 @@ def trie(prefixes: DataFrame) -> DataFrame:
     paths = cut_lineage(paths)
 
     parent = F.when(F.col("depth") > F.col("begins"), F.col("conv_id")).when(F.col("depth") > 0, F.col("from_conv"))
-    told = _meet(members.drop("deepest"), paths, ["conv_id"], "n")
+    told = meet(members.drop("deepest"), paths, ["conv_id"], "n")
     begun = (F.col("whole") > F.col("depth")) & (F.col("begins") <= F.col("depth") + 1)
     nodes = told.groupBy(*_NODE).agg(
         F.min("owner").alias("conv_id"),
