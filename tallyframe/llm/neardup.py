@@ -23,7 +23,7 @@ HASHES = BANDS * BAND_ROWS
 #: Hashes compared before each look at the posterior.
 BATCH = 32
 #: A pair is pruned when the chance that it is similar enough falls below this.
-MISS = 1e-5
+MISS = 1e-6
 #: Rounds that compare bucket members with one of them, before what is left is compared in full.
 STAR_ROUNDS = 1
 #: Bits of the filter by which a scan skips texts that no candidate pair needs. Fixed, so it may be broadcast.
