@@ -50,10 +50,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Every row is a document of its own here, so of equal rows one stays, rows that share an
+    id stay if their texts differ, and those without an id are compared like others and come last
+    in their group.
+    """
     prepare(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows.select("_row", "text"), id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    grouped = rows.select("_row", "doc_id").join(found, "_row")
+    order = lambda row, doc: F.struct(doc.isNull().alias("none"), doc.alias("doc"), row.alias("row"))
+    first = grouped.groupBy("_group").agg(F.min(order(F.col("_row"), F.col("doc_id"))).alias("_first"))
+    return rows.join(first.select(F.col("_first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
