@@ -3,7 +3,8 @@
 A unit is a folder ``unit=<name>`` of a few Parquet files. First loads cut the table into
 ranges of the key; every merged batch adds a unit of its own. Files carry the key's
 smallest and largest value of each row group, and a Bloom filter of the keys, which
-Parquet writes with them and Spark reads instead of rows it can skip.
+Parquet writes with them and Spark reads instead of rows it can skip. A filter is as
+large as the keys of its row group ask for, so small units stay small files.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ UNIT = "unit"
 RANGES = 64
 #: At most so many keys are looked up one by one, by the Bloom filters of the files.
 LOOKUPS = 10
+#: Sizes a Bloom filter is tried in, each half the one before, from Parquet's megabyte down to 32 bytes; the smallest that fits is written.
+FILTER_SIZES = 16
 #: Batches merged so far, below the folder of the table; readers pass over names that begin like this.
 _LOG = "_merged"
 
@@ -47,8 +50,8 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
 def _write(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
     writer = rows.write.partitionBy(UNIT).mode("overwrite").option("partitionOverwriteMode", "dynamic")
     for key in keys:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
-    writer.parquet(path)
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.candidates.number#{key}", str(FILTER_SIZES))
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def near_keys(staged: DataFrame, key: str) -> Column:
