@@ -41,7 +41,9 @@ def schema_diff(
             F.struct("column_name", "data_type", "is_nullable").alias("_c"),
         )
 
-    rows = side(source, 0).unionByName(side(target, 1))
+    # Dealt out before the grouping: a maximum of structs sorts its rows, and would first sort
+    # all that one task reads, where hardly two rows of a list have a name in common.
+    rows = side(source, 0).unionByName(side(target, 1)).repartition(*[F.col(c) for c in by], "_name")
     paired = rows.groupBy(*by, "_name").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_c"))).alias("s"), F.max(F.when(F.col("_side") == 1, F.col("_c"))).alias("t")
     )
