@@ -502,21 +502,33 @@ def marked_files(spark, sf):
 
 _CHUNKS = 6
 _LATENESS = "10 minutes"
+#: Rows that go to one file of a stream, about.
+_FILE_ROWS = 1_000_000
+
+
+def _files(rows: int, parts: int) -> int:
+    """Files for each of ``parts`` equal parts of so many rows."""
+    return max(1, -(-rows // (parts * _FILE_ROWS)))
 
 
 def _log_stream(spark, sf, per_trigger: int = 2, extra=None):
-    """The query log as a stream of files in time order; ``extra(log, cuts)`` gives more rows for the last file."""
+    """The query log as a stream of chunks in time order, ``per_trigger`` at a time; ``extra(log, cuts)`` gives more rows for the last chunk.
+
+    All chunks have the same number of files, which grows with the log, so batches end where chunks do.
+    Rows are dealt out to the files evenly; a file takes no task that reads more than its rows.
+    """
     path = work_path(spark, "log")
     log = v.query_log(spark, sf).select("job_id", "execution_time", "bytes_scanned", "user_email")
     seconds = F.unix_micros(F.col("execution_time").cast("timestamp"))
-    cuts = log.agg(F.percentile_approx(seconds, [k / _CHUNKS for k in range(1, _CHUNKS)], 10_000)).first()[0]
+    cuts, count = log.agg(F.percentile_approx(seconds, [k / _CHUNKS for k in range(1, _CHUNKS)], 10_000), F.count(F.lit(1))).first()
+    per_chunk = _files(count, _CHUNKS)
     chunk = sum((seconds > c).cast("int") for c in cuts)
     for k in range(_CHUNKS):
         rows = log.filter(chunk == k)
         if extra is not None and k == _CHUNKS - 1:
             rows = rows.unionByName(extra(log, cuts))
-        rows.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+        rows.repartition(per_chunk).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", per_trigger * per_chunk).parquet(path)
 
 
 @query("stream_concurrency", v.with_views(v.QUERY_LOG, """
@@ -554,9 +566,10 @@ def stream_upsert_partitions(spark, sf):
     out, path = work_path(spark, "stream-parts"), work_path(spark, "late-values")
     rows = v.query_log(spark, sf).selectExpr("job_id", "bytes_scanned", "concat('p', cast(substr(job_id, 5) as bigint) % 4) as part", "cast(substr(job_id, 5) as bigint) as event")
     load.replace_slice(rows.drop("event"), out, "part")
+    per_batch = _files(rows.filter("event % 5 = 0").count(), 2)
     for k in (0, 1):
-        rows.filter(f"event % 5 = 0 and event % 2 = {k}").selectExpr("job_id", "-1L as bytes_scanned", "part").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("job_id string, bytes_scanned bigint, part string").option("maxFilesPerTrigger", 1).parquet(path)
+        rows.filter(f"event % 5 = 0 and event % 2 = {k}").selectExpr("job_id", "-1L as bytes_scanned", "part").repartition(per_batch).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("job_id string, bytes_scanned bigint, part string").option("maxFilesPerTrigger", per_batch).parquet(path)
     table_stream.stream_merge_partitions(stream, out, ["job_id"], "part", work_path(spark, "checkpoint"))
     return load.read_partitioned(spark, out, "part", F_STRING).select("job_id", "bytes_scanned", "part")
 
